@@ -49,7 +49,11 @@ def loss_decreased(history: DataFrame) -> DataFrame:
         F.max_by("loss", "step").alias("loss_last"),
         F.count(F.lit(1)).alias("points"),
     )
-    return ends.withColumn("decreased", (F.col("points") >= 2) & (F.col("loss_last") < F.col("loss_first")))
+    # NaN sorts above every number in Spark, but a loss compared with NaN never decreased.
+    finite = ~F.isnan("loss_first") & ~F.isnan("loss_last")
+    return ends.withColumn(
+        "decreased", (F.col("points") >= 2) & finite & (F.col("loss_last") < F.col("loss_first"))
+    )
 
 
 def accuracy(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -1 +1,177 @@
-"""Queries."""
+"""Family E queries: verdicts, drift, registry integrity and sinks of the results sheet."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from poolsight.operators import acceptance as ops
+from poolsight.operators import ledger as ledger_ops
+from poolsight.plans import bindings as B
+from poolsight.plans.registry import query
+from poolsight.sources import sinks, workspace
+
+EXPECT_FAIL = """(probe IN ('catalog_bucket_read', 'pypi_egress', 'mlflow_artifact_upload') OR (probe = 'root_storage_tcp443' AND shape <> 'CPU'))"""
+DRIFT = f"""SELECT id, run, check_name, shape, probe, ok, detail, CASE WHEN ok IS NULL THEN 'skipped' WHEN ok THEN 'pass' ELSE 'fail' END AS got,
+  CASE WHEN {EXPECT_FAIL} THEN 'fail' ELSE 'pass' END AS expected,
+  CASE WHEN ok IS NULL THEN '' WHEN ok AND {EXPECT_FAIL} THEN 'CHANGED' WHEN NOT ok AND NOT {EXPECT_FAIL} THEN 'REGRESSION' ELSE '' END AS drift FROM check_results"""
+CLASS = """CASE WHEN result IS NULL THEN 'unfinished' WHEN result = 'SUCCESS' THEN 'success' WHEN COALESCE(message, '') LIKE '%GPU quota%' THEN 'quota_refused' ELSE 'other_failed' END"""
+
+
+@query("drift_classify", DRIFT)
+def drift_classify(spark, root):
+    return ops.drift_classify(B.check_results(spark, root))
+
+
+@query(
+    "verdict_counts",
+    f"""SELECT COUNT(*) AS results, COUNT(*) FILTER (WHERE got = 'pass') AS passed, COUNT(*) FILTER (WHERE got = 'fail') AS failed,
+  COUNT(*) FILTER (WHERE got = 'skipped') AS skipped, COUNT(*) FILTER (WHERE drift = 'CHANGED') AS changed,
+  COUNT(*) FILTER (WHERE drift = 'REGRESSION') AS regressions FROM ({DRIFT})""",
+)
+def verdict_counts(spark, root):
+    return ops.verdict_counts(ops.drift_classify(B.check_results(spark, root)))
+
+
+@query(
+    "pool_ready",
+    """SELECT run, COALESCE(bool_and(ok) FILTER (WHERE probe <> 'burn_runs_terminal'), TRUE) AS pool_ready,
+  COUNT(ok) FILTER (WHERE probe <> 'burn_runs_terminal') AS checks_counted FROM check_results GROUP BY 1""",
+)
+def pool_ready(spark, root):
+    return ops.pool_ready(B.check_results(spark, root), ["run"])
+
+
+@query(
+    "acceptance_verdict",
+    """SELECT run, CASE WHEN bool_or(status = 'FAIL') THEN 'NOT ACCEPTED' WHEN bool_or(status IN ('BLOCKED', 'SKIPPED', 'NA') OR scope = 'smoke') THEN 'ACCEPTED WITH CAVEATS'
+  ELSE 'ACCEPTED' END AS verdict, CAST(CASE WHEN bool_or(status = 'FAIL') THEN 1 ELSE 0 END AS INT) AS exit_code FROM checks GROUP BY 1""",
+)
+def acceptance_verdict(spark, root):
+    return ops.acceptance_verdict(B.checks(spark, root))
+
+
+@query(
+    "registry_missing_asset",
+    "SELECT id, asset FROM registry WHERE asset IS NOT NULL AND asset NOT IN (SELECT path FROM assets)",
+)
+def registry_missing_asset(spark, root):
+    return ops.registry_missing_asset(B.registry(spark, root), B.assets(spark, root))
+
+
+EXEMPT = ("workloads/probes/*.yaml", "workloads/w10*.yaml")
+
+
+@query(
+    "asset_unclaimed",
+    """SELECT path FROM assets a WHERE regexp_matches(path, '^workloads/[^/]*[.]yaml$') AND NOT regexp_matches(path, '^workloads/w10[^/]*[.]yaml$')
+  AND path NOT IN (SELECT asset FROM registry WHERE asset IS NOT NULL)
+  AND NOT (path NOT LIKE '%.example.yaml' AND replace(path, '.yaml', '.example.yaml') IN (SELECT path FROM assets))""",
+)
+def asset_unclaimed(spark, root):
+    return ops.asset_unclaimed(B.assets(spark, root), B.registry(spark, root), EXEMPT)
+
+
+@query(
+    "sentinel_link",
+    """SELECT id, asset, sentinel, bool_or(COALESCE(contains(f.text, sentinel), FALSE)) AS found FROM (
+  SELECT id, asset, unnest(['RESULT burn=PASS', 'torchrun']) AS sentinel FROM registry WHERE asset IS NOT NULL) r
+  LEFT JOIN (SELECT path AS a, path AS linked FROM assets UNION SELECT path, unnest(regexp_extract_all(text, '\\$CODE_SOURCE_PATH/(\\S+\\.(?:py|sh))', 1)) FROM assets WHERE path LIKE '%.yaml') l
+    ON l.a = r.asset LEFT JOIN assets f ON f.path = l.linked GROUP BY 1, 2, 3""",
+)
+def sentinel_link(spark, root):
+    return ops.sentinel_link(B.registry(spark, root), B.assets(spark, root))
+
+
+@query("duplicate_ids", "SELECT id, COUNT(*) AS rows FROM registry GROUP BY 1 HAVING COUNT(*) > 1")
+def duplicate_ids(spark, root):
+    return ops.duplicate_ids(B.registry(spark, root))
+
+
+@query(
+    "distinct_hardware",
+    """WITH j AS (SELECT job_run_id, burn, gpus_visible, gpu_uuids, burn = 'PASS' AND gpus_visible = '8' AS passed
+    FROM (SELECT o_custkey AS job_run_id, 'SUCCESS' AS result FROM orders GROUP BY 1) JOIN receipts USING (job_run_id))
+SELECT (SELECT COUNT(*) FROM j) AS success_runs, (SELECT COUNT(*) FROM j WHERE passed) AS nodes_pass, n // 8 AS distinct_nodes,
+  (SELECT COUNT(*) FROM j WHERE passed) = (SELECT COUNT(*) FROM j) AS burn_all_pass, n // 8 = (SELECT COUNT(*) FROM j WHERE passed) AS nodes_distinct,
+  n // 8 >= 20 AS pool_coverage
+FROM (SELECT COUNT(DISTINCT u) AS n FROM (SELECT unnest(string_split(gpu_uuids, ',')) AS u FROM j WHERE passed))""",
+)
+def distinct_hardware(spark, root):
+    runs = B.table(spark, root, "orders").select(F.col("o_custkey").alias("job_run_id")).distinct()
+    runs = runs.withColumn("result", F.lit("SUCCESS"))
+    return ops.distinct_hardware(runs, B.receipts(spark, root), 20)
+
+
+@query(
+    "outcome_tally",
+    f"""SELECT COUNT(*) FILTER (WHERE c IN ('success', 'other_failed')) AS done, COUNT(*) FILTER (WHERE c = 'quota_refused') AS quota_refusals,
+  COUNT(*) FILTER (WHERE c = 'unfinished') AS unfinished, GREATEST(4, (SELECT MAX(active) FROM (SELECT CAST(SUM(net) OVER (ORDER BY moment) AS BIGINT) AS active FROM (
+    SELECT moment, SUM(step) AS net FROM (SELECT hold_start AS moment, 1 AS step FROM probes UNION ALL SELECT hold_end, -1 FROM probes) GROUP BY 1)))) AS final_cap
+  FROM (SELECT {CLASS} AS c FROM job_runs)""",
+)
+def outcome_tally(spark, root):
+    peak = ledger_ops.peak_concurrency(B.probes(spark, root), "hold_start", "hold_end")
+    return ops.outcome_tally(B.job_runs(spark, root), peak, B.KNOWN_CAP)
+
+
+@query(
+    "completion_gate",
+    """SELECT COUNT(*) FILTER (WHERE result = 'SUCCESS') AS completed, COUNT(*) AS total,
+  CAST(CASE WHEN COUNT(*) FILTER (WHERE result = 'SUCCESS') = 0 THEN 1 ELSE 0 END AS INT) AS exit_code FROM job_runs""",
+)
+def completion_gate(spark, root):
+    done = F.coalesce(F.col("result") == "SUCCESS", F.lit(False))
+    return ops.completion_gate(B.job_runs(spark, root).select(done.alias("completed")))
+
+
+@query(
+    "table_fingerprint",
+    """SELECT o_orderpriority, COUNT(*) AS rows, CAST(SUM(CAST('0x' || left(md5(concat_ws(chr(1), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus)), 12) AS BIGINT)) AS VARCHAR) AS fingerprint
+  FROM orders GROUP BY 1""",
+)
+def table_fingerprint(spark, root):
+    orders = B.table(spark, root, "orders")
+    return ops.table_fingerprint(orders, ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderpriority"])
+
+
+@query(
+    "key_skew",
+    """SELECT l_suppkey, n AS rows, n / (total / CAST(keys AS DOUBLE)) AS ratio, abs(n / (total / CAST(keys AS DOUBLE)) - 1) <= 0.03 AS balanced
+  FROM (SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY 1), (SELECT CAST(COUNT(*) AS DOUBLE) AS total, COUNT(DISTINCT l_suppkey) AS keys FROM lineitem)""",
+)
+def key_skew(spark, root):
+    return ops.key_skew(B.table(spark, root, "lineitem"), "l_suppkey")
+
+
+@query("row_count_control", "SELECT 'lineitem' AS table_name, COUNT(*) AS rows FROM lineitem")
+def row_count_control(spark, root):
+    return ops.row_count(B.table(spark, root, "lineitem"), "lineitem")
+
+
+SHEET = ", ".join(
+    f"COALESCE({c}, '') AS \"{h}\"" if c in ("test", "verdict", "hardware", "result_note", "evidence") else f"'' AS \"{h}\""
+    for c, h in sinks.RESULT_COLUMNS
+)
+
+
+@query("write_results_csv", f"SELECT {SHEET} FROM registry")
+def write_results_csv(spark, root):
+    """Written as CSV and read back; empty text comes back as null, so it is filled again."""
+    path = workspace.fresh_path(spark, "results_csv")
+    table = B.registry(spark, root)
+    sinks.write_results_csv(table, path)
+    schema = sinks.results_table(table).schema
+    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").csv(path).na.fill("")
+
+
+CELLS = " || ' | ' || ".join(
+    f"replace(replace(COALESCE({c}, ''), '|', '\\|'), chr(10), ' ')" if c in ("test", "verdict", "hardware", "result_note", "evidence") else "''"
+    for c, _ in sinks.RESULT_COLUMNS
+)
+
+
+@query("write_results_md", f"SELECT '| ' || {CELLS} || ' |' AS value FROM registry")
+def write_results_md(spark, root):
+    path = workspace.fresh_path(spark, "results_md")
+    sinks.write_results_md(B.registry(spark, root), path)
+    return spark.read.text(path)

@@ -291,8 +291,9 @@ def scan_catalog_json(spark, root):
 @query(
     "peak_concurrency",
     """SELECT boot_id, MAX(active) AS peak, GREATEST(MAX(active), 4) AS cap FROM (
-  SELECT boot_id, at, CAST(SUM(SUM(step)) OVER (PARTITION BY boot_id ORDER BY at) AS BIGINT) AS active FROM (
-    SELECT boot_id, hold_start AS at, 1 AS step FROM probes UNION ALL SELECT boot_id, hold_end, -1 FROM probes) GROUP BY 1, 2) GROUP BY 1""",
+  SELECT boot_id, moment, CAST(SUM(net) OVER (PARTITION BY boot_id ORDER BY moment) AS BIGINT) AS active FROM (
+    SELECT boot_id, moment, SUM(step) AS net FROM (
+      SELECT boot_id, hold_start AS moment, 1 AS step FROM probes UNION ALL SELECT boot_id, hold_end, -1 FROM probes) GROUP BY 1, 2)) GROUP BY 1""",
 )
 def peak_concurrency(spark, root):
     return ops.peak_concurrency(B.probes(spark, root), "hold_start", "hold_end", ["boot_id"], B.KNOWN_CAP)
@@ -368,30 +369,28 @@ def union_all(spark, root):
     "scan_config",
     """SELECT t.team, t.pos AS team_pos, CAST(quota_nodes AS BIGINT) AS quota_nodes, u.use_case, 20 AS total_nodes,
   CASE WHEN t.pos % 2 = 0 THEN '' ELSE 'about ' || u.use_case END AS description,
-  (SELECT COUNT(*) FROM members m WHERE m.team = t.team) AS members FROM teams t JOIN use_cases u ON u.team = t.team""",
+  (SELECT COUNT(*) FROM members m WHERE m.team = t.team) AS members FROM teams t JOIN use_cases u ON u.team = t.team WHERE t.team IN (SELECT team FROM members)""",
 )
 def scan_config(spark, root):
-    """The config document per team as JSON text, parsed with the declared schema and exploded.
+    """Config documents as JSON text, parsed with the declared schema and exploded.
 
-    Use cases are plain names for even teams and objects for odd ones, to exercise the widening.
+    One small document per member, so no member list is gathered. Use cases are plain names for
+    even teams and objects for odd ones, to exercise the widening.
     """
     listed = B.use_cases(spark, root)
-    raw = F.when(F.substring("team", 6, 9).cast("int") % 2 == 0, F.to_json(F.array("use_case"))).otherwise(
-        F.to_json(
-            F.array(F.struct(F.col("use_case").alias("name"), F.concat(F.lit("about "), "use_case").alias("description")))
-        )
-    )
-    names = B.members(spark, root).groupBy("team").agg(F.collect_list("member").alias("members"))
+    as_object = F.struct(F.col("use_case").alias("name"), F.concat(F.lit("about "), "use_case").alias("description"))
+    even = F.substring("team", 6, 9).cast("int") % 2 == 0
+    cases = F.when(even, F.to_json(F.array("use_case"))).otherwise(F.to_json(F.array(as_object)))
     documents = (
-        B.teams(spark, root)
-        .join(listed.select("team", raw.alias("cases")), "team")
-        .join(names, "team", "left")
+        B.members(spark, root)
+        .select("team", "member")
+        .join(B.teams(spark, root).select("team", "quota_nodes"), "team")
+        .join(listed.select("team", cases.alias("cases")), "team")
         .select(
-            "team",
             F.concat(
                 F.lit('{"reservation": {"total_nodes": 20, "accelerator_type": "GPU_8xH100"}, "platform_quotas": {"GPU_8xH100": 4}, "teams": [{"name": "'),
                 "team", F.lit('", "quota_nodes": '), F.col("quota_nodes").cast("string"), F.lit(', "members": '),
-                F.to_json("members"), F.lit(', "use_cases": '), "cases", F.lit("}]}"),
+                F.to_json(F.array("member")), F.lit(', "use_cases": '), "cases", F.lit("}]}"),
             ).alias("text"),
         )
     )
@@ -400,7 +399,8 @@ def scan_config(spark, root):
     return (
         files.config_teams(config)
         .drop("pos")
-        .join(files.config_use_cases(config).drop("pos"), "team")
+        .distinct()
+        .join(files.config_use_cases(config).drop("pos").distinct(), "team")
         .join(heads, "team", "left")
         .select(
             "team",

@@ -1 +1,99 @@
-"""Queries."""
+"""Streaming jobs, drained over the events table read as a stream, and read back from their sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from poolsight.operators import telemetry as ops
+from poolsight.plans import bindings as B
+from poolsight.plans.ledger import FOLDED
+from poolsight.plans.registry import query
+from poolsight.plans.telemetry import UTIL, utilization
+from poolsight.sources import workspace
+from poolsight.streaming import jobs
+
+
+def events_stream(spark, root):
+    return jobs.read_events(spark, root, "events.parquet")
+
+
+def paths(spark, name):
+    return workspace.fresh_path(spark, name), workspace.fresh_path(spark, f"{name}-checkpoint")
+
+
+@query(
+    "stream_telemetry_append",
+    """SELECT CAST(event_id AS VARCHAR) AS record_id, time, CAST(time AS DATE) AS date, service_name, severity_text, mlflow_run_id FROM otel_logs""",
+)
+def stream_telemetry_append(spark, root):
+    out, checkpoint = paths(spark, "stream-logs")
+    jobs.append_telemetry(B.otel_logs(spark, root, events_stream(spark, root)), None, out, checkpoint, True).awaitTermination()
+    return spark.read.parquet(out).select(
+        "record_id", "time", "date", "service_name", "severity_text",
+        ops.attribute("resource.attributes", ops.RUN_KEY).alias("mlflow_run_id"),
+    )
+
+
+@query(
+    "stream_baggage_stamp",
+    """SELECT event_id, user_id AS run_id, COALESCE(CASE WHEN event_id % 4 = 0 THEN 'self' END, c_name) AS requester,
+  'team-' || CAST(c_nationkey AS VARCHAR) AS team FROM events LEFT JOIN customer ON c_custkey = user_id""",
+)
+def stream_baggage_stamp(spark, root):
+    out, checkpoint = paths(spark, "stream-stamped")
+    own = F.when(F.col("event_id") % 4 == 0, "self")
+    records = events_stream(spark, root).select(
+        "event_id", F.col("ts").alias("time"), F.col("user_id").alias("run_id"), own.alias("requester")
+    )
+    identity = B.table(spark, root, "customer").select(
+        F.col("c_custkey").alias("run_id"),
+        F.col("c_name").alias("requester"),
+        B.text("team-", F.col("c_nationkey")).alias("team"),
+    )
+    jobs.append_telemetry(records, identity, out, checkpoint, True).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "run_id", "requester", "team")
+
+
+@query("stream_run_state_fold", FOLDED)
+def stream_run_state_fold(spark, root):
+    out, checkpoint = paths(spark, "stream-states")
+    polls = B.run_polls(spark, root, events_stream(spark, root))
+    jobs.fold_run_states(polls, out, checkpoint, True).awaitTermination()
+    return jobs.read_run_states(spark, out)
+
+
+@query(
+    "stream_delivery_check",
+    """SELECT source, COUNT(*) + CASE WHEN source % 10 = 0 THEN 1 ELSE 0 END AS expected, COUNT(*) AS landed,
+  COUNT(*) FILTER (WHERE value <= 300) AS on_time, COUNT(*) FILTER (WHERE value <= 300) < COUNT(*) + CASE WHEN source % 10 = 0 THEN 1 ELSE 0 END AS alert
+  FROM (SELECT user_id AS source, value FROM events) GROUP BY source""",
+)
+def stream_delivery_check(spark, root):
+    """Rows land value/10 seconds after they were sent; every tenth sender lost one more row."""
+    out, checkpoint = paths(spark, "stream-delivery")
+    delay = F.make_dt_interval(secs=(F.col("value") / 10).cast("decimal(18,6)"))
+    landed = events_stream(spark, root).select(
+        F.col("user_id").alias("source"), F.col("ts").alias("sent_at"), (F.col("ts") + delay).alias("landed_at")
+    )
+    jobs.count_deliveries(landed, out, checkpoint, True).awaitTermination()
+    lost = F.when(F.col("user_id") % 10 == 0, 1).otherwise(0)
+    sent = (
+        B.table(spark, root, "events")
+        .groupBy("user_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("user_id").alias("source"), (F.col("n") + lost).alias("expected"))
+    )
+    return jobs.delivery_alerts(spark.read.parquet(out), sent)
+
+
+@query(
+    "stream_util_windows",
+    f"""SELECT team, date_trunc('hour', ts) AS window_start, AVG(util_pct) AS avg_util, COUNT(*) AS samples FROM ({UTIL}) GROUP BY 1, 2
+  HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def stream_util_windows(spark, root):
+    """Closed windows only: the watermark holds back what may still get late samples."""
+    out, checkpoint = paths(spark, "stream-util")
+    samples = utilization(spark, root, events_stream(spark, root))
+    jobs.utilization_windows(samples, out, checkpoint, drain=True).awaitTermination()
+    return spark.read.parquet(out)
