@@ -11,6 +11,7 @@ HOLDING_STATES = ("SUBMITTED", "RUNNING")
 ACTIVE_STATES = ("QUEUED", "SUBMITTED", "RUNNING")
 # API life-cycle states that end a run.
 TERMINAL_LIFE = ("TERMINATED", "INTERNAL_ERROR", "SKIPPED")
+TERMINAL_STATES = ("SUCCESS", "CANCELED", "FAILED")
 DETAIL_CHARS = 400
 QUOTA_MESSAGE = "GPU quota"
 NO_CAP_NODES = 999

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsight.functions import fabric as X
+from poolsight.functions import order as O
 
 
 def gpu_health(samples: DataFrame) -> DataFrame:
@@ -16,16 +17,17 @@ def gpu_health(samples: DataFrame) -> DataFrame:
     All measures are mergeable aggregates (max_by/min_by for first and last), so a GPU with a
     huge sample count never sorts in one task.
     """
+    taken = O.major_minor(O.micros(F.col("ts")), F.col("sample_id"))
     rolled = samples.groupBy("gpu_uuid").agg(
         F.max("temp_c").alias("max_temp_c"),
         F.max("power_w").alias("max_power_w"),
         F.count_if(X.hardware_throttled(F.col("throttle"))).alias("hw_throttle_samples"),
-        F.min_by(F.struct("ecc"), F.struct("ts", "sample_id")).alias("_start"),
-        F.max_by(F.struct("ecc"), F.struct("ts", "sample_id")).alias("_end"),
+        F.min_by("ecc", taken).alias("_start"),
+        F.max_by("ecc", taken).alias("_end"),
         F.sum("iters").alias("iters"),
         F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("elapsed_s"),
     )
-    delta = F.coalesce(F.col("_end.ecc") - F.col("_start.ecc"), F.lit(-1))
+    delta = F.coalesce(F.col("_end") - F.col("_start"), F.lit(-1))
     ecc_failed = ~F.col("ecc_delta").isin(-1, 0)
     throttled = F.col("hw_throttle_samples") > 0
     return (

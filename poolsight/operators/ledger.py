@@ -28,6 +28,8 @@ class Reservation:
     region: str = ""
 
 
+WHOLE_NODE = "*"
+
 WORKLOAD_COLUMNS = ("team", "use_case", "name", "shape", "nodes", "kind", "ref", "needs_torch")
 
 
@@ -93,11 +95,9 @@ def in_flight_nodes(ledger: DataFrame, by: Sequence[str] = ("shape", "team")) ->
 
 def shape_set(workloads: DataFrame, reservation: Reservation) -> DataFrame:
     """Distinct shapes: those in use, the reserved one and the ones always offered."""
-    session = workloads.sparkSession
-    fixed = session.createDataFrame(
-        [(s,) for s in (reservation.accelerator_type, *OFFERED_SHAPES)], "shape string"
-    )
-    return workloads.select("shape").union(fixed).distinct()
+    fixed = F.array(*[F.lit(s) for s in (reservation.accelerator_type, *OFFERED_SHAPES)])
+    offered = workloads.sparkSession.range(1).select(F.explode(fixed).alias("shape"))
+    return workloads.select("shape").distinct().union(offered).distinct()
 
 
 def shape_capacity(
@@ -232,22 +232,26 @@ def fold_polls(polls: DataFrame, by: str = "run_id") -> DataFrame:
     Written as order-free aggregates, so the same fold runs on a batch, on a stream, and with
     map-side combination for a run that holds a large share of the polls.
     """
-    terminal = L.is_terminal(F.col("life"))
-    settled = F.min(
-        F.when(terminal, F.struct(F.col("seq"), L.final_state(F.col("result")).alias("state"), F.col("ts")))
-    )
+    settled_seq = F.when(L.is_terminal(F.col("life")), F.col("seq"))
+    # The state travels as its index: text in the buffer would force a sort-based aggregate.
+    index = F.when(F.col("result") == "SUCCESS", 0).when(F.col("result") == "CANCELED", 1).otherwise(2)
     running = F.max((F.col("life") == "RUNNING").cast("int")) == 1
     folded = polls.groupBy(by).agg(
-        settled.alias("_settled"), running.alias("_running"), F.max("seq").alias("last_seq"),
+        F.min_by(index, settled_seq).alias("_index"),
+        F.min_by("ts", settled_seq).alias("finished_at"),
+        F.min(settled_seq).alias("settled_seq"),
+        running.alias("_running"),
+        F.max("seq").alias("last_seq"),
         F.count(F.lit(1)).alias("polls"),
     )
+    names = F.array(*[F.lit(s) for s in L.TERMINAL_STATES])
     return folded.select(
         by,
-        F.coalesce(
-            F.col("_settled.state"), F.when(F.col("_running"), "RUNNING"), F.lit("SUBMITTED")
-        ).alias("state"),
-        F.col("_settled.ts").alias("finished_at"),
-        F.col("_settled.seq").alias("settled_seq"),
+        F.coalesce(F.get(names, F.col("_index")), F.when(F.col("_running"), "RUNNING"), F.lit("SUBMITTED")).alias(
+            "state"
+        ),
+        "finished_at",
+        "settled_seq",
         "last_seq",
         "polls",
     )
@@ -337,55 +341,46 @@ def colocation(probes: DataFrame) -> DataFrame:
     """Per probe: how many other holds overlapped it on its node, and how many on its own GPUs.
 
     Input: probe_id, boot_id, gpu_uuids (array), hold_start, hold_end. Counted without pairs:
-    overlaps = starts before my end - ends up to my start - 1, from running totals that are
-    cut by hour, so neither a hot node nor a dense hour multiplies rows.
+    overlaps = starts before my end - ends up to my start - 1. Edges are ordered by time with
+    ends before starts, so both counts are running totals read at the probe's own edges. The
+    totals are cut by hour, so neither a hot node nor a dense hour multiplies rows. The whole
+    node counts as one more slot beside its GPUs, which makes it a single pass.
     """
     real = probes.filter(F.col("hold_end") > F.col("hold_start"))
-    nodes = real.select("probe_id", "boot_id", "hold_start", "hold_end")
-    per_node = _overlaps(nodes, ["boot_id"]).select("probe_id", "boot_id", F.col("overlaps").alias("cotenants"))
-    gpus = real.select(
-        "probe_id", "boot_id", "hold_start", "hold_end", F.explode(F.array_distinct("gpu_uuids")).alias("gpu")
-    )
-    per_gpu = (
-        _overlaps(gpus, ["boot_id", "gpu"]).groupBy("probe_id").agg(F.max("overlaps").alias("gpu_cotenants"))
-    )
-    return per_node.join(per_gpu, "probe_id", "left").select(
+    slots = F.concat(F.array(F.lit(WHOLE_NODE)), F.array_distinct(F.col("gpu_uuids").cast("array<string>")))
+    edges = real.select("probe_id", "boot_id", F.explode(slots).alias("slot"), "hold_start", "hold_end").select(
         "probe_id",
         "boot_id",
-        "cotenants",
-        F.coalesce("gpu_cotenants", F.lit(0)).cast("bigint").alias("gpu_cotenants"),
-        F.when(F.col("cotenants") == 0, "alone")
-        .when(F.coalesce("gpu_cotenants", F.lit(0)) == 0, "shared_node")
-        .otherwise("shared_gpu")
-        .alias("placement"),
-    )
-
-
-def _overlaps(holds: DataFrame, by: list[str]) -> DataFrame:
-    edges = holds.select(
-        *by,
+        "slot",
         F.explode(
             F.array(
-                F.struct(F.col("hold_start").alias("at"), F.lit(1).alias("s"), F.lit(0).alias("e")),
-                F.struct(F.col("hold_end").alias("at"), F.lit(0).alias("s"), F.lit(1).alias("e")),
+                F.struct(F.col("hold_end").alias("at"), F.lit(0).alias("starts"), F.lit(1).alias("ends")),
+                F.struct(F.col("hold_start").alias("at"), F.lit(1).alias("starts"), F.lit(0).alias("ends")),
             )
         ).alias("x"),
-    )
-    instants = edges.groupBy(*by, F.col("x.at").alias("at")).agg(
-        F.sum("x.s").alias("starts"), F.sum("x.e").alias("ends")
-    )
+    ).select("probe_id", "boot_id", "slot", "x.*")
     totals = ordering.running_totals(
-        instants, ["at"], ordering.hour_bucket("at"), {"started": "starts", "ended": "ends"}, by
+        edges, ["at", "starts"], ordering.hour_bucket("at"), {"started": "starts", "ended": "ends"}, ["boot_id", "slot"]
     )
-    at_start = totals.select(*by, F.col("at").alias("hold_start"), F.col("ended").alias("_ended"))
-    at_end = totals.select(
-        *by, F.col("at").alias("hold_end"), (F.col("started") - F.col("starts")).alias("_started")
+    overlaps = (
+        F.max(F.when(F.col("ends") == 1, F.col("started"))) - F.max(F.when(F.col("starts") == 1, F.col("ended"))) - 1
     )
+    # Placed by probe once, which serves both groupings below.
+    placed = totals.repartition("probe_id")
+    per_slot = placed.groupBy("probe_id", "boot_id", "slot").agg(overlaps.alias("overlaps"))
+    whole = F.col("slot") == WHOLE_NODE
     return (
-        holds.join(at_start, [*by, "hold_start"])
-        .join(at_end, [*by, "hold_end"])
-        .withColumn("overlaps", F.col("_started") - F.col("_ended") - 1)
-        .drop("_started", "_ended")
+        per_slot.groupBy("probe_id", "boot_id")
+        .agg(
+            F.max(F.when(whole, F.col("overlaps"))).alias("cotenants"),
+            F.coalesce(F.max(F.when(~whole, F.col("overlaps"))), F.lit(0).cast("bigint")).alias("gpu_cotenants"),
+        )
+        .withColumn(
+            "placement",
+            F.when(F.col("cotenants") == 0, "alone")
+            .when(F.col("gpu_cotenants") == 0, "shared_node")
+            .otherwise("shared_gpu"),
+        )
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolsight.functions import order as O
 from poolsight.functions import text as T
 from poolsight.sources import schemas
 
@@ -132,7 +133,7 @@ def metric_history_latest(history: DataFrame) -> DataFrame:
     return history.groupBy("run", "key").agg(
         F.count(F.lit(1)).alias("points"),
         F.max("step").alias("last_step"),
-        F.max_by("value", F.struct("step", "ts")).alias("latest"),
+        F.max_by("value", O.major_minor(F.col("step"), O.micros(F.col("ts")))).alias("latest"),
     )
 
 

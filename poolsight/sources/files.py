@@ -39,9 +39,11 @@ def manifest_files(spark: SparkSession, root: str) -> DataFrame:
 def parse_manifests(files: DataFrame) -> DataFrame:
     """Parse (path, text) into declared columns; an unreadable document keeps its path and a problem.
 
-    YAML has no Spark reader, so this is one Arrow-batched map; the documents stay distributed.
+    YAML has no Spark reader, so this is one Arrow-batched map. Parsing costs far more than moving
+    the text, so documents are spread first: many tiny files would else pack into few tasks.
     """
-    return files.select("path", "text").mapInPandas(_manifest_batches, schemas.MANIFEST)
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "text").repartition(spread, "path").mapInPandas(_manifest_batches, schemas.MANIFEST)
 
 
 def _manifest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

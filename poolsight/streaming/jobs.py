@@ -110,12 +110,16 @@ def utilization_windows(
     samples: DataFrame, out: str, checkpoint: str, window: str = "1 hour", late: str = "10 minutes",
     drain: bool = False,
 ) -> StreamingQuery:
-    """Tumbling utilisation per team; the watermark bounds the state and closes windows."""
+    """Tumbling utilisation per team; the watermark bounds the state and closes windows.
+
+    A watermark needs a zoned timestamp, so the UTC wall time is cast for it and back.
+    """
     rolled = (
-        samples.withWatermark("ts", late)
+        samples.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", window).alias("w"), "team")
         .agg(F.avg("util_pct").alias("avg_util"), F.count(F.lit(1)).alias("samples"))
-        .select("team", F.col("w.start").alias("window_start"), "avg_util", "samples")
+        .select("team", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "avg_util", "samples")
     )
     return _started(rolled.writeStream.outputMode("append").format("parquet"), out, checkpoint, drain)
 
