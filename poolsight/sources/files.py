@@ -28,8 +28,7 @@ def manifest_files(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.yaml")
-        .option("wholetext", "true")
-        .text(root)
+        .text(root, wholetext=True)
     )
     base = root.rstrip("/").rsplit("/", 1)[-1]
     inside = F.regexp_extract(F.col("_metadata.file_path"), f".*/{base}/(.*)$", 1)
