@@ -316,9 +316,10 @@ def peak_concurrency(
 ) -> DataFrame:
     """Most holds [start, end) active at once, per group.
 
-    +1/-1 steps are first summed per instant (map-side), then run along the hour cuts, so a
-    group with a third of all holds still spreads over its hours.
+    +1/-1 steps are first summed per instant (map-side), then run along time cuts, so a group
+    with a third of all holds still spreads over its hours. Without groups the cuts are minutes.
     """
+    cut = ordering.time_bucket("at", "hour" if by else "minute")
     steps = holds.select(
         *by,
         F.explode(
@@ -329,7 +330,7 @@ def peak_concurrency(
         ).alias("e"),
     )
     net = steps.groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.step").alias("net"))
-    running = ordering.running_totals(net, ["at"], ordering.hour_bucket("at"), {"active": "net"}, by)
+    running = ordering.running_totals(net, ["at"], cut, {"active": "net"}, by)
     peak = F.coalesce(F.max("active"), F.lit(0)).cast("bigint")
     out = running.groupBy(*by).agg(peak.alias("peak"))
     if known_cap is None:
@@ -360,7 +361,7 @@ def colocation(probes: DataFrame) -> DataFrame:
         ).alias("x"),
     ).select("probe_id", "boot_id", "slot", "x.*")
     totals = ordering.running_totals(
-        edges, ["at", "starts"], ordering.hour_bucket("at"), {"started": "starts", "ended": "ends"}, ["boot_id", "slot"]
+        edges, ["at", "starts"], ordering.time_bucket("at"), {"started": "starts", "ended": "ends"}, ["boot_id", "slot"]
     )
     overlaps = (
         F.max(F.when(F.col("ends") == 1, F.col("started"))) - F.max(F.when(F.col("starts") == 1, F.col("ended"))) - 1

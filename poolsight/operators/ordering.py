@@ -17,11 +17,12 @@ IDS_PER_BUCKET = 1 << 16
 
 
 def id_bucket(column: str, width: int = IDS_PER_BUCKET) -> Column:
+    """Ranges of consecutive ids; for dense ids, such as those a ledger hands out."""
     return F.floor(F.col(column) / F.lit(width))
 
 
-def hour_bucket(column: str) -> Column:
-    return F.date_trunc("hour", F.col(column))
+def time_bucket(column: str, unit: str = "hour") -> Column:
+    return F.date_trunc(unit, F.col(column))
 
 
 def running_totals(
