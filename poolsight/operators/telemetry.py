@@ -58,7 +58,10 @@ def identity_join(summaries: DataFrame, timeline: DataFrame) -> DataFrame:
 
 
 def stamp_identity(records: DataFrame, identity: DataFrame, on: str = "run_id") -> DataFrame:
-    """Put the client's baggage (requester, team) on every record that lacks its own value."""
+    """Put the client's baggage (requester, team) on every record that lacks its own value.
+
+    `identity` has one row per run; it may be static beside a stream of records.
+    """
     baggage = identity.select(
         F.col(on).alias("_run"), F.col("requester").alias("_requester"), F.col("team").alias("_team")
     )

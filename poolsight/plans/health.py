@@ -98,11 +98,12 @@ def topk_counters(spark, root):
 
 @query(
     "reduce_modes",
-    """SELECT collective, run, MIN(sec) FILTER (WHERE rank = 0) AS rank0, AVG(sec) AS avg, MIN(sec) AS min, MAX(sec) AS max, SUM(sec) AS sum
+    """SELECT collective, run, MIN(sec) FILTER (WHERE rank = 0) AS rank0, ROUND(AVG(sec), 9) AS avg, MIN(sec) AS min, MAX(sec) AS max, ROUND(SUM(sec), 9) AS sum
   FROM collective_bench GROUP BY 1, 2""",
 )
 def reduce_modes(spark, root):
-    return ops.reduce_modes(B.collective_bench(spark, root), ["collective", "run"])
+    modes = ops.reduce_modes(B.collective_bench(spark, root), ["collective", "run"])
+    return modes.withColumn("avg", F.round("avg", 9)).withColumn("sum", F.round("sum", 9))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,16 +11,21 @@ from pyspark.sql import functions as F
 
 from poolsight.sources import schemas
 
-NODE_PATTERN = r"node[_=]([0-9]+)"
+# Log chunks lie in a folder per node and are numbered in their names.
+NODE_PATTERN = r"node[_=]([0-9]+)/[^/]*$"
+CHUNK_PATTERN = r"-([0-9]+)\.chunk\.txt$"
 
 
 def log_text(spark: SparkSession, root: str) -> DataFrame:
-    """Chunked log lines with the node taken from the path; one row per line, files split freely."""
+    """Chunked log lines; node, chunk and kind come from the path, and files split freely."""
     path = F.col("_metadata.file_path")
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
     return spark.read.option("recursiveFileLookup", "true").text(root).select(
         F.col("value").alias("line"),
         path.alias("file"),
-        F.regexp_extract(path, NODE_PATTERN, 1).cast("int").alias("node"),
+        F.regexp_extract(path, NODE_PATTERN, 1).try_cast("int").alias("node"),
+        F.regexp_extract(path, CHUNK_PATTERN, 1).try_cast("int").alias("chunk"),
+        F.when(name.contains("launcher"), "launcher").otherwise("user").alias("kind"),
     )
 
 
@@ -30,8 +36,8 @@ def manifest_files(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.yaml")
         .text(root, wholetext=True)
     )
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    inside = F.regexp_extract(F.col("_metadata.file_path"), f".*/{base}/(.*)$", 1)
+    base = re.escape(root.rstrip("/").split(":/")[-1].strip("/"))
+    inside = F.regexp_extract(F.col("_metadata.file_path"), f"^.*?{base}/(.*)$", 1)
     return files.select(inside.alias("path"), F.col("value").alias("text"))
 
 

@@ -45,11 +45,12 @@ def test_manifests_to_catalog(spark, folder):
     put(root / "nocommand.yaml", "compute: {}\n")
     put(root / "list.yaml", "- 1\n")
     put(root / "notes.txt", "not a manifest")
+    put(root / "deep" / "workloads" / "y.yaml", "compute: {}\n")
     parsed = files.parse_manifests(files.manifest_files(spark, str(root))).cache()
     problems = {r.path: r.problem for r in parsed.collect()}
     assert problems == {
         "train.example.yaml": None, "train.yaml": None, "probes/net.example.yaml": None, "broken.yaml": "unparsable",
-        "nocommand.yaml": "no command", "list.yaml": "not a mapping",
+        "nocommand.yaml": "no command", "list.yaml": "not a mapping", "deep/workloads/y.yaml": "no command",
     }
     catalog = {r.name: r for r in ops.catalog_entries(parsed, "t").collect()}
     assert set(catalog) == {"train", "probes/net"}
@@ -88,9 +89,12 @@ def test_catalog_json_overrides_team(spark, folder):
 
 
 def test_log_chunks_carry_their_node(spark, folder):
-    put(folder / "logs" / "node_0" / "logs-0.chunk.txt", "RESULT a=1\nRESULT b=2\n")
-    put(folder / "logs" / "node_12" / "logs-12.chunk.txt", "RESULT a=3\n")
+    put(folder / "node_7" / "logs" / "node_0" / "logs-0.chunk.txt", "RESULT a=1\nRESULT b=2\n")
+    put(folder / "node_7" / "logs" / "node_12" / "logs-3.chunk.txt", "RESULT a=3\n")
+    put(folder / "node_7" / "logs" / "node_12" / "launcher.log-0.chunk.txt", "x\n")
     lines = files.log_text(spark, str(folder))
+    places = {(r.node, r.chunk, r.kind) for r in lines.collect()}
+    assert places == {(0, 0, "user"), (12, 3, "user"), (12, 0, "launcher")}
     got = {(r.node, r.key, r.value) for r in logs.result_line_kv(lines).collect()}
     assert got == {(0, "a", "1"), (0, "b", "2"), (12, "a", "3")}
 
