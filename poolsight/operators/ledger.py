@@ -244,12 +244,29 @@ def fold_polls(polls: DataFrame, by: str = "run_id") -> DataFrame:
         F.max("seq").alias("last_seq"),
         F.count(F.lit(1)).alias("polls"),
     )
+    return _named_states(folded, by)
+
+
+def merge_folds(folds: DataFrame, by: str = "run_id") -> DataFrame:
+    """Fold of folds: rows of `fold_polls` over parts of the polls give the fold over all of them."""
+    index = F.array_position(F.array(*[F.lit(s) for s in L.TERMINAL_STATES]), F.col("state")) - 1
+    merged = folds.groupBy(by).agg(
+        F.min_by(index, "settled_seq").alias("_index"),
+        F.min_by("finished_at", "settled_seq").alias("finished_at"),
+        F.min("settled_seq").alias("settled_seq"),
+        (F.max((F.col("state") == "RUNNING").cast("int")) == 1).alias("_running"),
+        F.max("last_seq").alias("last_seq"),
+        F.sum("polls").alias("polls"),
+    )
+    return _named_states(merged, by)
+
+
+def _named_states(folded: DataFrame, by: str) -> DataFrame:
     names = F.array(*[F.lit(s) for s in L.TERMINAL_STATES])
+    settled = F.get(names, F.col("_index").cast("int"))
     return folded.select(
         by,
-        F.coalesce(F.get(names, F.col("_index")), F.when(F.col("_running"), "RUNNING"), F.lit("SUBMITTED")).alias(
-            "state"
-        ),
+        F.coalesce(settled, F.when(F.col("_running"), "RUNNING"), F.lit("SUBMITTED")).alias("state"),
         "finished_at",
         "settled_seq",
         "last_seq",

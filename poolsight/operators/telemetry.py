@@ -129,18 +129,25 @@ def right_sizing(utilization: DataFrame, billed: DataFrame) -> DataFrame:
     )
 
 
-def delivery_check(sent: DataFrame, landed: DataFrame, within_s: int = 30) -> DataFrame:
-    """Acks prove nothing: compare each source's sent counter with rows landed in time."""
-    on_time = F.col("landed_at") <= F.col("sent_at") + F.make_dt_interval(secs=F.lit(within_s))
-    arrived = landed.groupBy("source").agg(
-        F.count(F.lit(1)).alias("landed"), F.count_if(on_time).alias("on_time")
-    )
+def landed_counts(landed: DataFrame, within_s: int = 30) -> DataFrame:
+    """Rows of (source, sent_at, landed_at) counted per source, in all and in time."""
+    on_time = F.col("landed_at") <= F.col("sent_at") + F.make_dt_interval(secs=F.lit(within_s).cast("decimal(18,6)"))
+    return landed.groupBy("source").agg(F.count(F.lit(1)).alias("landed"), F.count_if(on_time).alias("on_time"))
+
+
+def delivery_alerts(counts: DataFrame, sent: DataFrame) -> DataFrame:
+    """Acks prove nothing: sources whose rows landed in time fall short of their sent counter.
+
+    `counts` may hold several partial counts per source, one per micro-batch.
+    """
+    arrived = counts.groupBy("source").agg(F.sum("landed").alias("landed"), F.sum("on_time").alias("on_time"))
+    landed, on_time = F.coalesce("landed", F.lit(0)), F.coalesce("on_time", F.lit(0))
     return sent.join(arrived, "source", "left").select(
         "source",
         "expected",
-        F.coalesce("landed", F.lit(0)).cast("bigint").alias("landed"),
-        F.coalesce("on_time", F.lit(0)).cast("bigint").alias("on_time"),
-        (F.coalesce("on_time", F.lit(0)) < F.col("expected")).alias("alert"),
+        landed.cast("bigint").alias("landed"),
+        on_time.cast("bigint").alias("on_time"),
+        (on_time < F.col("expected")).alias("alert"),
     )
 
 

@@ -59,7 +59,7 @@ def stream_run_state_fold(spark, root):
     out, checkpoint = paths(spark, "stream-states")
     polls = B.run_polls(spark, root, events_stream(spark, root))
     jobs.fold_run_states(polls, out, checkpoint, True).awaitTermination()
-    return jobs.read_run_states(spark, out)
+    return jobs.read_run_states(spark, out).drop("settled_seq")
 
 
 @query(
@@ -75,7 +75,7 @@ def stream_delivery_check(spark, root):
     landed = events_stream(spark, root).select(
         F.col("user_id").alias("source"), F.col("ts").alias("sent_at"), (F.col("ts") + delay).alias("landed_at")
     )
-    jobs.count_deliveries(landed, out, checkpoint, True).awaitTermination()
+    jobs.count_deliveries(landed, out, checkpoint, drain=True).awaitTermination()
     lost = F.when(F.col("user_id") % 10 == 0, 1).otherwise(0)
     sent = (
         B.table(spark, root, "events")
@@ -83,7 +83,7 @@ def stream_delivery_check(spark, root):
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("user_id").alias("source"), (F.col("n") + lost).alias("expected"))
     )
-    return jobs.delivery_alerts(spark.read.parquet(out), sent)
+    return ops.delivery_alerts(spark.read.parquet(out), sent)
 
 
 @query(

@@ -53,59 +53,41 @@ def fold_run_states(polls: DataFrame, out: str, checkpoint: str, drain: bool = F
     return _trigger(writer, drain).start()
 
 
-def read_run_states(spark: SparkSession, out: str) -> DataFrame:
-    """Merge the per-batch folds: earliest terminal poll wins, else RUNNING, else SUBMITTED."""
-    log = spark.read.parquet(out)
-    settled = F.min(
-        F.when(F.col("settled_seq").isNotNull(), F.struct("settled_seq", "state", "finished_at"))
-    )
-    return (
-        log.groupBy("run_id")
-        .agg(
-            settled.alias("_s"),
-            F.max((F.col("state") == "RUNNING").cast("int")).alias("_running"),
-            F.max("last_seq").alias("last_seq"),
-            F.sum("polls").alias("polls"),
-        )
-        .select(
-            "run_id",
-            F.coalesce(
-                F.col("_s.state"), F.when(F.col("_running") == 1, "RUNNING"), F.lit("SUBMITTED")
-            ).alias("state"),
-            F.col("_s.finished_at").alias("finished_at"),
-            "last_seq",
-            "polls",
-        )
-    )
+def read_run_states(spark: SparkSession, out: str, snapshot: str | None = None, through: int = -1) -> DataFrame:
+    """Current state of every run: the folds of all batches, merged.
+
+    With a `snapshot` (see `snapshot_run_states`) only later batches are read beside it; the
+    batch number is a folder, so the others are pruned.
+    """
+    folds = spark.read.parquet(out).filter(F.col("batch") > through).drop("batch")
+    if snapshot is not None:
+        folds = folds.unionByName(spark.read.parquet(snapshot))
+    return ledger.merge_folds(folds)
+
 
+def snapshot_run_states(
+    spark: SparkSession, out: str, path: str, through: int, earlier: str | None = None, after: int = -1
+) -> None:
+    """Merge batches up to `through` (and an earlier snapshot up to `after`) into one table."""
+    kept = (F.col("batch") > after) & (F.col("batch") <= through)
+    folds = spark.read.parquet(out).filter(kept).drop("batch")
+    if earlier is not None:
+        folds = folds.unionByName(spark.read.parquet(earlier))
+    ledger.merge_folds(folds).write.parquet(path)
 
-def count_deliveries(landed: DataFrame, out: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
-    """Per batch, rows landed per source; `telemetry.delivery_check` compares them with the sender."""
+
+def count_deliveries(
+    landed: DataFrame, out: str, checkpoint: str, within_s: int = 30, drain: bool = False
+) -> StreamingQuery:
+    """Per batch, rows landed per source; `telemetry.delivery_alerts` compares them with the sender."""
 
     def write(batch: DataFrame, number: int) -> None:
-        on_time = F.col("landed_at") <= F.col("sent_at") + F.expr("INTERVAL 30 SECONDS")
-        counts = batch.groupBy("source").agg(
-            F.count(F.lit(1)).alias("landed"), F.count_if(on_time).alias("on_time")
-        )
-        counts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        telemetry.landed_counts(batch, within_s).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, drain).start()
 
 
-def delivery_alerts(counts: DataFrame, sent: DataFrame) -> DataFrame:
-    """Sources whose rows landed in time fall short of the sent counter."""
-    arrived = counts.groupBy("source").agg(F.sum("landed").alias("landed"), F.sum("on_time").alias("on_time"))
-    landed, on_time = F.coalesce("landed", F.lit(0)), F.coalesce("on_time", F.lit(0))
-    return sent.join(arrived, "source", "left").select(
-        "source",
-        "expected",
-        landed.cast("bigint").alias("landed"),
-        on_time.cast("bigint").alias("on_time"),
-        (on_time < F.col("expected")).alias("alert"),
-    )
-
-
 def utilization_windows(
     samples: DataFrame, out: str, checkpoint: str, window: str = "1 hour", late: str = "10 minutes",
     drain: bool = False,

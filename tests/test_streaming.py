@@ -54,9 +54,12 @@ def test_state_fold_over_batches_equals_batch_fold(spark, daily):
     out, checkpoint = place()
     polls = B.run_polls(spark, ROOT, jobs.read_events(spark, daily, files_per_trigger=1))
     jobs.fold_run_states(polls, out, checkpoint, True).awaitTermination()
-    want = ops.fold_polls(B.run_polls(spark, ROOT, spark.read.parquet(daily))).drop("settled_seq")
-    got = jobs.read_run_states(spark, out).select(want.columns)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    want = ops.fold_polls(B.run_polls(spark, ROOT, spark.read.parquet(daily)))
+    one, two = place()[0], place()[0]
+    jobs.snapshot_run_states(spark, out, one, through=1)
+    jobs.snapshot_run_states(spark, out, two, through=3, earlier=one, after=1)
+    for got in (jobs.read_run_states(spark, out), jobs.read_run_states(spark, out, one, 1), jobs.read_run_states(spark, out, two, 3)):
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def test_windows_close_behind_the_watermark(spark, daily):
