@@ -130,14 +130,16 @@ def team_headroom(asked: DataFrame, teams: DataFrame, ledger: DataFrame) -> Data
     )
 
 
+def _with_share_ratio(df: DataFrame, teams: DataFrame, ledger: DataFrame) -> DataFrame:
+    used = in_flight_nodes(ledger, ["team"]).withColumnRenamed("in_flight", "_used")
+    ratio = F.coalesce("_used", F.lit(0)) / F.nullif(F.greatest("quota_nodes", F.lit(0)), F.lit(0))
+    rated = df.join(teams.select("team", "quota_nodes"), "team", "left").join(used, "team", "left")
+    return rated.withColumn("share_ratio", F.coalesce(ratio, F.lit(L.NO_QUOTA_RATIO))).drop("quota_nodes", "_used")
+
+
 def share_ratios(asked: DataFrame, teams: DataFrame, ledger: DataFrame) -> DataFrame:
     """Nodes in flight over quota, over all shapes; no quota or unknown team sorts last."""
-    used = in_flight_nodes(ledger, ["team"])
-    known = asked.select("team").distinct().join(teams.select("team", "quota_nodes"), "team", "left")
-    ratio = F.coalesce("in_flight", F.lit(0)) / F.nullif(F.greatest("quota_nodes", F.lit(0)), F.lit(0))
-    return known.join(used, "team", "left").select(
-        "team", F.coalesce(ratio, F.lit(L.NO_QUOTA_RATIO)).alias("share_ratio")
-    )
+    return _with_share_ratio(asked.select("team").distinct(), teams, ledger)
 
 
 def fair_share_rank(ledger: DataFrame, teams: DataFrame) -> DataFrame:
@@ -146,10 +148,8 @@ def fair_share_rank(ledger: DataFrame, teams: DataFrame) -> DataFrame:
     The order is kept per shape because capacity is per shape. A hot shape is cut by ratio and
     id range: rows sort inside (shape, ratio, id range) and the counts of earlier cuts are added.
     """
-    queued = runs_in_state(ledger, ["QUEUED"])
-    rated = queued.join(share_ratios(queued, teams, ledger), "team").select(
-        "id", "shape", "team", "nodes", "share_ratio"
-    )
+    queued = runs_in_state(ledger, ["QUEUED"]).select("id", "shape", "team", "nodes")
+    rated = _with_share_ratio(queued, teams, ledger)
     cut = F.struct(F.col("share_ratio"), ordering.id_bucket("id").alias("ids"))
     return ordering.positions(rated, ["share_ratio", "id"], cut, ["shape"], "queue_position")
 
