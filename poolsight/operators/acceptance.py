@@ -98,17 +98,57 @@ def asset_unclaimed(
 def sentinel_link(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Each declared sentinel against its asset and the scripts the asset refers to.
 
-    Paths are resolved by equi joins; the only text test is per (sentinel, linked file).
+    Rows whose asset is missing are left to `registry_missing_asset`. Paths are resolved by equi
+    joins, and each (file, sentinel) is searched once however many assets share the file, so a
+    script that most assets refer to sends its text through one join row per sentinel.
     """
-    declared = registry.filter(F.col("asset").isNotNull()).select("id", "asset", F.explode("sentinels").alias("sentinel"))
-    assets = files.join(declared.select(F.col("asset").alias("path")).distinct(), "path", "left_semi")
+    assets = files.join(registry.select(F.col("asset").alias("path")).distinct(), "path", "left_semi")
     scripts = assets.filter(F.col("path").endswith(".yaml")).select(
         F.col("path").alias("asset"), F.explode(T.links(F.col("text"))).alias("path")
     )
     linked = scripts.unionByName(assets.select(F.col("path").alias("asset"), "path")).distinct()
-    pairs = declared.join(linked, "asset", "left").join(files.select("path", "text"), "path", "left")
-    hit = F.coalesce(F.col("text").contains(F.col("sentinel")), F.lit(False))
-    return pairs.groupBy("id", "asset", "sentinel").agg(F.bool_or(hit).alias("found"))
+    declared = registry.select("id", "asset", F.explode("sentinels").alias("sentinel"))
+    pairs = declared.join(linked, "asset")
+    hits = (
+        pairs.select("path", "sentinel")
+        .distinct()
+        .join(files.select("path", "text"), "path")
+        .filter(F.col("text").contains(F.col("sentinel")))
+        .select("path", "sentinel", F.lit(True).alias("_hit"))
+    )
+    return (
+        pairs.join(hits, ["path", "sentinel"], "left")
+        .groupBy("id", "asset", "sentinel")
+        .agg(F.bool_or(F.col("_hit").isNotNull()).alias("found"))
+    )
+
+
+def registry_drift_summary(registry: DataFrame, files: DataFrame, exempt_globs: Sequence[str]) -> DataFrame:
+    """Tests, sentinel-linked tests, problems by kind and pending ones, with an exit code.
+
+    A missing sentinel is pending, not a problem, where its row says why (`sentinels_pending`).
+    Each check is reduced to one count before the counts meet.
+    """
+    waiting = registry.filter(F.col("sentinels_pending").isNotNull()).select("id").distinct().withColumn("_p", F.lit(1))
+    absent = sentinel_link(registry, files).filter(~F.col("found")).join(waiting, "id", "left")
+    size = F.count(F.lit(1))
+    counts = {
+        "tests": registry.agg(size.alias("n")),
+        "sentinel_linked": registry.agg(F.count_if(F.size("sentinels") > 0).alias("n")),
+        "missing_assets": registry_missing_asset(registry, files).agg(size.alias("n")),
+        "missing_sentinels": absent.agg(F.count_if(F.col("_p").isNull()).alias("n")),
+        "pending": absent.agg(F.count("_p").alias("n")),
+        "unclaimed_assets": asset_unclaimed(files, registry, exempt_globs).agg(size.alias("n")),
+        "duplicate_ids": duplicate_ids(registry).agg(size.alias("n")),
+    }
+    rows = None
+    for kind, frame in counts.items():
+        part = frame.select(F.lit(kind).alias("kind"), "n")
+        rows = part if rows is None else rows.unionByName(part)
+    summary = rows.agg(*[F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(kind) for kind in counts])
+    duplicated = (F.col("duplicate_ids") > 0).cast("bigint")
+    problems = F.col("missing_assets") + F.col("missing_sentinels") + F.col("unclaimed_assets") + duplicated
+    return summary.withColumn("problems", problems).withColumn("exit_code", F.when(problems > 0, 1).otherwise(0))
 
 
 def duplicate_ids(registry: DataFrame) -> DataFrame:

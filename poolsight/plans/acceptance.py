@@ -50,10 +50,17 @@ def acceptance_verdict(spark, root):
     return ops.acceptance_verdict(B.checks(spark, root))
 
 
-@query(
-    "registry_missing_asset",
-    "SELECT id, asset FROM registry WHERE asset IS NOT NULL AND asset NOT IN (SELECT path FROM assets)",
-)
+MISSING = "SELECT id, asset FROM registry WHERE asset IS NOT NULL AND asset NOT IN (SELECT path FROM assets)"
+UNCLAIMED = """SELECT path FROM assets a WHERE regexp_matches(path, '^workloads/[^/]*[.]yaml$') AND NOT regexp_matches(path, '^workloads/w10[^/]*[.]yaml$')
+  AND path NOT IN (SELECT asset FROM registry WHERE asset IS NOT NULL)
+  AND NOT (path NOT LIKE '%.example.yaml' AND replace(path, '.yaml', '.example.yaml') IN (SELECT path FROM assets))"""
+LINKED = """SELECT id, asset, sentinel, bool_or(COALESCE(contains(f.text, sentinel), FALSE)) AS found FROM (
+  SELECT id, asset, unnest(sentinels) AS sentinel FROM registry WHERE asset IN (SELECT path FROM assets)) r
+  LEFT JOIN (SELECT path AS a, path AS linked FROM assets UNION SELECT path, unnest(regexp_extract_all(text, '\\$CODE_SOURCE_PATH/(\\S+\\.(?:py|sh))', 1)) FROM assets WHERE path LIKE '%.yaml') l
+    ON l.a = r.asset LEFT JOIN assets f ON f.path = l.linked GROUP BY 1, 2, 3"""
+
+
+@query("registry_missing_asset", MISSING)
 def registry_missing_asset(spark, root):
     return ops.registry_missing_asset(B.registry(spark, root), B.assets(spark, root))
 
@@ -61,27 +68,30 @@ def registry_missing_asset(spark, root):
 EXEMPT = ("workloads/probes/*.yaml", "workloads/w10*.yaml")
 
 
-@query(
-    "asset_unclaimed",
-    """SELECT path FROM assets a WHERE regexp_matches(path, '^workloads/[^/]*[.]yaml$') AND NOT regexp_matches(path, '^workloads/w10[^/]*[.]yaml$')
-  AND path NOT IN (SELECT asset FROM registry WHERE asset IS NOT NULL)
-  AND NOT (path NOT LIKE '%.example.yaml' AND replace(path, '.yaml', '.example.yaml') IN (SELECT path FROM assets))""",
-)
+@query("asset_unclaimed", UNCLAIMED)
 def asset_unclaimed(spark, root):
     return ops.asset_unclaimed(B.assets(spark, root), B.registry(spark, root), EXEMPT)
 
 
-@query(
-    "sentinel_link",
-    """SELECT id, asset, sentinel, bool_or(COALESCE(contains(f.text, sentinel), FALSE)) AS found FROM (
-  SELECT id, asset, unnest(['RESULT burn=PASS', 'torchrun']) AS sentinel FROM registry WHERE asset IS NOT NULL) r
-  LEFT JOIN (SELECT path AS a, path AS linked FROM assets UNION SELECT path, unnest(regexp_extract_all(text, '\\$CODE_SOURCE_PATH/(\\S+\\.(?:py|sh))', 1)) FROM assets WHERE path LIKE '%.yaml') l
-    ON l.a = r.asset LEFT JOIN assets f ON f.path = l.linked GROUP BY 1, 2, 3""",
-)
+@query("sentinel_link", LINKED)
 def sentinel_link(spark, root):
     return ops.sentinel_link(B.registry(spark, root), B.assets(spark, root))
 
 
+@query(
+    "registry_drift_summary",
+    f"""WITH l AS (SELECT *, id IN (SELECT id FROM registry WHERE sentinels_pending IS NOT NULL) AS waits FROM ({LINKED}) WHERE NOT found),
+  c AS (SELECT (SELECT COUNT(*) FROM registry) AS tests, (SELECT COUNT(*) FROM registry WHERE sentinels IS NOT NULL) AS sentinel_linked,
+    (SELECT COUNT(*) FROM ({MISSING})) AS missing_assets, (SELECT COUNT(*) FROM l WHERE NOT waits) AS missing_sentinels,
+    (SELECT COUNT(*) FROM l WHERE waits) AS pending, (SELECT COUNT(*) FROM ({UNCLAIMED})) AS unclaimed_assets,
+    (SELECT COUNT(*) FROM (SELECT id FROM registry GROUP BY 1 HAVING COUNT(*) > 1)) AS duplicate_ids)
+SELECT *, missing_assets + missing_sentinels + unclaimed_assets + CASE WHEN duplicate_ids > 0 THEN 1 ELSE 0 END AS problems,
+  CASE WHEN missing_assets + missing_sentinels + unclaimed_assets + duplicate_ids > 0 THEN 1 ELSE 0 END AS exit_code FROM c""",
+)
+def registry_drift_summary(spark, root):
+    return ops.registry_drift_summary(B.registry(spark, root), B.assets(spark, root), EXEMPT)
+
+
 @query("duplicate_ids", "SELECT id, COUNT(*) AS rows FROM registry GROUP BY 1 HAVING COUNT(*) > 1")
 def duplicate_ids(spark, root):
     return ops.duplicate_ids(B.registry(spark, root))

@@ -339,7 +339,8 @@ def registry(spark: SparkSession, root: str) -> DataFrame:
         F.col("p_brand").alias("hardware"),
         F.concat(F.lit("a|b\n"), "p_type").alias("result_note"),
         F.when(key % 3 != 0, F.col("p_type")).alias("evidence"),
-        F.array(F.lit("RESULT burn=PASS"), F.lit("torchrun")).alias("sentinels"),
+        F.when(key % 7 != 0, F.array(F.lit("RESULT burn=PASS"), F.lit("torchrun"))).alias("sentinels"),
+        F.when(key % 8 == 1, "waiting for a node").alias("sentinels_pending"),
     )
 
 

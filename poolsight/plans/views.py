@@ -98,7 +98,9 @@ SELECT user_id AS run, CASE WHEN user_id % 3 = 0 AND event_type = 'error' THEN '
 SELECT 'test-' || CAST(CASE WHEN p_partkey % 40 = 39 THEN p_partkey - 1 ELSE p_partkey END AS VARCHAR) AS id,
   CASE WHEN p_partkey % 9 <> 0 THEN 'workloads/w' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 4 = 0 THEN '.example.yaml' ELSE '.yaml' END END AS asset,
   p_name AS test, CASE p_partkey % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'BLOCKED' ELSE 'NOT RUN' END AS verdict,
-  p_brand AS hardware, 'a|b' || chr(10) || p_type AS result_note, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS evidence FROM part""",
+  p_brand AS hardware, 'a|b' || chr(10) || p_type AS result_note, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS evidence,
+  CASE WHEN p_partkey % 7 <> 0 THEN ['RESULT burn=PASS', 'torchrun'] END AS sentinels,
+  CASE WHEN p_partkey % 8 = 1 THEN 'waiting for a node' END AS sentinels_pending FROM part""",
     "assets": """
 SELECT 'workloads/w' || CAST(p_partkey + 5 AS VARCHAR) || CASE WHEN p_partkey % 4 = 3 THEN '.example.yaml' ELSE '.yaml' END AS path,
   'torchrun $CODE_SOURCE_PATH/scripts/s' || CAST((p_partkey + 5) % 50 AS VARCHAR) || '.py && echo started' AS text FROM part

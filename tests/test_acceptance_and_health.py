@@ -56,10 +56,17 @@ def test_registry_integrity(spark):
     unclaimed = A.asset_unclaimed(assets(spark), registry(spark), ["workloads/x-*.yaml"])
     assert [r.path for r in unclaimed.collect()] == ["workloads/free.yaml"]
     linked = {r.id: r.found for r in A.sentinel_link(registry(spark), assets(spark)).collect()}
-    assert linked == {"a": True, "b": False, "c": False}
+    assert linked == {"a": True, "c": False}
     assert [tuple(r) for r in A.duplicate_ids(registry(spark)).collect()] == [("a", 2)]
 
 
+def test_drift_summary(spark):
+    pending = registry(spark).withColumn("sentinels_pending", F.when(F.col("id") == "c", "soon"))
+    got = A.registry_drift_summary(pending, assets(spark), ["workloads/x-*.yaml"]).first()
+    assert (got.tests, got.sentinel_linked, got.missing_assets, got.missing_sentinels, got.pending) == (4, 4, 1, 0, 1)
+    assert (got.unclaimed_assets, got.duplicate_ids, got.problems, got.exit_code) == (1, 1, 3, 1)
+
+
 def test_glob_stays_inside_one_folder(spark):
     df = spark.createDataFrame([("w/a.yaml",), ("w/b/a.yaml",), ("w/ayaml",)], "p string")
     assert [r.p for r in df.filter(F.col("p").rlike(A.glob_pattern(["w/*.yaml"]))).collect()] == ["w/a.yaml"]
