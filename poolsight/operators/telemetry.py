@@ -6,6 +6,8 @@ timeline) stay in separate columns throughout.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,38 +83,49 @@ def failure_feed(logs: DataFrame, limit: int = 100, min_severity: int = WARN_SEV
     )
 
 
-def utilization_by_team(samples: DataFrame, teams: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Average and p95 utilisation and least memory headroom per team and window, beside quota.
+def window_utilization(samples: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Average and p95 utilisation and least memory headroom per team and tumbling window.
 
     Works on a batch or on a watermarked stream; the percentile is a mergeable sketch.
     """
-    rolled = samples.groupBy(F.window("ts", window).alias("w"), "team").agg(
-        F.avg("util_pct").alias("avg_util"),
-        F.percentile_approx("util_pct", 0.95, 10000).alias("p95_util"),
-        F.min(F.col("mem_total") - F.col("mem_used")).alias("min_mem_headroom"),
-        F.count(F.lit(1)).alias("samples"),
-    )
-    return rolled.join(teams.select("team", "quota_nodes"), "team", "left").select(
-        "team",
-        F.col("w.start").alias("window_start"),
-        "avg_util",
-        "p95_util",
-        "min_mem_headroom",
-        "samples",
-        "quota_nodes",
+    return (
+        samples.groupBy(F.window("ts", window).alias("w"), "team")
+        .agg(
+            F.avg("util_pct").alias("avg_util"),
+            F.percentile_approx("util_pct", 0.95, 10000).alias("p95_util"),
+            F.min(F.col("mem_total") - F.col("mem_used")).alias("min_mem_headroom"),
+            F.count(F.lit(1)).alias("samples"),
+        )
+        .select("team", F.col("w.start").alias("window_start"), "avg_util", "p95_util", "min_mem_headroom", "samples")
     )
 
 
-def run_health(active: DataFrame, telemetry: DataFrame, as_of: Column, stale_after_s: int = 600) -> DataFrame:
-    """Active runs with their latest event; no event or an old one marks a hung run."""
-    latest = telemetry.groupBy("run_id").agg(
-        F.max("ts").alias("last_event"), F.max_by("loss", "ts").alias("last_loss")
-    )
+def utilization_by_team(samples: DataFrame, teams: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Windowed utilisation beside the declared quota of each team."""
+    return window_utilization(samples, window).join(teams.select("team", "quota_nodes"), "team", "left")
+
+
+def run_health(
+    active: DataFrame,
+    telemetry: DataFrame,
+    as_of: Column,
+    measures: Sequence[str] = ("loss",),
+    stale_after_s: int = 600,
+) -> DataFrame:
+    """Active runs with their latest event and measures; no event or an old one marks a hung run.
+
+    A measure may be null on most rows; its last known value counts.
+    """
+
+    def last(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("ts"))).alias(f"last_{name}")
+
+    latest = telemetry.groupBy("run_id").agg(F.max("ts").alias("last_event"), *[last(m) for m in measures])
     seconds = F.timestamp_diff("SECOND", F.col("last_event"), as_of)
     return active.join(latest, "run_id", "left").select(
         *active.columns,
         "last_event",
-        "last_loss",
+        *[f"last_{m}" for m in measures],
         seconds.alias("seconds_since"),
         F.coalesce(seconds > stale_after_s, F.lit(True)).alias("stale"),
     )

@@ -88,7 +88,8 @@ def stream_delivery_check(spark, root):
 
 @query(
     "stream_util_windows",
-    f"""SELECT team, date_trunc('hour', ts) AS window_start, AVG(util_pct) AS avg_util, COUNT(*) AS samples FROM ({UTIL}) GROUP BY 1, 2
+    f"""SELECT team, date_trunc('hour', ts) AS window_start, AVG(util_pct) AS avg_util, quantile_disc(util_pct, 0.95) AS p95_util,
+  MIN(mem_total - mem_used) AS min_mem_headroom, COUNT(*) AS samples FROM ({UTIL}) GROUP BY 1, 2
   HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 10 MINUTE FROM events)""",
 )
 def stream_util_windows(spark, root):

@@ -151,17 +151,21 @@ def util_vs_quota(spark, root):
 
 @query(
     "run_health_stale",
-    """SELECT r.id, r.state, e.last_event, e.last_loss, date_sub('second', e.last_event, TIMESTAMP '2024-01-31 00:00:00') AS seconds_since,
+    """SELECT r.id, r.state, e.last_event, e.last_loss, e.last_util, date_sub('second', e.last_event, TIMESTAMP '2024-01-31 00:00:00') AS seconds_since,
   COALESCE(date_sub('second', e.last_event, TIMESTAMP '2024-01-31 00:00:00') > 600, TRUE) AS stale
-  FROM runs r LEFT JOIN (SELECT user_id, MAX(ts) AS last_event, arg_max(value, ts) AS last_loss FROM events GROUP BY 1) e ON e.user_id = r.id % 200
+  FROM runs r LEFT JOIN (SELECT user_id, MAX(ts) AS last_event, arg_max(value, ts) FILTER (WHERE event_type <> 'view') AS last_loss,
+    arg_max(event_id % 100, ts) FILTER (WHERE event_type = 'view') AS last_util FROM events GROUP BY 1) e ON e.user_id = r.id % 200
   WHERE r.state IN ('QUEUED', 'SUBMITTED', 'RUNNING')""",
 )
 def run_health_stale(spark, root):
     active = B.runs(spark, root).filter(L.state_in(L.ACTIVE_STATES)).select("id", "state", (F.col("id") % 200).alias("run_id"))
     seen = B.table(spark, root, "events").select(
-        F.col("user_id").alias("run_id"), F.col("ts"), F.col("value").alias("loss")
+        F.col("user_id").alias("run_id"),
+        "ts",
+        F.when(F.col("event_type") != "view", F.col("value")).alias("loss"),
+        F.when(F.col("event_type") == "view", F.col("event_id") % 100).alias("util"),
     )
-    return ops.run_health(active, seen, B.ntz("2024-01-31 00:00:00"), 600).drop("run_id")
+    return ops.run_health(active, seen, B.ntz("2024-01-31 00:00:00"), ("loss", "util")).drop("run_id")
 
 
 @query(

@@ -96,12 +96,9 @@ def utilization_windows(
 
     A watermark needs a zoned timestamp, so the UTC wall time is cast for it and back.
     """
-    rolled = (
-        samples.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", late)
-        .groupBy(F.window("ts", window).alias("w"), "team")
-        .agg(F.avg("util_pct").alias("avg_util"), F.count(F.lit(1)).alias("samples"))
-        .select("team", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "avg_util", "samples")
+    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rolled = telemetry.window_utilization(timed, window).withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz")
     )
     return _started(rolled.writeStream.outputMode("append").format("parquet"), out, checkpoint, drain)
 

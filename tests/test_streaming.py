@@ -65,7 +65,7 @@ def test_state_fold_over_batches_equals_batch_fold(spark, daily):
 def test_windows_close_behind_the_watermark(spark, daily):
     out, checkpoint = place()
     samples = jobs.read_events(spark, daily, files_per_trigger=100).select(
-        "ts", F.lit("t").alias("team"), F.col("value").alias("util_pct")
+        "ts", F.lit("t").alias("team"), F.col("value").alias("util_pct"), F.lit(80).alias("mem_total"), F.lit(30).alias("mem_used")
     )
     jobs.utilization_windows(samples, out, checkpoint, drain=True).awaitTermination()
     events = spark.read.parquet(daily)
