@@ -98,3 +98,20 @@ def stream_util_windows(spark, root):
     samples = utilization(spark, root, events_stream(spark, root))
     jobs.utilization_windows(samples, out, checkpoint, drain=True).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query(
+    "stream_run_health",
+    """WITH beats AS (SELECT user_id AS run_id, ts, CASE WHEN ts >= LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS opens FROM events),
+  sessions AS (SELECT run_id, ts, SUM(opens) OVER (PARTITION BY run_id ORDER BY ts) AS n FROM beats),
+  closed AS (SELECT run_id, MAX(ts) AS last_event, COUNT(*) AS events FROM sessions GROUP BY run_id, n)
+SELECT run_id, last_event, events, name FROM closed JOIN (SELECT c_custkey AS run_id, c_name AS name FROM customer) USING (run_id)
+WHERE last_event + INTERVAL 2 HOUR <= (SELECT MAX(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def stream_run_health(spark, root):
+    """Every time a known run fell silent for two hours."""
+    out, checkpoint = paths(spark, "stream-health")
+    beats = events_stream(spark, root).select(F.col("user_id").alias("run_id"), "ts")
+    known = B.table(spark, root, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("name"))
+    jobs.detect_silent_runs(beats, known, out, checkpoint, "2 hours", drain=True).awaitTermination()
+    return spark.read.parquet(out)

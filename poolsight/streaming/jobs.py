@@ -103,6 +103,31 @@ def utilization_windows(
     return _started(rolled.writeStream.outputMode("append").format("parquet"), out, checkpoint, drain)
 
 
+LOCAL_SESSION_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
+def detect_silent_runs(
+    heartbeats: DataFrame, active: DataFrame, out: str, checkpoint: str, silent_for: str = "10 minutes",
+    late: str = "10 minutes", drain: bool = False,
+) -> StreamingQuery:
+    """Active runs whose heartbeat stopped: one row each time no event came for `silent_for`.
+
+    A heartbeat gap is the end of a session window, so the state is native and the watermark
+    expires it; no timer code is needed. Sessions merge before the shuffle too, so a run that
+    sends most events is folded map-side.
+    """
+    active.sparkSession.conf.set(LOCAL_SESSION_MERGE, "true")
+    sessions = (
+        heartbeats.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
+        .groupBy("run_id", F.session_window("ts", silent_for).alias("w"))
+        .agg(F.max("ts").alias("last_event"), F.count(F.lit(1)).alias("events"))
+        .select("run_id", F.col("last_event").cast("timestamp_ntz").alias("last_event"), "events")
+    )
+    silent = sessions.join(active, "run_id")
+    return _started(silent.writeStream.outputMode("append").format("parquet"), out, checkpoint, drain)
+
+
 def append_audit(requests: DataFrame, out: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
     """The hub's own submissions, appended beside the workloads' telemetry."""
     return append_telemetry(telemetry.audit_events(requests), None, out, checkpoint, drain)

@@ -87,3 +87,18 @@ def test_audit_stream(spark, daily):
     jobs.append_audit(requests, out, checkpoint, True).awaitTermination()
     row = spark.read.parquet(out).orderBy("time").first()
     assert row.event_name == "run_requested" and row.message.startswith("run ")
+
+
+def test_silent_runs_close_after_the_gap(spark):
+    start = dt.datetime(2026, 1, 1)
+    minutes = [(1, 0), (1, 5), (1, 30), (2, 0), (2, 9), (2, 18), (3, 200)]
+    path = tempfile.mkdtemp(prefix="run-") + "/beats"
+    rows = [(run, start + dt.timedelta(minutes=m)) for run, m in minutes]
+    spark.createDataFrame(rows, "run_id int, ts timestamp_ntz").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("run_id int, ts timestamp_ntz").parquet(path)
+    out, checkpoint = place()
+    active = spark.createDataFrame([(1,), (2,)], "run_id int")
+    jobs.detect_silent_runs(stream, active, out, checkpoint, drain=True).awaitTermination()
+    got = {(r.run_id, r.last_event, r.events) for r in spark.read.parquet(out).collect()}
+    at = lambda m: start + dt.timedelta(minutes=m)
+    assert got == {(1, at(5), 2), (1, at(30), 1), (2, at(18), 3)}
