@@ -89,7 +89,7 @@ def clean_key(key: Column) -> Column:
 
 def size_bytes(text: Column) -> Column:
     """`8`, `4K`, `2M`, `1G` to bytes; anything else is -1."""
-    number = F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(.?)", 1)
+    number = _first_group(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(.?)")
     unit = F.upper(F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(.?)", 2))
     factor = (
         F.when(unit == "", 1.0)
@@ -97,7 +97,7 @@ def size_bytes(text: Column) -> Column:
         .when(unit == "M", 1024.0**2)
         .when(unit == "G", 1024.0**3)
     )
-    return F.coalesce(number.try_cast("double") * factor, F.lit(-1.0))
+    return F.coalesce(number.cast("double") * factor, F.lit(-1.0))
 
 
 def number_or_null(text: Column) -> Column:

@@ -100,9 +100,12 @@ def launcher_lines(spark, root):
 
 
 def written_logs(spark, root):
-    """The launcher lines as text chunks under node folders, read back with the node from the path."""
+    """The launcher lines as text chunks under node folders, read back with the node from the path.
+
+    Rebalancing by node keeps the files few, and splits a node that holds most of the lines.
+    """
     path = workspace.fresh_path(spark, "logs")
-    launcher_lines(spark, root).write.partitionBy("node").text(path)
+    launcher_lines(spark, root).hint("rebalance", "node").write.partitionBy("node").text(path)
     return files.log_text(spark, path)
 
 

@@ -14,7 +14,8 @@ from poolsight.streaming import jobs
 
 
 def events_stream(spark, root):
-    return jobs.read_events(spark, root, "events.parquet")
+    # A stream starts from a folder or a glob; this glob fits a table that is one file or a folder.
+    return jobs.read_events(spark, f"{root}/events.{{parquet}}")
 
 
 def paths(spark, name):

@@ -12,23 +12,31 @@ from pyspark.sql import functions as F
 from poolsight.sources import schemas
 
 # Log chunks lie in a folder per node and are numbered in their names.
-NODE_PATTERN = r"node[_=]([0-9]+)/[^/]*$"
+NODE_PATTERN = r"^node[_=]([0-9]+)$"
 CHUNK_PATTERN = r"-([0-9]+)\.chunk\.txt$"
 
 
 def log_text(spark: SparkSession, root: str) -> DataFrame:
-    """Chunked log lines; node, chunk and kind come from the path, and files split freely."""
+    """Chunked log lines; node, chunk and kind come from the path, and files split freely.
+
+    The path is cut at its last slashes first, so the patterns only see the two short names.
+    """
     path = F.col("_metadata.file_path")
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    name = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
     return spark.read.option("recursiveFileLookup", "true").text(root).select(
         F.col("value").alias("line"),
         path.alias("file"),
-        F.regexp_extract(path, NODE_PATTERN, 1).try_cast("int").alias("node"),
-        F.regexp_extract(path, CHUNK_PATTERN, 1).try_cast("int").alias("chunk"),
+        _number_in(folder, NODE_PATTERN).alias("node"),
+        _number_in(name, CHUNK_PATTERN).alias("chunk"),
         F.when(name.contains("launcher"), "launcher").otherwise("user").alias("kind"),
     )
 
 
+def _number_in(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
+
+
 def manifest_files(spark: SparkSession, root: str) -> DataFrame:
     """Every YAML file below `root` as (path relative to root, text)."""
     files = (

@@ -16,14 +16,10 @@ from poolsight.sources import schemas
 FLUSH_INTERVAL = "10 seconds"
 
 
-def read_events(spark: SparkSession, root: str, glob: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
-    """Event files as a stream, with the declared schema and a bounded number of files per batch."""
-    return (
-        spark.readStream.schema(schemas.EVENTS)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(root)
-    )
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Event files below a folder or glob as a stream, with the declared schema and bounded batches."""
+    reader = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
 def append_telemetry(

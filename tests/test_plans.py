@@ -6,6 +6,7 @@ import __spark_entry__ as entry_point
 from pyspark.sql import functions as F
 
 from poolsight.plans import bindings as B
+from poolsight.sources import schemas
 
 ROOT = "/root/testdata/sf0.001"
 def plan(spark, name):
@@ -39,3 +40,9 @@ def test_bindings_cover_whole_tables(spark):
     events = B.table(spark, ROOT, "events").count()
     for build in (B.run_polls, B.otel_logs, B.gpu_samples, B.probes, B.loss_curve, B.check_results, B.log_lines):
         assert build(spark, ROOT).agg(F.count(F.lit(1))).first()[0] == events
+
+
+@pytest.mark.parametrize("build,declared", [(B.usage, schemas.USAGE), (B.list_prices, schemas.LIST_PRICES), (B.timeline, schemas.JOB_RUN_TIMELINE)])
+def test_bindings_have_the_declared_types(spark, build, declared):
+    want = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], declared).schema}
+    assert dict(build(spark, ROOT).dtypes) == want

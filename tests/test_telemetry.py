@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from poolsight.operators import telemetry as ops
+from poolsight.sources import schemas
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -17,7 +18,7 @@ def test_identity_join_matches_a_value_once(spark):
     summaries = spark.createDataFrame([("7", 3), ("8", 1), (None, 2)], "mlflow_run_id string, log_rows bigint")
     timeline = spark.createDataFrame(
         [(1, {"a": "7", "b": "7"}, ("ann",), T0, "SUCCESS"), (2, {"a": "x", "b": None}, ("bob",), T0, "FAILED"), (3, None, ("eve",), T0, "FAILED")],
-        "run_id bigint, job_parameters map<string,string>, identity_metadata struct<run_as: string>, period_start_time timestamp_ntz, result_state string",
+        schemas.JOB_RUN_TIMELINE,
     )
     got = [(r.mlflow_run_id, r.job_run_id, r.authoritative_identity) for r in ops.identity_join(summaries, timeline).collect()]
     assert got == [("7", 1, "ann")]
