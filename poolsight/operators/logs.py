@@ -37,7 +37,7 @@ def launcher_parse(lines: DataFrame) -> DataFrame:
 
     return lines.select(
         *[c for c in lines.columns if c != "line"],
-        part(1).cast("timestamp_ntz").alias("logged_at"),
+        part(1).try_cast("timestamp_ntz").alias("logged_at"),
         part(2).alias("level"),
         part(3).alias("message"),
     )
@@ -61,7 +61,7 @@ def phase_duration(parsed: DataFrame, by: str = "file") -> DataFrame:
         F.min(F.when(message.contains(T.START_MARKER), at)).alias("started_at"),
         F.min(F.when(message.contains(T.USER_CODE_MARKER), at)).alias("user_code_at"),
         F.max(F.when(code.isNotNull(), at)).alias("exited_at"),
-        F.max(code.cast("int")).alias("exit_code"),
+        F.max(code.try_cast("int")).alias("exit_code"),
     )
     return spans.withColumn("seconds", F.timestamp_diff("SECOND", F.col("started_at"), F.col("exited_at")))
 

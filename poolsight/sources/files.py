@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from poolsight.sources import schemas
 
 # Log chunks lie in a folder per node and are numbered in their names.
-NODE_PATTERN = r"^node[_=]([0-9]+)$"
-CHUNK_PATTERN = r"-([0-9]+)\.chunk\.txt$"
+NODE_PATTERN = r"^node[_=]([0-9]{1,9})$"
+CHUNK_PATTERN = r"-([0-9]{1,9})\.chunk\.txt$"
 
 
 def log_text(spark: SparkSession, root: str) -> DataFrame:
@@ -81,22 +81,36 @@ def _manifest_row(path: str, text: str) -> tuple:
         return (path, *[None] * 7, "unparsable")
     if not isinstance(doc, dict):
         return (path, *[None] * 7, "not a mapping")
-    compute = doc.get("compute") or {}
-    snapshot = (doc.get("code_source") or {}).get("snapshot") or {}
-    command = doc.get("command")
+    compute = _mapping(doc.get("compute"))
+    included = _mapping(_mapping(doc.get("code_source")).get("snapshot")).get("include_paths") or []
     return (
         path,
-        doc.get("experiment_name"),
-        compute.get("accelerator_type"),
-        compute.get("num_accelerators"),
-        [str(p) for p in snapshot.get("include_paths") or []],
-        None if command is None else str(command),
-        doc.get("max_retries"),
-        doc.get("timeout_minutes"),
+        _text(doc.get("experiment_name")),
+        _text(compute.get("accelerator_type")),
+        _whole(compute.get("num_accelerators")),
+        [str(p) for p in included] if isinstance(included, list) else [str(included)],
+        _text(doc.get("command")) or ("" if "command" in doc else None),
+        _whole(doc.get("max_retries")),
+        _whole(doc.get("timeout_minutes")),
         None if "command" in doc else "no command",
     )
 
 
+def _mapping(value) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def _text(value) -> str | None:
+    return None if value is None else str(value)
+
+
+def _whole(value) -> int | None:
+    try:
+        return None if value is None else int(value)
+    except (TypeError, ValueError):
+        return None
+
+
 def config_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CONFIG).option("multiLine", "true").json(path)
 

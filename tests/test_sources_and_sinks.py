@@ -67,6 +67,15 @@ def test_live_but_broken_still_shadows_example(spark, folder):
     assert ops.catalog_entries(parsed, "t").count() == 0
 
 
+def test_odd_values_do_not_fail_the_scan(spark, folder):
+    root = folder / "workloads"
+    put(root / "odd.yaml", "compute: [1]\ncode_source: none\ncommand: 5\nmax_retries: many\nexperiment_name: 7\n")
+    put(root / "text.yaml", 'compute:\n  num_accelerators: "16"\n  accelerator_type: GPU_8xH100\ncommand:\n')
+    got = {r.path: r for r in files.parse_manifests(files.manifest_files(spark, str(root))).collect()}
+    assert (got["odd.yaml"].command, got["odd.yaml"].max_retries, got["odd.yaml"].experiment_name) == ("5", None, "7")
+    assert (got["text.yaml"].num_accelerators, got["text.yaml"].command, got["text.yaml"].problem) == (16, "", None)
+
+
 def test_config_document(spark, folder):
     put(folder / "config.json", json.dumps({
         "reservation": {"total_nodes": 20, "gpus_per_node": 8, "accelerator_type": "GPU_8xH100"},

@@ -59,6 +59,7 @@ def launcher(spark):
         "2026-07-17 21:46:40 - INFO - Recorded condition marker /work/UserCodeStarted",
         "2026-07-17 21:49:50 - INFO - User command exited with code 3",
         "stray text",
+        "2026-13-45 99:99:99 - INFO - impossible date",
     ]
     return ops.launcher_parse(spark.createDataFrame([("f", x) for x in lines], "file string, line string"))
 
