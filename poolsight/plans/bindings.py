@@ -34,14 +34,12 @@ def usage(spark: SparkSession, root: str) -> DataFrame:
     li, o, c = (table(spark, root, t) for t in ("lineitem", "orders", "customer"))
     supp, line, flag = F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_returnflag")
     low = F.col("o_orderpriority") == "5-LOW"
-    tags = F.map_from_entries(
-        F.filter(
-            F.array(
-                F.struct(F.lit("segment").alias("k"), F.when(~low, F.col("c_mktsegment")).alias("v")),
-                F.struct(F.lit("priority").alias("k"), F.when(line <= 3, F.col("o_orderpriority")).alias("v")),
-            ),
-            lambda e: e.v.isNotNull(),
-        )
+    segment, priority = F.when(~low, F.col("c_mktsegment")), F.when(line <= 3, F.col("o_orderpriority"))
+    segment_tag, priority_tag = (F.lit("segment"), segment), (F.lit("priority"), priority)
+    tags = (
+        F.when(segment.isNotNull() & priority.isNotNull(), F.create_map(*segment_tag, *priority_tag))
+        .when(segment.isNotNull(), F.create_map(*segment_tag))
+        .when(priority.isNotNull(), F.create_map(*priority_tag))
     )
     sku = F.when(flag == "R", "GPU_PROVISIONED_CAPACITY_S").when(flag == "A", "GPU_ON_DEMAND_S").otherwise("GPU_REGIONAL_S")
     return (
