@@ -1,4 +1,4 @@
 """Imports every operator of the subpackage, which registers its query."""
 
-from poolsight.llm import chat, decontamination, mixing, sharding  # noqa: F401
+from poolsight.llm import chat, decontamination, jaccard, language, mixing, quality, sharding  # noqa: F401
 from poolsight.llm.catalog import ORACLES, QUERIES  # noqa: F401
