@@ -98,21 +98,22 @@ def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+DOCS = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "n", "h")])
 
 
 def document_classes(docs: DataFrame, n: int, ident: str, text: str) -> DataFrame:
-    """(doc_id, n, h): set size and class id; h is null for an empty set."""
+    """(doc_id, text_hash, n, h): set size and class id; h is null for an empty set."""
 
     def run(batches):
         for batch in small_batches(batches):
             ids, sizes, classes = batch.column(0).to_pylist(), [], []
-            for s in shingle_sets(batch.column(1), n):
+            for s in shingle_sets(batch.column(2), n):
                 sizes.append(len(s))
                 classes.append(class_id(s) if len(s) else None)
-            yield _batch(DOCS, [ids, sizes, classes])
+            yield _batch(DOCS, [ids, batch.column(1), sizes, classes])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, h long")
+    chosen = docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, ", ".join(f"{f.name} long" for f in DOCS))
 
 
 def shingle_rank(docs: DataFrame, n: int, text: str, buckets: int = BUCKETS) -> np.ndarray:
@@ -378,14 +379,14 @@ def links_across(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def ngram_jaccard_join(
     docs: DataFrame, n: int = 3, percent: int = 90, ident: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row a row of `docs`: doc_id, n_shingles, component_id, n_links.
+    """One row a row of `docs`: doc_id, text_hash, n_shingles, group, component_id, n_links.
 
     Two rows link when the Jaccard similarity of their sets is at least `percent` per cent; rows of
-    equal sets always link. component_id is the least doc_id reachable by links, n_links the number
-    of rows linked with this one. Null and wordless texts have empty sets: they link with nothing
-    and are their own components. Null ids take no part in minima: a component of null ids alone has
-    a null id. Rows of one repeated id are separate rows. An empty table gives no rows, other
-    columns are not read. Ids of classes and shingles are 64-bit hashes.
+    equal sets always link. `group` names the rows that links connect (null: alone), component_id is
+    the least doc_id among them, n_links the number of rows linked with this one. Null and wordless
+    texts have empty sets: they link with nothing. Null ids take no part in minima: a component of
+    null ids alone has a null id. Rows of one repeated id are separate rows. An empty table gives no
+    rows, other columns are not read. Ids of classes and shingles are 64-bit hashes.
     """
     rows = materialise(document_classes(docs, n, ident, text), "set-classes")
     full = rows.filter("h is not null")
@@ -418,15 +419,31 @@ def ngram_jaccard_join(
     verdict = (
         rooted.join(least, "root")
         .join(linked, ["h", "n"], "left")
-        .select("h", "n", "component_id", (F.coalesce("outside", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("h", "n", F.col("root").alias("group"), "component_id", (F.coalesce("outside", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    known = full.join(verdict, ["h", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    known = full.join(verdict, ["h", "n"]).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "group", "component_id", "n_links")
     alone = rows.filter("h is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("group"),
+        F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"),
     )
     return known.union(alone)
 
 
+def keep_one(docs: DataFrame, joined: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of `joined` the row of the least (id, text hash) stays, ids before null ids.
+
+    Rows without a group stay. Rows repeated in id and text are one document and stay once.
+    """
+    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    first = joined.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(key).alias("k"))
+    stay = first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")).union(
+        joined.filter(F.col("group").isNull()).select("doc_id", "text_hash")
+    )
+    marked = docs.withColumn("__text_hash", F.xxhash64(F.col(text)))
+    same = F.col(ident).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    return marked.join(stay, same, "left_semi").dropDuplicates([ident, "__text_hash"]).drop("__text_hash")
+
+
 SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -446,4 +463,5 @@ FROM w LEFT JOIN z USING (doc_id) LEFT JOIN reach USING (doc_id) LEFT JOIN deg U
 
 @query("op4_set_relation_join", SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    joined = ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id", "n_links")
