@@ -42,7 +42,7 @@ def rotate_perspectives(
     lines = turns.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).alias("turn"),
-        F.coalesce(plain(name), F.lit("unknown")).alias("speaker"),
+        F.when(name.isNull(), "unknown").otherwise(plain(name)).alias("speaker"),
         name.isNull().alias("unnamed"),
         plain(F.col(text)).alias("words"),
     )

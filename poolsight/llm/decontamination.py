@@ -161,10 +161,12 @@ def decontaminate(
 
 
 def drop_contaminated(docs: DataFrame, verdicts: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of `docs` that no contaminated verdict names."""
+    """Rows of `docs` that no contaminated verdict names; these are broadcast if they are few enough."""
     bad = verdicts.filter("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
+    bad = materialise(bad.distinct(), "contaminated")
+    few = bad.count() <= BROADCAST_SHINGLES
     same = F.col(ident).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text)) == F.col("__bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")
 
 
 SQL = r"""
