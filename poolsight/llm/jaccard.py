@@ -183,7 +183,7 @@ def list_answers(run: np.ndarray, percent: int, fresh: int = 0) -> Iterator[tupl
     n, pos, h = run[1], run[2], run[3]
     sizes, starts = np.unique(n, return_index=True)
     ends = np.append(starts[1:], len(n))
-    bits = run[5:7].view(np.uint64)
+    low, high = run[5].view(np.uint64), run[6].view(np.uint64)
     found: dict[int, list[np.ndarray]] = {}
     for i, a in enumerate(sizes.tolist()):
         for j in range(i, len(sizes)):
@@ -202,11 +202,11 @@ def list_answers(run: np.ndarray, percent: int, fresh: int = 0) -> Iterator[tupl
             step = max(1, CELLS // len(ys))
             for x0 in range(int(starts[i]), x1, step):
                 xs = np.arange(x0, min(x0 + step, x1))
-                differ = np.bitwise_count(bits[0, xs, None] ^ bits[0, None, ys]).astype(np.int64)
-                differ += np.bitwise_count(bits[1, xs, None] ^ bits[1, None, ys])
-                keep = (differ <= a + b - 2 * alpha) & (h[xs, None] != h[None, ys])
+                differ = np.bitwise_count(low[xs][:, None] ^ low[ys][None, :]).astype(np.int64)
+                differ += np.bitwise_count(high[xs][:, None] ^ high[ys][None, :])
+                keep = (differ <= a + b - 2 * alpha) & (h[xs][:, None] != h[ys][None, :])
                 if i == j:
-                    keep &= h[xs, None] < h[None, ys]
+                    keep &= h[xs][:, None] < h[ys][None, :]
                 if fresh:
                     keep &= (xs[:, None] >= fresh) | (ys[None, :] >= fresh)
                 for r in np.flatnonzero(keep.any(axis=1)):
