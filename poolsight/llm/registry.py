@@ -1,4 +1,15 @@
 """Imports every operator of the subpackage, which registers its query."""
 
-from poolsight.llm import chat, decontamination, jaccard, language, mixing, quality, sharding  # noqa: F401
+from poolsight.llm import (  # noqa: F401
+    chat,
+    decontamination,
+    jaccard,
+    language,
+    mixing,
+    neighbours,
+    quality,
+    sharding,
+    token_scan,
+    warc,
+)
 from poolsight.llm.catalog import ORACLES, QUERIES  # noqa: F401
