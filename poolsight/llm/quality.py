@@ -194,6 +194,13 @@ def fit(f: Features, label: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS
     return m
 
 
+def constant(share: float) -> Machine:
+    """A machine that gives every text one score."""
+    share, n_stats = min(max(share, 1e-3), 1 - 1e-3), CLASSES + 7
+    size = BUCKETS + n_stats * BINS
+    return Machine(np.zeros((n_stats, BINS - 1)), float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, RANK), np.float32))
+
+
 def held_out(ident: Column, parts: int, remainder: int) -> Column:
     """Whether the crc32 of the id as text leaves the remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % parts == remainder
@@ -226,7 +233,7 @@ def train(
 
     Both labels are drawn evenly where they can be and weighted back to their shares among all labelled
     rows. Null labels and labels other than 0 and 1 are left out, of contradicting ones the lower holds.
-    With no usable row, or one label only, the result scores every text alike, at that share.
+    Where the rows to fit on hold less than two labels, every text scores alike: the share of label 1.
     """
     usable = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -237,13 +244,13 @@ def train(
     totals = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {label: min(n, max(fit_rows // 2, fit_rows - min(totals.values()))) for label, n in totals.items()}
     draws = [usable.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in share.items()]
+    known = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.5
     if len(draws) < 2:
-        rate = 1 - 1e-3 if totals.get(1) else 1e-3 if totals else 0.5
-        n_stats = CLASSES + 7
-        size = BUCKETS + n_stats * BINS
-        return Machine(np.zeros((n_stats, BINS - 1)), float(np.log(rate / (1 - rate))), np.zeros(size, np.float32), np.zeros((size, RANK), np.float32))
+        return constant(known)
     chosen = F.broadcast(draws[0].union(draws[1]))  # at most fit_rows rows of two numbers
     rows = _features_of(docs.join(chosen, "doc_id"), text, n_chars).collect()
+    if len({r["label"] for r in rows}) < 2:
+        return constant(known)
     rows.sort(key=lambda r: (r["doc_id"], r["stats"], r["buckets"]))
     buckets = [np.frombuffer(r["buckets"], np.int64) for r in rows]
     f = Features(
