@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolsight.functions import ledger as L
@@ -104,13 +104,17 @@ def shape_capacity(
     shapes: DataFrame, ledger: DataFrame, reservation: Reservation, quotas: Mapping[str, int]
 ) -> DataFrame:
     """Quota, reserved nodes, nodes in flight and nodes admittable now, per shape."""
+    return _capacity(shapes, in_flight_nodes(ledger, ["shape"]), reservation, quotas)
+
+
+def _capacity(shapes: DataFrame, in_flight: DataFrame, reservation: Reservation, quotas: Mapping[str, int]) -> DataFrame:
     quota = F.lit(0)
     for shape, nodes in quotas.items():
         quota = F.when(F.col("shape") == shape, nodes).otherwise(quota)
     reserved = F.when(
         F.col("shape") == reservation.accelerator_type, reservation.total_nodes
     ).otherwise(0)
-    counted = shapes.join(in_flight_nodes(ledger, ["shape"]), "shape", "left").select(
+    counted = shapes.join(in_flight, "shape", "left").select(
         "shape",
         quota.cast("bigint").alias("platform_quota_nodes"),
         reserved.cast("bigint").alias("reserved_nodes"),
@@ -145,13 +149,12 @@ def share_ratios(asked: DataFrame, teams: DataFrame, ledger: DataFrame) -> DataF
 def fair_share_rank(ledger: DataFrame, teams: DataFrame) -> DataFrame:
     """Queue position per shape by (share ratio, run id).
 
-    The order is kept per shape because capacity is per shape. A hot shape is cut by ratio and
-    id range: rows sort inside (shape, ratio, id range) and the counts of earlier cuts are added.
+    The order is kept per shape because capacity is per shape; a null shape is a shape. A hot shape
+    is counted range by range.
     """
     queued = runs_in_state(ledger, ["QUEUED"]).select("id", "shape", "team", "nodes")
     rated = _with_share_ratio(queued, teams, ledger)
-    cut = F.struct(F.col("share_ratio"), ordering.id_bucket("id").alias("ids"))
-    return ordering.positions(rated, ["share_ratio", "id"], cut, ["shape"], "queue_position")
+    return ordering.positions(rated, ["share_ratio", "id"], ["shape"], "queue_position")
 
 
 def fits_now(
@@ -159,8 +162,11 @@ def fits_now(
 ) -> DataFrame:
     """Each queued run against free nodes of its shape and room of its team, taken alone."""
     queued = runs_in_state(ledger, ["QUEUED"]).select("id", "shape", "team", "nodes")
-    capacity = shape_capacity(queued.select("shape").distinct(), ledger, reservation, quotas)
-    used = in_flight_nodes(ledger).withColumnRenamed("in_flight", "_held")
+    # one aggregate over the ledger serves the team's room and, summed up, the shape's capacity
+    used = in_flight_nodes(ledger)
+    per_shape = used.groupBy("shape").agg(F.sum("in_flight").alias("in_flight"))
+    capacity = _capacity(queued.select("shape").distinct(), per_shape, reservation, quotas)
+    used = used.withColumnRenamed("in_flight", "_held")
     room = F.coalesce(F.col("quota_nodes") - F.coalesce("_held", F.lit(0)), F.lit(0))
     return (
         queued.join(capacity.select("shape", "admittable"), "shape", "left")
@@ -333,10 +339,9 @@ def peak_concurrency(
 ) -> DataFrame:
     """Most holds [start, end) active at once, per group.
 
-    +1/-1 steps are first summed per instant (map-side), then run along time cuts, so a group
-    with a third of all holds still spreads over its hours. Without groups the cuts are minutes.
+    +1/-1 steps are first summed per instant (map-side), then run range by range, so a group with a
+    third of all holds, or one dense hour of it, still spreads.
     """
-    cut = ordering.time_bucket("at", "hour" if by else "minute")
     steps = holds.select(
         *by,
         F.explode(
@@ -347,7 +352,7 @@ def peak_concurrency(
         ).alias("e"),
     )
     net = steps.groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.step").alias("net"))
-    running = ordering.running_totals(net, ["at"], cut, {"active": "net"}, by)
+    running = ordering.running_totals(net, ["at"], {"active": "net"}, by)
     peak = F.coalesce(F.max("active"), F.lit(0)).cast("bigint")
     out = running.groupBy(*by).agg(peak.alias("peak"))
     if known_cap is None:
@@ -356,42 +361,64 @@ def peak_concurrency(
 
 
 def colocation(probes: DataFrame) -> DataFrame:
-    """Per probe: how many other holds overlapped it on its node, and how many on its own GPUs.
+    """Per probe: how many other holds overlapped it on its node, and how many of these share a GPU.
 
-    Input: probe_id, boot_id, gpu_uuids (array), hold_start, hold_end. Counted without pairs:
-    overlaps = starts before my end - ends up to my start - 1. Edges are ordered by time with
-    ends before starts, so both counts are running totals read at the probe's own edges. The
-    totals are cut by hour, so neither a hot node nor a dense hour multiplies rows. The whole
-    node counts as one more slot beside its GPUs, which makes it a single pass.
+    Input: probe_id, boot_id, gpu_uuids (array), hold_start, hold_end. Counted without pairs of
+    holds: overlaps = starts before my end - ends up to my start. Holds of one node and one set of
+    GPUs form a lane. Few sets occur on a node, so pairs of sets are cheap: each probe reads the
+    counts of every lane whose set meets its own, and of the whole node, at its own two edges.
+    Starts and ends are summed per instant first; edges run by time, ends before starts.
     """
-    real = probes.filter(F.col("hold_end") > F.col("hold_start"))
-    slots = F.concat(F.array(F.lit(WHOLE_NODE)), F.array_distinct(F.col("gpu_uuids").cast("array<string>")))
-    edges = real.select("probe_id", "boot_id", F.explode(slots).alias("slot"), "hold_start", "hold_end").select(
-        "probe_id",
-        "boot_id",
-        "slot",
-        F.explode(
+    gpus = F.array_sort(F.array_distinct(F.col("gpu_uuids").cast("array<string>")))
+    real = probes.filter(F.col("hold_end") > F.col("hold_start")).select(
+        "probe_id", "boot_id", F.coalesce(gpus, F.array().cast("array<string>")).alias("gpus"), "hold_start", "hold_end"
+    )
+    sets = real.select("boot_id", "gpus").distinct()
+    other = sets.select(F.col("boot_id").alias("_boot"), F.col("gpus").alias("lane"))
+    meeting = sets.join(other, F.col("boot_id").eqNullSafe(F.col("_boot"))).filter(F.arrays_overlap("gpus", "lane"))
+    node = F.array(F.lit(WHOLE_NODE))
+    lanes = meeting.select("boot_id", "gpus", "lane").union(sets.select("boot_id", "gpus", node)).groupBy("boot_id", "gpus").agg(
+        F.collect_list("lane").alias("lanes")
+    )
+    lanes = lanes.select(F.col("boot_id").alias("_boot"), F.col("gpus").alias("_gpus"), "lanes")
+    asked = real.join(lanes, F.col("boot_id").eqNullSafe(F.col("_boot")) & (F.col("gpus") == F.col("_gpus")))
+    read = asked.select("probe_id", "boot_id", "gpus", F.explode("lanes").alias("lane"), "hold_start", "hold_end")
+
+    def edges(df: DataFrame, probe: Column, starts: Column) -> DataFrame:
+        """Two edges a row: the end (kind 0) sorts before the start (kind 1) of the same instant."""
+        edge = F.explode(
             F.array(
-                F.struct(F.col("hold_end").alias("at"), F.lit(0).alias("starts"), F.lit(1).alias("ends")),
-                F.struct(F.col("hold_start").alias("at"), F.lit(1).alias("starts"), F.lit(0).alias("ends")),
+                F.struct(F.col("hold_end").alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("starts"), starts.alias("ends")),
+                F.struct(F.col("hold_start").alias("at"), F.lit(1).alias("kind"), starts.alias("starts"), F.lit(0).alias("ends")),
             )
-        ).alias("x"),
-    ).select("probe_id", "boot_id", "slot", "x.*")
+        )
+        return df.select(probe.cast(probes.schema["probe_id"].dataType).alias("probe_id"), "boot_id", "lane", edge.alias("x")).select(
+            "probe_id", "boot_id", "lane", "x.*"
+        )
+
+    own = real.select("boot_id", F.explode(F.array("gpus", node)).alias("lane"), "hold_start", "hold_end")
+    counted = edges(own, F.lit(None), F.lit(1)).groupBy("probe_id", "boot_id", "lane", "at", "kind").agg(
+        F.sum("starts").alias("starts"), F.sum("ends").alias("ends")
+    )
+    steps = counted.unionByName(edges(read, F.col("probe_id"), F.lit(0).cast("bigint")))
     totals = ordering.running_totals(
-        edges, ["at", "starts"], ordering.time_bucket("at"), {"started": "starts", "ended": "ends"}, ["boot_id", "slot"]
+        steps, ["at", "kind", "probe_id"], {"started": "starts", "ended": "ends"}, ["boot_id", "lane"]
     )
-    overlaps = (
-        F.max(F.when(F.col("ends") == 1, F.col("started"))) - F.max(F.when(F.col("starts") == 1, F.col("ended"))) - 1
+    before_end = F.max(F.when(F.col("kind") == 0, F.col("started")))
+    by_start = F.max(F.when(F.col("kind") == 1, F.col("ended")))
+    per_lane = (
+        totals.filter(F.col("probe_id").isNotNull())
+        .groupBy("probe_id", "boot_id", "lane")
+        .agg((before_end - by_start).alias("overlaps"))
     )
-    # Placed by probe once, which serves both groupings below.
-    placed = totals.repartition("probe_id")
-    per_slot = placed.groupBy("probe_id", "boot_id", "slot").agg(overlaps.alias("overlaps"))
-    whole = F.col("slot") == WHOLE_NODE
+    # a lane of GPUs and the whole node both count the probe itself once
+    whole = F.col("lane") == node
+    shared = F.coalesce(F.sum(F.when(~whole, F.col("overlaps"))) - 1, F.lit(0))
     return (
-        per_slot.groupBy("probe_id", "boot_id")
+        per_lane.groupBy("probe_id", "boot_id")
         .agg(
-            F.max(F.when(whole, F.col("overlaps"))).alias("cotenants"),
-            F.coalesce(F.max(F.when(~whole, F.col("overlaps"))), F.lit(0).cast("bigint")).alias("gpu_cotenants"),
+            (F.max(F.when(whole, F.col("overlaps"))) - 1).cast("bigint").alias("cotenants"),
+            shared.cast("bigint").alias("gpu_cotenants"),
         )
         .withColumn(
             "placement",

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolsight.operators import ordering
+
 REQUESTER_KEY = "workload.requester"
 RUN_KEY = "workload.run_id"
 WARN_SEVERITY = 13  # fixed value: WARN in the telemetry severity scale
@@ -83,20 +85,78 @@ def failure_feed(logs: DataFrame, limit: int = 100, min_severity: int = WARN_SEV
     )
 
 
-def window_utilization(samples: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Average and p95 utilisation and least memory headroom per team and tumbling window.
+def utilization_counts(samples: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Samples per team, tumbling window and value, with the least memory headroom: rows that merge."""
+    return (
+        samples.groupBy(F.window("ts", window).alias("w"), "team", "util_pct")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("mem_total") - F.col("mem_used")).alias("headroom"))
+        .select("team", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "util_pct", "n", "headroom")
+    )
+
+
+def merge_utilization_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("team", "window_start", "util_pct").agg(
+        F.sum("n").alias("n"), F.min("headroom").alias("headroom")
+    )
 
-    Works on a batch or on a watermarked stream; the percentile is a mergeable sketch.
+
+def utilization_from_counts(counts: DataFrame, percent: int = 95) -> DataFrame:
+    """Average and exact percentile of utilisation and least memory headroom per team and window.
+
+    The percentile is the least value that `percent` of the samples do not exceed, found on counts by
+    value; running counts are taken range by range, so a window with most samples still spreads.
     """
+    group = ["team", "window_start"]
+    valued = counts.withColumn("known", F.when(F.col("util_pct").isNotNull(), F.col("n")).otherwise(0))
+    ranked = ordering.running_totals(valued, ["util_pct"], {"upto": "known"}, group)
+    totals = valued.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group]).agg(F.sum("known").alias("total"))
+    reached = 100 * F.col("upto") >= percent * F.col("total")
     return (
-        samples.groupBy(F.window("ts", window).alias("w"), "team")
+        ranked.join(totals, ordering.same(group, "_of_"))
+        .groupBy(*group)
         .agg(
-            F.avg("util_pct").alias("avg_util"),
-            F.percentile_approx("util_pct", 0.95, 10000).alias("p95_util"),
-            F.min(F.col("mem_total") - F.col("mem_used")).alias("min_mem_headroom"),
-            F.count(F.lit(1)).alias("samples"),
+            (F.sum(F.col("util_pct") * F.col("known")) / F.nullif(F.sum("known"), F.lit(0))).alias("avg_util"),
+            F.min(F.when(reached, F.col("util_pct"))).alias("p95_util"),
+            F.min("headroom").alias("min_mem_headroom"),
+            F.sum("n").alias("samples"),
         )
-        .select("team", F.col("w.start").alias("window_start"), "avg_util", "p95_util", "min_mem_headroom", "samples")
+    )
+
+
+def window_utilization(samples: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Utilisation per team and tumbling window of a batch of samples."""
+    return utilization_from_counts(utilization_counts(samples, window))
+
+
+def beat_sessions(heartbeats: DataFrame, silent_for: str = "10 minutes") -> DataFrame:
+    """Runs of heartbeats less than `silent_for` apart, per run: rows that merge."""
+    return (
+        heartbeats.withColumn("ts", F.col("ts").cast("timestamp"))
+        .groupBy("run_id", F.session_window("ts", silent_for).alias("w"))
+        .agg(F.min("ts").alias("first_event"), F.max("ts").alias("last_event"), F.count(F.lit(1)).alias("events"))
+        .select("run_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_event", "last_event")], "events")
+    )
+
+
+def merge_sessions(sessions: DataFrame, silent_for: str = "10 minutes") -> DataFrame:
+    """Sessions of any parts of the heartbeats give the sessions of all of them."""
+    by_start = Window.partitionBy("run_id").orderBy("first_event", "last_event")
+    reached = F.max("last_event").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opens = reached.isNull() | (F.col("first_event") >= reached + F.expr(f"INTERVAL {silent_for}"))
+    numbered = sessions.withColumn("_opens", opens.cast("int")).withColumn("_n", F.sum("_opens").over(by_start))
+    return (
+        numbered.groupBy("run_id", "_n")
+        .agg(F.min("first_event").alias("first_event"), F.max("last_event").alias("last_event"), F.sum("events").alias("events"))
+        .drop("_n")
+    )
+
+
+def silent_runs(sessions: DataFrame, active: DataFrame, silent_for: str = "10 minutes") -> DataFrame:
+    """Sessions of active runs, and whether the run has fallen silent after each."""
+    now = sessions.agg(F.max("last_event")).scalar()
+    silent = F.col("last_event") + F.expr(f"INTERVAL {silent_for}") <= now
+    return sessions.join(active, "run_id").select(
+        "run_id", "last_event", "events", *[c for c in active.columns if c != "run_id"], silent.alias("silent")
     )
 
 
@@ -148,12 +208,16 @@ def landed_counts(landed: DataFrame, within_s: int = 30) -> DataFrame:
     return landed.groupBy("source").agg(F.count(F.lit(1)).alias("landed"), F.count_if(on_time).alias("on_time"))
 
 
+def merge_landed_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("source").agg(F.sum("landed").alias("landed"), F.sum("on_time").alias("on_time"))
+
+
 def delivery_alerts(counts: DataFrame, sent: DataFrame) -> DataFrame:
     """Acks prove nothing: sources whose rows landed in time fall short of their sent counter.
 
     `counts` may hold several partial counts per source, one per micro-batch.
     """
-    arrived = counts.groupBy("source").agg(F.sum("landed").alias("landed"), F.sum("on_time").alias("on_time"))
+    arrived = merge_landed_counts(counts)
     landed, on_time = F.coalesce("landed", F.lit(0)), F.coalesce("on_time", F.lit(0))
     return sent.join(arrived, "source", "left").select(
         "source",

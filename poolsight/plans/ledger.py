@@ -302,8 +302,8 @@ def peak_concurrency(spark, root):
 @query(
     "colocation_join",
     """SELECT a.probe_id, a.boot_id, COUNT(b.probe_id) AS cotenants,
-  GREATEST(COUNT(CASE WHEN a.gpu IN (b.gpu, b.gpu2) THEN 1 END), COUNT(CASE WHEN a.gpu2 IN (b.gpu, b.gpu2) THEN 1 END)) AS gpu_cotenants,
-  CASE WHEN COUNT(b.probe_id) = 0 THEN 'alone' WHEN GREATEST(COUNT(CASE WHEN a.gpu IN (b.gpu, b.gpu2) THEN 1 END), COUNT(CASE WHEN a.gpu2 IN (b.gpu, b.gpu2) THEN 1 END)) = 0 THEN 'shared_node'
+  COUNT(CASE WHEN a.gpu IN (b.gpu, b.gpu2) OR a.gpu2 IN (b.gpu, b.gpu2) THEN 1 END) AS gpu_cotenants,
+  CASE WHEN COUNT(b.probe_id) = 0 THEN 'alone' WHEN COUNT(CASE WHEN a.gpu IN (b.gpu, b.gpu2) OR a.gpu2 IN (b.gpu, b.gpu2) THEN 1 END) = 0 THEN 'shared_node'
        ELSE 'shared_gpu' END AS placement
   FROM (SELECT * FROM probes WHERE hold_end > hold_start) a LEFT JOIN (SELECT * FROM probes WHERE hold_end > hold_start) b
     ON a.boot_id = b.boot_id AND a.probe_id <> b.probe_id AND a.hold_start < b.hold_end AND b.hold_start < a.hold_end GROUP BY ALL""",

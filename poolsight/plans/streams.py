@@ -84,21 +84,19 @@ def stream_delivery_check(spark, root):
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("user_id").alias("source"), (F.col("n") + lost).alias("expected"))
     )
-    return ops.delivery_alerts(spark.read.parquet(out), sent)
+    return ops.delivery_alerts(jobs.read_deliveries(spark, out), sent)
 
 
 @query(
     "stream_util_windows",
     f"""SELECT team, date_trunc('hour', ts) AS window_start, AVG(util_pct) AS avg_util, quantile_disc(util_pct, 0.95) AS p95_util,
-  MIN(mem_total - mem_used) AS min_mem_headroom, COUNT(*) AS samples FROM ({UTIL}) GROUP BY 1, 2
-  HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 10 MINUTE FROM events)""",
+  MIN(mem_total - mem_used) AS min_mem_headroom, COUNT(*) AS samples FROM ({UTIL}) GROUP BY 1, 2""",
 )
 def stream_util_windows(spark, root):
-    """Closed windows only: the watermark holds back what may still get late samples."""
     out, checkpoint = paths(spark, "stream-util")
     samples = utilization(spark, root, events_stream(spark, root))
     jobs.utilization_windows(samples, out, checkpoint, drain=True).awaitTermination()
-    return spark.read.parquet(out)
+    return jobs.read_utilization(spark, out)
 
 
 @query(
@@ -106,13 +104,13 @@ def stream_util_windows(spark, root):
     """WITH beats AS (SELECT user_id AS run_id, ts, CASE WHEN ts >= LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS opens FROM events),
   sessions AS (SELECT run_id, ts, SUM(opens) OVER (PARTITION BY run_id ORDER BY ts) AS n FROM beats),
   closed AS (SELECT run_id, MAX(ts) AS last_event, COUNT(*) AS events FROM sessions GROUP BY run_id, n)
-SELECT run_id, last_event, events, name FROM closed JOIN (SELECT c_custkey AS run_id, c_name AS name FROM customer) USING (run_id)
-WHERE last_event + INTERVAL 2 HOUR <= (SELECT MAX(ts) - INTERVAL 10 MINUTE FROM events)""",
+SELECT run_id, last_event, events, name, last_event + INTERVAL 2 HOUR <= (SELECT MAX(ts) FROM events) AS silent
+FROM closed JOIN (SELECT c_custkey AS run_id, c_name AS name FROM customer) USING (run_id)""",
 )
 def stream_run_health(spark, root):
-    """Every time a known run fell silent for two hours."""
+    """Every spell of events of a known run, and whether two silent hours followed."""
     out, checkpoint = paths(spark, "stream-health")
     beats = events_stream(spark, root).select(F.col("user_id").alias("run_id"), "ts")
     known = B.table(spark, root, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("name"))
-    jobs.detect_silent_runs(beats, known, out, checkpoint, "2 hours", drain=True).awaitTermination()
-    return spark.read.parquet(out)
+    jobs.detect_silent_runs(beats, out, checkpoint, "2 hours", drain=True).awaitTermination()
+    return jobs.read_silent_runs(spark, out, known, "2 hours")

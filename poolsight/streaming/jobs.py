@@ -6,6 +6,9 @@ resumes from the checkpoint. Nothing is kept in driver memory.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +17,10 @@ from poolsight.operators import ledger, telemetry
 from poolsight.sources import schemas
 
 FLUSH_INTERVAL = "10 seconds"
+#: Batches folded into one snapshot.
+COMPACT_EVERY = 100
+
+Fold = Callable[[DataFrame], DataFrame]
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -35,93 +42,107 @@ def append_telemetry(
 
 
 def fold_run_states(polls: DataFrame, out: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
-    """Keep each run's ledger state current; terminal states are final.
+    """Keep each run's ledger state current; terminal states are final."""
+    return keep_parts(polls, ledger.fold_polls, ledger.merge_folds, out, checkpoint, drain)
 
-    Each micro-batch is folded on its own and written to `out/batch=N`. A replayed batch
-    overwrites its own folder, so the log is exactly-once, and reading it merges the small
-    per-batch folds (`read_run_states`). The stream itself holds no growing state.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        ledger.fold_polls(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+def read_run_states(spark: SparkSession, out: str) -> DataFrame:
+    """Current state of every run."""
+    return ledger.merge_folds(read_parts(spark, out))
 
-    writer = polls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(writer, drain).start()
 
+def count_deliveries(
+    landed: DataFrame, out: str, checkpoint: str, within_s: int = 30, drain: bool = False
+) -> StreamingQuery:
+    """Rows landed per source; `telemetry.delivery_alerts` compares them with the sender."""
+    count = partial(telemetry.landed_counts, within_s=within_s)
+    return keep_parts(landed, count, telemetry.merge_landed_counts, out, checkpoint, drain)
 
-def read_run_states(spark: SparkSession, out: str, snapshot: str | None = None, through: int = -1) -> DataFrame:
-    """Current state of every run: the folds of all batches, merged.
 
-    With a `snapshot` (see `snapshot_run_states`) only later batches are read beside it; the
-    batch number is a folder, so the others are pruned.
-    """
-    folds = spark.read.parquet(out).filter(F.col("batch") > through).drop("batch")
-    if snapshot is not None:
-        folds = folds.unionByName(spark.read.parquet(snapshot))
-    return ledger.merge_folds(folds)
+def read_deliveries(spark: SparkSession, out: str) -> DataFrame:
+    return telemetry.merge_landed_counts(read_parts(spark, out))
 
 
-def snapshot_run_states(
-    spark: SparkSession, out: str, path: str, through: int, earlier: str | None = None, after: int = -1
-) -> None:
-    """Merge batches up to `through` (and an earlier snapshot up to `after`) into one table."""
-    kept = (F.col("batch") > after) & (F.col("batch") <= through)
-    folds = spark.read.parquet(out).filter(kept).drop("batch")
-    if earlier is not None:
-        folds = folds.unionByName(spark.read.parquet(earlier))
-    ledger.merge_folds(folds).write.parquet(path)
+def utilization_windows(
+    samples: DataFrame, out: str, checkpoint: str, window: str = "1 hour", drain: bool = False
+) -> StreamingQuery:
+    """Tumbling utilisation per team, kept as counts by value, so late samples of any age count."""
+    count = partial(telemetry.utilization_counts, window=window)
+    return keep_parts(samples, count, telemetry.merge_utilization_counts, out, checkpoint, drain)
 
 
-def count_deliveries(
-    landed: DataFrame, out: str, checkpoint: str, within_s: int = 30, drain: bool = False
+def read_utilization(spark: SparkSession, out: str) -> DataFrame:
+    """Every window so far, open ones too."""
+    return telemetry.utilization_from_counts(telemetry.merge_utilization_counts(read_parts(spark, out)))
+
+
+def detect_silent_runs(
+    heartbeats: DataFrame, out: str, checkpoint: str, silent_for: str = "10 minutes", drain: bool = False
 ) -> StreamingQuery:
-    """Per batch, rows landed per source; `telemetry.delivery_alerts` compares them with the sender."""
+    """Sessions of heartbeats less than `silent_for` apart, mergeable whatever order files come in."""
+    fold = partial(telemetry.beat_sessions, silent_for=silent_for)
+    merge = partial(telemetry.merge_sessions, silent_for=silent_for)
+    return keep_parts(heartbeats, fold, merge, out, checkpoint, drain)
 
-    def write(batch: DataFrame, number: int) -> None:
-        telemetry.landed_counts(batch, within_s).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(writer, drain).start()
+def read_silent_runs(spark: SparkSession, out: str, active: DataFrame, silent_for: str = "10 minutes") -> DataFrame:
+    """Sessions of the active runs; `silent` once no event of any run came for so long after the last."""
+    sessions = telemetry.merge_sessions(read_parts(spark, out), silent_for)
+    return telemetry.silent_runs(sessions, active, silent_for)
 
 
-def utilization_windows(
-    samples: DataFrame, out: str, checkpoint: str, window: str = "1 hour", late: str = "10 minutes",
-    drain: bool = False,
+def keep_parts(
+    stream: DataFrame, fold: Fold, merge: Fold, out: str, checkpoint: str, drain: bool = False, every: int = COMPACT_EVERY
 ) -> StreamingQuery:
-    """Tumbling utilisation per team; the watermark bounds the state and closes windows.
+    """Fold each micro-batch into mergeable rows of its own folder; nothing depends on event time.
 
-    A watermark needs a zoned timestamp, so the UTC wall time is cast for it and back.
+    No watermark is set, so no row is ever too late and the stream holds no state. A replayed batch
+    overwrites its folder. `every` batches are a generation; when the next one begins, the finished
+    one and the snapshot before it are merged into a new snapshot, and what that replaces is removed
+    one generation later. A reader sees the newest snapshot and at most two generations of batches.
     """
-    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    rolled = telemetry.window_utilization(timed, window).withColumn(
-        "window_start", F.col("window_start").cast("timestamp_ntz")
-    )
-    return _started(rolled.writeStream.outputMode("append").format("parquet"), out, checkpoint, drain)
 
+    def write(batch: DataFrame, number: int) -> None:
+        generation = number // every
+        if number % every == 0 and generation > 0:
+            _snapshot(batch.sparkSession, merge, out, generation - 1)
+        fold(batch).write.mode("overwrite").parquet(f"{out}/parts/generation={generation}/batch={number}")
 
-LOCAL_SESSION_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, drain).start()
 
 
-def detect_silent_runs(
-    heartbeats: DataFrame, active: DataFrame, out: str, checkpoint: str, silent_for: str = "10 minutes",
-    late: str = "10 minutes", drain: bool = False,
-) -> StreamingQuery:
-    """Active runs whose heartbeat stopped: one row each time no event came for `silent_for`.
+def read_parts(spark: SparkSession, out: str, through: int | None = None) -> DataFrame:
+    """The newest finished snapshot (of a generation below `through`) and the batches after it."""
+    snapshots = [g for g in _generations(spark, f"{out}/snapshots", "_SUCCESS") if through is None or g < through]
+    kept = max(snapshots, default=-1)
+    later = [g for g in _generations(spark, f"{out}/parts") if g > kept and (through is None or g <= through)]
+    paths = [f"{out}/parts/generation={g}/*" for g in later] + [f"{out}/snapshots/generation={kept}"] * (kept >= 0)
+    if not paths:
+        raise ValueError(f"no batch has been written to {out}")
+    return spark.read.parquet(*paths)
 
-    A heartbeat gap is the end of a session window, so the state is native and the watermark
-    expires it; no timer code is needed. Sessions merge before the shuffle too, so a run that
-    sends most events is folded map-side.
-    """
-    active.sparkSession.conf.set(LOCAL_SESSION_MERGE, "true")
-    sessions = (
-        heartbeats.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", late)
-        .groupBy("run_id", F.session_window("ts", silent_for).alias("w"))
-        .agg(F.max("ts").alias("last_event"), F.count(F.lit(1)).alias("events"))
-        .select("run_id", F.col("last_event").cast("timestamp_ntz").alias("last_event"), "events")
-    )
-    silent = sessions.join(active, "run_id")
-    return _started(silent.writeStream.outputMode("append").format("parquet"), out, checkpoint, drain)
+
+def _snapshot(spark: SparkSession, merge: Fold, out: str, generation: int) -> None:
+    merged = merge(read_parts(spark, out, through=generation))
+    merged.write.mode("overwrite").parquet(f"{out}/snapshots/generation={generation}")
+    for replaced in (f"{out}/parts/generation={generation - 1}", f"{out}/snapshots/generation={generation - 2}"):
+        fs, path = _place(spark, replaced)
+        fs.delete(path, True)
+
+
+def _generations(spark: SparkSession, folder: str, marker: str = "") -> list[int]:
+    fs, path = _place(spark, folder)
+    if not fs.exists(path):
+        return []
+    found = [status.getPath() for status in fs.listStatus(path)]
+    whole = [p for p in found if not marker or fs.exists(_place(spark, f"{p.toString()}/{marker}")[1])]
+    return [int(p.getName().split("=")[1]) for p in whole]
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def append_audit(requests: DataFrame, out: str, checkpoint: str, drain: bool = False) -> StreamingQuery:

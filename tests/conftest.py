@@ -11,7 +11,5 @@ from poolsight.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="poolsight-"))
-    return session
+    """A local session; where no shared folder is named, the tests name a temporary one."""
+    return local_session(8, "tests", shared=tempfile.mkdtemp(prefix="poolsight-"))

@@ -7,11 +7,11 @@ form. No plan may need a nested loop or row-at-a-time Python.
 import pytest
 
 import __spark_entry__ as entry_point
+from poolsight.plans.registry import REGISTRY
 from tests.oracle import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+QUERIES, ORACLES = REGISTRY.queries, REGISTRY.oracles
 FORBIDDEN = ("NestedLoop", "CartesianProduct", "BroadcastHashJoin", "PythonUDF", "ArrowEvalPython")
 
 

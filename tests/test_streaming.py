@@ -2,11 +2,13 @@
 
 import datetime as dt
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from poolsight.operators import ledger as ops
+from poolsight.operators import telemetry
 from poolsight.plans import bindings as B
 from poolsight.streaming import jobs
 
@@ -55,27 +57,53 @@ def test_state_fold_over_batches_equals_batch_fold(spark, daily):
     polls = B.run_polls(spark, ROOT, jobs.read_events(spark, daily, files_per_trigger=1))
     jobs.fold_run_states(polls, out, checkpoint, True).awaitTermination()
     want = ops.fold_polls(B.run_polls(spark, ROOT, spark.read.parquet(daily)))
-    one, two = place()[0], place()[0]
-    jobs.snapshot_run_states(spark, out, one, through=1)
-    jobs.snapshot_run_states(spark, out, two, through=3, earlier=one, after=1)
-    for got in (jobs.read_run_states(spark, out), jobs.read_run_states(spark, out, one, 1), jobs.read_run_states(spark, out, two, 3)):
-        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert same(jobs.read_run_states(spark, out), want)
 
 
-def test_windows_close_behind_the_watermark(spark, daily):
-    out, checkpoint = place()
-    samples = jobs.read_events(spark, daily, files_per_trigger=100).select(
-        "ts", F.lit("t").alias("team"), F.col("value").alias("util_pct"), F.lit(80).alias("mem_total"), F.lit(30).alias("mem_used")
+def same(got, want):
+    return got.count() == want.count() and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def utilisation(events):
+    return events.select(
+        "ts", F.concat(F.lit("t"), F.col("user_id") % 3).alias("team"), F.floor("value").cast("double").alias("util_pct"),
+        F.lit(80).alias("mem_total"), (F.col("event_id") % 50).alias("mem_used"),
     )
-    jobs.utilization_windows(samples, out, checkpoint, drain=True).awaitTermination()
-    events = spark.read.parquet(daily)
-    last = events.agg(F.max("ts")).first()[0]
-    got = {r.window_start: r.samples for r in spark.read.parquet(out).collect()}
-    hours = {}
-    for r in events.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).collect():
-        hours[r.h] = hours.get(r.h, 0) + 1
-    closed = {h: n for h, n in hours.items() if h + dt.timedelta(hours=1) <= last - dt.timedelta(minutes=10)}
-    assert got == closed
+
+
+def test_windows_of_a_backlog_in_falling_order_are_whole(spark, daily):
+    out, checkpoint = place()
+    query = jobs.utilization_windows(utilisation(jobs.read_events(spark, daily, 1)), out, checkpoint, drain=True)
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 5
+    want = telemetry.window_utilization(utilisation(spark.read.parquet(daily)))
+    assert same(jobs.read_utilization(spark, out), want)
+    assert want.agg(F.sum("samples")).first()[0] == spark.read.parquet(daily).count()
+
+
+def test_sessions_of_a_backlog_in_falling_order_are_whole(spark, daily):
+    out, checkpoint = place()
+    beats = jobs.read_events(spark, daily, 1).select(F.col("user_id").alias("run_id"), "ts")
+    jobs.detect_silent_runs(beats, out, checkpoint, "9 hours", drain=True).awaitTermination()
+    known = spark.range(500).select(F.col("id").alias("run_id"))
+    whole = telemetry.beat_sessions(spark.read.parquet(daily).select(F.col("user_id").alias("run_id"), "ts"), "9 hours")
+    assert same(jobs.read_silent_runs(spark, out, known, "9 hours"), telemetry.silent_runs(whole, known, "9 hours"))
+    assert spark.read.parquet(out + "/parts").count() > whole.count()
+
+
+def test_generations_are_merged_and_folders_stay_few(spark, daily):
+    out, checkpoint = place()
+    landed = jobs.read_events(spark, daily, 1).select(F.col("user_id").alias("source"), F.col("ts").alias("sent_at"), F.col("ts").alias("landed_at"))
+    jobs.keep_parts(landed, telemetry.landed_counts, telemetry.merge_landed_counts, out, checkpoint, True, every=2).awaitTermination()
+    names = lambda folder: sorted(p.name for p in Path(out, folder).iterdir() if p.is_dir())
+    assert names("snapshots") == ["generation=0", "generation=1"] and names("parts") == ["generation=1", "generation=2"]
+    want = telemetry.landed_counts(spark.read.parquet(daily).select(F.col("user_id").alias("source"), F.col("ts").alias("sent_at"), F.col("ts").alias("landed_at")))
+    assert same(jobs.read_deliveries(spark, out), want)
+
+
+def test_reading_before_any_batch_says_so(spark):
+    with pytest.raises(ValueError, match="no batch"):
+        jobs.read_run_states(spark, place()[0])
 
 
 def test_audit_stream(spark, daily):
@@ -91,14 +119,13 @@ def test_audit_stream(spark, daily):
 
 def test_silent_runs_close_after_the_gap(spark):
     start = dt.datetime(2026, 1, 1)
-    minutes = [(1, 0), (1, 5), (1, 30), (2, 0), (2, 9), (2, 18), (3, 200)]
+    at = lambda m: start + dt.timedelta(minutes=m)
     path = tempfile.mkdtemp(prefix="run-") + "/beats"
-    rows = [(run, start + dt.timedelta(minutes=m)) for run, m in minutes]
-    spark.createDataFrame(rows, "run_id int, ts timestamp_ntz").coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("run_id int, ts timestamp_ntz").parquet(path)
+    for minutes in ([(3, 200), (1, 15)], [(1, 30), (2, 9), (1, 195)], [(1, 0), (1, 5), (2, 0), (2, 18)]):
+        spark.createDataFrame([(run, at(m)) for run, m in minutes], "run_id int, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("run_id int, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(path)
     out, checkpoint = place()
     active = spark.createDataFrame([(1,), (2,)], "run_id int")
-    jobs.detect_silent_runs(stream, active, out, checkpoint, drain=True).awaitTermination()
-    got = {(r.run_id, r.last_event, r.events) for r in spark.read.parquet(out).collect()}
-    at = lambda m: start + dt.timedelta(minutes=m)
-    assert got == {(1, at(5), 2), (1, at(30), 1), (2, at(18), 3)}
+    jobs.detect_silent_runs(stream, out, checkpoint, drain=True).awaitTermination()
+    got = {(r.run_id, r.last_event, r.events, r.silent) for r in jobs.read_silent_runs(spark, out, active).collect()}
+    assert got == {(1, at(5), 2, True), (1, at(15), 1, True), (1, at(30), 1, True), (1, at(195), 1, False), (2, at(18), 3, True)}
