@@ -87,10 +87,16 @@ def clean_key(key: Column) -> Column:
     return F.regexp_replace(key, KEY_BAD_CHARS, "_")
 
 
+SIZE_PATTERN = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*(.?)"
+
+
 def size_bytes(text: Column) -> Column:
-    """`8`, `4K`, `2M`, `1G` to bytes; anything else is -1."""
-    number = _first_group(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(.?)")
-    unit = F.upper(F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(.?)", 2))
+    """A number as C reads it (sign, fraction, exponent) and a unit letter, `4K`, `.5M`, `1e3`, to bytes.
+
+    Other units and text without a leading number give -1.
+    """
+    number = _first_group(text, SIZE_PATTERN)
+    unit = F.upper(F.regexp_extract(text, SIZE_PATTERN, 2))
     factor = (
         F.when(unit == "", 1.0)
         .when(unit == "K", 1024.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from poolsight.functions import ledger as L
 from poolsight.functions import text as T
+from poolsight.operators import logs
 
 # Probes expected to fail everywhere, and those expected to fail off CPU.
 EXPECTED_BROKEN = ("catalog_bucket_read", "pypi_egress", "mlflow_artifact_upload")
@@ -72,9 +73,21 @@ def registry_missing_asset(registry: DataFrame, files: DataFrame) -> DataFrame:
     return named.join(files.select(F.col("path").alias("asset")), "asset", "left_anti").select("id", "asset")
 
 
+GLOB_PARTS = re.compile(r"(\*\*/?)|(\*)|(\?)|(\[!?[^\]]+\])|(.)")
+
+
 def glob_pattern(globs: Sequence[str]) -> str:
-    """One anchored regex for shell globs in which `*` does not cross a slash."""
-    return "^(" + "|".join(re.escape(g).replace(r"\*", "[^/]*") for g in globs) + ")$"
+    """One anchored regex for shell globs: `*` and `?` stay inside a folder, `**` crosses folders."""
+
+    def part(found: re.Match) -> str:
+        deep, star, one, charset, plain = found.groups()
+        if deep:
+            return "(?:.*/)?" if deep.endswith("/") else ".*"
+        if charset:
+            return "[" + ("^" if charset[1] == "!" else "") + charset[1:-1].lstrip("!").replace("\\", "\\\\") + "]"
+        return "[^/]*" if star else "[^/]" if one else re.escape(plain)
+
+    return "^(" + "|".join(GLOB_PARTS.sub(part, g) for g in globs) + ")$"
 
 
 def asset_unclaimed(
@@ -156,13 +169,13 @@ def duplicate_ids(registry: DataFrame) -> DataFrame:
 
 
 def distinct_hardware(runs: DataFrame, receipts: DataFrame, requested: int) -> DataFrame:
-    """Passing receipts of SUCCESS runs against the distinct nodes their GPU ids prove.
+    """Passing first receipts of SUCCESS runs against the distinct nodes their GPU ids prove.
 
-    Host names repeat across nodes, so nodes are counted as distinct GPU ids over eight. The
+    One receipt counts per run, the first. Host names repeat across nodes, so nodes are counted as distinct GPU ids over eight. The
     distinct count spreads over the ids and no id list is gathered.
     """
     done = runs.filter(F.col("result") == "SUCCESS").select("job_run_id")
-    joined = done.join(receipts.select("job_run_id", "burn", "gpus_visible", "gpu_uuids"), "job_run_id", "left")
+    joined = done.join(logs.first_receipts(receipts), "job_run_id", "left")
     passed = (F.col("burn") == "PASS") & (F.col("gpus_visible") == str(GPUS_PER_NODE))
     flagged = joined.select(
         F.coalesce(passed, F.lit(False)).alias("passed"), F.split("gpu_uuids", ",").alias("ids")
@@ -180,6 +193,38 @@ def distinct_hardware(runs: DataFrame, receipts: DataFrame, requested: int) -> D
     )
 
 
+def failed_receipts(runs: DataFrame, receipts: DataFrame) -> DataFrame:
+    """SUCCESS runs whose first receipt does not pass, and why: none found, burn or GPU count."""
+    done = runs.filter(F.col("result") == "SUCCESS").select("job_run_id")
+    joined = done.join(logs.first_receipts(receipts), "job_run_id", "left")
+    reason = (
+        F.when(F.col("receipt_id").isNull(), "no receipt")
+        .when(~F.col("burn").eqNullSafe(F.lit("PASS")), "burn")
+        .when(~F.col("gpus_visible").eqNullSafe(F.lit(str(GPUS_PER_NODE))), "gpus_visible")
+    )
+    return joined.select("job_run_id", "receipt_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+# Fixed value: printed by a fabric probe whose result is right on every rank.
+FABRIC_SENTINEL = "MULTINODE_NCCL_V5_OK"
+
+
+def fabric_verdict(runs: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Whether each fabric run (job_run_id, result, nodes) proved its fabric; null below two nodes.
+
+    It did if it succeeded and its first receipt shows the sentinel and one rank for every GPU asked for.
+    """
+    found = runs.join(logs.first_receipts(receipts), "job_run_id", "left")
+    proved = (
+        F.col("result").eqNullSafe(F.lit("SUCCESS"))
+        & F.col("probe_sentinel").eqNullSafe(F.lit(FABRIC_SENTINEL))
+        & F.col("world_size").eqNullSafe((F.col("nodes") * GPUS_PER_NODE).cast("string"))
+    )
+    return found.select(
+        "job_run_id", "nodes", "world_size", "busbw_gbps", F.when(F.col("nodes") >= 2, proved).alias("ok")
+    )
+
+
 def failure_classify(runs: DataFrame) -> DataFrame:
     return runs.select("*", L.outcome_class(F.col("result"), F.col("message")).alias("outcome"))
 

@@ -311,17 +311,21 @@ def catalog_shadow(files: DataFrame) -> DataFrame:
     )
 
 
+def live_manifests(files: DataFrame) -> DataFrame:
+    """The files (path, ...) that no live twin shadows; decided on paths, before anything is parsed."""
+    return files.join(catalog_shadow(files).select("path"), "path", "left_semi")
+
+
 def catalog_entries(manifests: DataFrame, team: str) -> DataFrame:
-    """Catalog rows from parsed manifests (see sources.manifests), shadowed twins removed."""
-    live = catalog_shadow(manifests).select("path", F.regexp_replace("key", r"^[./]+", "").alias("name"))
+    """Catalog rows from the parsed live manifests (see sources.files); those without a command are left out."""
+    name = F.regexp_replace(L.manifest_key(F.col("path")), r"^[./]+", "").alias("name")
     stem = F.regexp_extract("path", r"([^/]+)\.yaml$", 1)
     hints = F.concat(F.array(stem), F.coalesce("include_paths", F.array().cast("array<string>")))
     shape = F.coalesce("accelerator_type", F.lit(""))
     return (
         manifests.filter(F.col("command").isNotNull())
-        .join(live, "path")
         .select(
-            "name",
+            name,
             F.lit("yaml").alias("kind"),
             F.col("path").alias("ref"),
             F.lit(team).alias("team"),

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from poolsight.functions import order as O
 from poolsight.functions import text as T
@@ -82,9 +83,7 @@ def json_results(payloads: DataFrame, text: str = "payload") -> DataFrame:
 
 def melt_metrics(wide: DataFrame, dataset: str, metrics: Sequence[str]) -> DataFrame:
     """Wide bench rows to `dataset.metric` rows; text, null and NaN values are skipped."""
-    numeric = [
-        c for c in metrics if wide.schema[c].dataType.simpleString() in ("int", "bigint", "double", "float")
-    ]
+    numeric = [c for c in metrics if isinstance(wide.schema[c].dataType, NumericType)]
     tall = wide.select(dataset, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
         [dataset], numeric, "metric", "value"
     )
@@ -94,11 +93,17 @@ def melt_metrics(wide: DataFrame, dataset: str, metrics: Sequence[str]) -> DataF
 
 
 def sanitise_params(params: DataFrame) -> DataFrame:
-    """Legal keys and clipped values; on a key clash the last value written is kept."""
-    clean = params.select("run", T.clean_key(F.col("key")).alias("key"), "value", "seq")
-    return clean.groupBy("run", "key").agg(
-        F.substring(F.max_by("value", "seq"), 1, T.PARAM_CHARS).alias("value")
-    )
+    """Legal keys and clipped values; on a key clash the last value written (unique `seq`) is kept.
+
+    The last place is found on numbers, in the hash path; text is fetched for the winners only.
+    """
+    clean = params.select("run", T.clean_key(F.col("key")).alias("key"), "seq")
+    last = clean.groupBy("run", "key").agg(F.max("seq").alias("seq"))
+    value = F.substring("value", 1, T.PARAM_CHARS).alias("value")
+    texts = params.select(F.col("run").alias("_run"), T.clean_key(F.col("key")).alias("_key"), F.col("seq").alias("_seq"), value)
+    return last.join(
+        texts, F.col("run").eqNullSafe(F.col("_run")) & (F.col("key") == F.col("_key")) & (F.col("seq") == F.col("_seq"))
+    ).select("run", "key", "value")
 
 
 def sanitise_metrics(metrics: DataFrame) -> DataFrame:
@@ -109,16 +114,19 @@ def sanitise_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def first_receipts(receipts: DataFrame) -> DataFrame:
-    """First receipt per job run tag; an aggregate, so a hot tag combines map-side."""
-    fields = F.struct("logged_at", "receipt_id", "params")
-    return receipts.groupBy("job_run_id").agg(F.min_by(fields, F.struct("logged_at", "receipt_id")).alias("r")).select(
-        "job_run_id", F.col("r.receipt_id").alias("receipt_id"), F.col("r.params").alias("params")
-    )
+    """The first receipt (by time, then unique id) of each job run, with all its columns.
+
+    Its place is found on numbers, so a hot run combines map-side; a join then fetches the row.
+    """
+    place = O.major_minor(O.micros(F.col("logged_at")), F.col("receipt_id"))
+    first = receipts.groupBy(F.col("job_run_id").alias("_run")).agg(F.min(place).alias("_place"))
+    found = receipts.join(first, (F.col("job_run_id") == F.col("_run")) & (place == F.col("_place")))
+    return found.drop("_run", "_place")
 
 
 def receipt_lookup(runs: DataFrame, receipts: DataFrame, required: bool = False) -> DataFrame:
     """Each run with its first receipt; with `required`, a run without one fails the query."""
-    found = runs.join(first_receipts(receipts), "job_run_id", "left")
+    found = runs.join(first_receipts(receipts).drop("logged_at"), "job_run_id", "left")
     if not required:
         return found
     message = F.concat(F.lit("no receipt tagged with job run "), F.col("job_run_id").cast("string"))

@@ -97,10 +97,54 @@ def duplicate_ids(spark, root):
     return ops.duplicate_ids(B.registry(spark, root))
 
 
+FABRIC = """SELECT o_orderkey AS receipt_id, o_custkey AS job_run_id, o_orderdate AS logged_at,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'timeout' ELSE 'MULTINODE_NCCL_V5_OK' END AS probe_sentinel,
+  CAST(8 * (1 + o_custkey % 4) - CASE WHEN o_orderkey % 5 = 0 THEN 8 ELSE 0 END AS VARCHAR) AS world_size, o_totalprice / 1000 AS busbw_gbps FROM orders"""
+FABRIC_RUNS = """SELECT c_custkey AS job_run_id, CASE WHEN c_custkey % 6 = 0 THEN 'FAILED' WHEN c_custkey % 6 <> 1 THEN 'SUCCESS' END AS result,
+  1 + c_custkey % 4 AS nodes FROM customer"""
+
+
+@query(
+    "fabric_verdict",
+    f"""WITH f AS (SELECT DISTINCT ON (job_run_id) * FROM ({FABRIC}) ORDER BY job_run_id, logged_at, receipt_id)
+SELECT r.job_run_id, nodes, world_size, busbw_gbps, CASE WHEN nodes > 1 THEN
+  COALESCE(result, '') = 'SUCCESS' AND COALESCE(probe_sentinel, '') = 'MULTINODE_NCCL_V5_OK' AND COALESCE(world_size, '') = CAST(nodes * 8 AS VARCHAR) END AS ok
+FROM ({FABRIC_RUNS}) r LEFT JOIN f USING (job_run_id)""",
+)
+def fabric_verdict(spark, root):
+    key, run = F.col("o_orderkey"), F.col("o_custkey")
+    receipts = B.table(spark, root, "orders").select(
+        key.alias("receipt_id"), run.alias("job_run_id"), F.col("o_orderdate").alias("logged_at"),
+        F.when(key % 7 == 0, "timeout").otherwise("MULTINODE_NCCL_V5_OK").alias("probe_sentinel"),
+        (8 * (1 + run % 4) - F.when(key % 5 == 0, 8).otherwise(0)).cast("string").alias("world_size"),
+        (F.col("o_totalprice") / 1000).alias("busbw_gbps"),
+    )
+    runs = B.table(spark, root, "customer").select(
+        F.col("c_custkey").alias("job_run_id"),
+        F.when(F.col("c_custkey") % 6 == 0, "FAILED").when(F.col("c_custkey") % 6 != 1, "SUCCESS").alias("result"),
+        (1 + F.col("c_custkey") % 4).alias("nodes"),
+    )
+    return ops.fabric_verdict(runs, receipts)
+
+
+@query(
+    "failed_receipts",
+    """WITH f AS (SELECT DISTINCT ON (job_run_id) * FROM receipts ORDER BY job_run_id, logged_at, receipt_id)
+SELECT c_custkey AS job_run_id, receipt_id, CASE WHEN receipt_id IS NULL THEN 'no receipt' WHEN burn <> 'PASS' THEN 'burn' ELSE 'gpus_visible' END AS reason
+FROM customer LEFT JOIN f ON f.job_run_id = c_custkey WHERE c_custkey % 3 > 0 AND NOT COALESCE(burn = 'PASS' AND gpus_visible = '8', FALSE)""",
+)
+def failed_receipts(spark, root):
+    runs = B.table(spark, root, "customer").select(
+        F.col("c_custkey").alias("job_run_id"), F.when(F.col("c_custkey") % 3 > 0, "SUCCESS").otherwise("FAILED").alias("result")
+    )
+    return ops.failed_receipts(runs, B.receipts(spark, root))
+
+
 @query(
     "distinct_hardware",
-    """WITH j AS (SELECT job_run_id, burn, gpus_visible, gpu_uuids, burn = 'PASS' AND gpus_visible = '8' AS passed
-    FROM (SELECT o_custkey AS job_run_id, 'SUCCESS' AS result FROM orders GROUP BY 1) JOIN receipts USING (job_run_id))
+    """WITH f AS (SELECT DISTINCT ON (job_run_id) * FROM receipts ORDER BY job_run_id, logged_at, receipt_id),
+  j AS (SELECT job_run_id, burn, gpus_visible, gpu_uuids, burn = 'PASS' AND gpus_visible = '8' AS passed
+    FROM (SELECT DISTINCT o_custkey AS job_run_id FROM orders) JOIN f USING (job_run_id))
 SELECT (SELECT COUNT(*) FROM j) AS success_runs, (SELECT COUNT(*) FROM j WHERE passed) AS nodes_pass, n // 8 AS distinct_nodes,
   (SELECT COUNT(*) FROM j WHERE passed) = (SELECT COUNT(*) FROM j) AS burn_all_pass, n // 8 = (SELECT COUNT(*) FROM j WHERE passed) AS nodes_distinct,
   n // 8 >= 20 AS pool_coverage
@@ -180,7 +224,14 @@ CELLS = " || ' | ' || ".join(
 )
 
 
-@query("write_results_md", f"SELECT '| ' || {CELLS} || ' |' AS value FROM registry")
+HEADINGS = " | ".join(h for _, h in sinks.RESULT_COLUMNS)
+RULE = " | ".join("---" for _ in sinks.RESULT_COLUMNS)
+
+
+@query(
+    "write_results_md",
+    f"SELECT '| ' || {CELLS} || ' |' AS value FROM registry UNION ALL SELECT '| {HEADINGS} |' UNION ALL SELECT '| {RULE} |'",
+)
 def write_results_md(spark, root):
     path = workspace.fresh_path(spark, "results_md")
     sinks.write_results_md(B.registry(spark, root), path)

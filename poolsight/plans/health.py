@@ -134,8 +134,9 @@ def ranks_seen(spark, root):
 
 @query(
     "size_parse",
-    """SELECT run, rank, size, CASE WHEN unit = '' THEN n WHEN unit = 'K' THEN n * 1024 WHEN unit = 'M' THEN n * 1048576 WHEN unit = 'G' THEN n * 1073741824 ELSE -1 END AS bytes FROM (
-  SELECT run, rank, CAST(cnt / 1048576 AS BIGINT) || u AS size, u, upper(left(trim(u), 1)) AS unit, CAST(cnt / 1048576 AS DOUBLE) AS n FROM (
+    """SELECT run, rank, CASE cnt // 1048576 % 11 WHEN 0 THEN '.5K' WHEN 1 THEN '1e3' WHEN 2 THEN '-2.M' ELSE size END AS size,
+  CASE cnt // 1048576 % 11 WHEN 0 THEN 512 WHEN 1 THEN 1000 WHEN 2 THEN -2097152 ELSE CASE WHEN unit = '' THEN n WHEN unit = 'K' THEN n * 1024 WHEN unit = 'M' THEN n * 1048576 WHEN unit = 'G' THEN n * 1073741824 ELSE -1 END END AS bytes FROM (
+  SELECT run, rank, cnt, CAST(cnt / 1048576 AS BIGINT) || u AS size, u, upper(left(trim(u), 1)) AS unit, CAST(cnt / 1048576 AS DOUBLE) AS n FROM (
     SELECT *, CASE nranks WHEN 8 THEN '' WHEN 16 THEN 'k' WHEN 24 THEN ' MB' ELSE CASE WHEN cnt % 3 = 0 THEN 'G' ELSE 'x' END END AS u FROM collective_bench))""",
 )
 def size_parse(spark, root):
@@ -143,7 +144,8 @@ def size_parse(spark, root):
     unit = F.when(ranks == 8, "").when(ranks == 16, "k").when(ranks == 24, " MB").otherwise(
         F.when(F.col("cnt") % 3 == 0, "G").otherwise("x")
     )
-    sized = B.collective_bench(spark, root).select(
-        "run", "rank", F.concat((F.col("cnt") / 1048576).cast("bigint").cast("string"), unit).alias("size")
-    )
+    count = (F.col("cnt") / 1048576).cast("bigint")
+    plain = F.concat(count.cast("string"), unit)
+    odd = F.when(count % 11 == 0, ".5K").when(count % 11 == 1, "1e3").when(count % 11 == 2, "-2.M").otherwise(plain)
+    sized = B.collective_bench(spark, root).select("run", "rank", odd.alias("size"))
     return sized.withColumn("bytes", T.size_bytes(F.col("size")))

@@ -8,7 +8,7 @@ from poolsight.functions import ledger as L
 from poolsight.operators import ledger as ops
 from poolsight.plans import bindings as B
 from poolsight.plans.registry import query
-from poolsight.sources import files
+from poolsight.sources import files, sinks, workspace
 
 HELD = "state IN ('SUBMITTED', 'RUNNING')"
 IN_FLIGHT = f"SELECT shape, team, CAST(SUM(nodes) AS BIGINT) AS in_flight FROM ledger WHERE {HELD} GROUP BY 1, 2"
@@ -207,6 +207,11 @@ def run_state_fold(spark, root):
   FULL JOIN (SELECT id + 1000000 AS id, name, 'sync' AS created_by, 'moved' AS team, nodes + 1 AS nodes, shape FROM workloads WHERE num_accelerators >= 20) s ON t.name = s.name""",
 )
 def upsert_by_name(spark, root):
+    merged = ops.upsert_by_name(*upsert_sides(spark, root))
+    return merged.select("id", "name", "created_by", "team", "nodes", "shape")
+
+
+def upsert_sides(spark, root):
     everything = B.workloads(spark, root).withColumn("created_at", B.ntz("2024-01-01 00:00:00"))
     target = everything.filter(F.col("num_accelerators") <= 30)
     source = (
@@ -216,20 +221,29 @@ def upsert_by_name(spark, root):
         .withColumn("team", F.lit("moved"))
         .withColumn("nodes", F.col("nodes") + 1)
     )
-    merged = ops.upsert_by_name(target, source)
-    return merged.select("id", "name", "created_by", "team", "nodes", "shape")
+    return target, source
+
+
+@query(
+    "upsert_by_owner",
+    """WITH t AS (SELECT * FROM workloads WHERE num_accelerators <= 30),
+  s AS (SELECT id + 1000000 AS id, name, 'sync' AS created_by, 'moved' AS team, nodes + 1 AS nodes, shape FROM workloads WHERE num_accelerators >= 20),
+  own AS (SELECT * FROM t WHERE created_by = 'repo-sync')
+SELECT id, name, created_by, team, nodes, shape FROM t WHERE created_by <> 'repo-sync' OR name NOT IN (SELECT name FROM s)
+UNION ALL SELECT own.id, name, own.created_by, s.team, s.nodes, s.shape FROM own JOIN s USING (name)
+UNION ALL SELECT id, name, created_by, team, nodes, shape FROM s WHERE name NOT IN (SELECT name FROM own)""",
+)
+def upsert_by_owner(spark, root):
+    """Rows made by hand never match: they stay, and the source inserts beside them."""
+    return ops.upsert_by_name(*upsert_sides(spark, root), owner="repo-sync").select("id", "name", "created_by", "team", "nodes", "shape")
 
 
 # The manifests' live and example twins share fam/name; parts 2k and 2k+1 share a stem number.
 KEYED = """SELECT *, replace(replace(path, '.example.yaml', ''), '.yaml', '') AS key, path LIKE '%.example%' AS is_example FROM manifests"""
 SHADOWED = f"""SELECT key, COALESCE(MIN(path) FILTER (WHERE NOT is_example), MAX(path) FILTER (WHERE is_example)) AS path FROM ({KEYED}) GROUP BY 1"""
 STEM = "regexp_extract(path, '([^/]+)[.]yaml$', 1)"
-RULE = """CASE WHEN contains({h}, 'node-acceptance') THEN 'node-acceptance' WHEN contains({h}, 'probes') THEN 'env-diagnostics'
-  WHEN contains({h}, 'scheduling-isolation') THEN 'scheduling-isolation' WHEN contains({h}, 'vendored-wheels') THEN 'dependencies'
-  WHEN contains({h}, 'env-flexibility') THEN 'dependencies' WHEN contains({h}, 'docker-otel-zerobus') THEN 'telemetry'
-  WHEN contains({h}, 'foundation-models') THEN 'foundation-models' WHEN contains({h}, 'tabicl') THEN 'classic-ml'
-  WHEN contains({h}, 'xgboost') THEN 'classic-ml' WHEN contains({h}, 'multi-language') THEN 'multi-language'
-  WHEN contains({h}, 'multinode') THEN 'node-acceptance' WHEN contains({h}, 'rdma-stress') THEN 'node-acceptance' END"""
+RULES = ", ".join(f"({at}, '{word}', '{case}')" for at, (word, case) in enumerate(L.USE_CASE_RULES))
+RULE = f"(SELECT arg_min(r.use_case, r.place) FROM (VALUES {RULES}) r(place, word, use_case) WHERE contains({{h}}, r.word))"
 USE_CASE = f"COALESCE({RULE.format(h=STEM)}, {RULE.format(h='include_path')}, 'env-diagnostics')"
 
 
@@ -280,12 +294,10 @@ def needs_torch_flag(spark, root):
 )
 def scan_catalog_json(spark, root):
     """Write the generated catalog as JSON, read it back with the declared schema and a set team."""
-    from poolsight.sources import schemas, sinks, workspace
-
     path = workspace.fresh_path(spark, "catalog")
-    sinks.write_catalog_json(ops.catalog_entries(parsed_manifests(spark, root), "someone"), path)
-    catalog = spark.read.schema(schemas.CATALOG).json(path).withColumn("team", F.lit("team-0"))
-    return catalog.select("name", "ref", "team", "use_case", "shape", "nodes", "needs_torch")
+    parsed = files.parse_manifests(ops.live_manifests(B.manifest_files(spark, root)))
+    sinks.write_catalog_json(ops.catalog_entries(parsed, "someone"), path)
+    return files.catalog_json(spark, path, "team-0", lines=True).select("name", "ref", "team", "use_case", "shape", "nodes", "needs_torch")
 
 
 @query(
@@ -372,7 +384,7 @@ def union_all(spark, root):
   (SELECT COUNT(*) FROM members m WHERE m.team = t.team) AS members FROM teams t JOIN use_cases u ON u.team = t.team WHERE t.team IN (SELECT team FROM members)""",
 )
 def scan_config(spark, root):
-    """Config documents as JSON text, parsed with the declared schema and exploded.
+    """Config documents written as JSON files, read with the declared schema and exploded.
 
     One small document per member, so no member list is gathered. Use cases are plain names for
     even teams and objects for odd ones, to exercise the widening.
@@ -394,7 +406,9 @@ def scan_config(spark, root):
             ).alias("text"),
         )
     )
-    config = documents.select(files.parse_config(F.col("text")).alias("c")).select("c.*")
+    path = workspace.fresh_path(spark, "config")
+    documents.write.text(path)
+    config = files.config_document(spark, path, lines=True)
     heads = files.config_members(config).groupBy("team").agg(F.count(F.lit(1)).alias("members"))
     return (
         files.config_teams(config)

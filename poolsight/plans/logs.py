@@ -99,23 +99,33 @@ def launcher_lines(spark, root):
     return B.table(spark, root, "events").select(user.alias("node"), line.alias("value"))
 
 
+FIRST_NODE, NODES = 5_000_000_000, 20
+
+
 def written_logs(spark, root):
-    """The launcher lines as text chunks under node folders, read back with the node from the path.
+    """The launcher lines as text chunks in one folder for each of the pool's nodes, read back with
+    the node from the path. Node numbers are longer than an int.
 
     Rebalancing by node keeps the files few, and splits a node that holds most of the lines.
     """
     path = workspace.fresh_path(spark, "logs")
-    launcher_lines(spark, root).hint("rebalance", "node").write.partitionBy("node").text(path)
+    lines = launcher_lines(spark, root).withColumn("node", FIRST_NODE + F.col("node") % NODES)
+    lines.hint("rebalance", "node").write.partitionBy("node").text(path)
     return files.log_text(spark, path)
 
 
+def launcher_log(spark, root):
+    """The same lines as a table, for queries that are not about files."""
+    return launcher_lines(spark, root).withColumnRenamed("value", "line")
+
+
 LAUNCHER = """SELECT user_id AS node, date_trunc('second', ts) AS logged_at, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
   event_id % 23 = 0 AS free, event_id, event_type FROM events"""
 
 
 @query(
     "scan_log_text",
-    f"SELECT CAST(node AS INT) AS node, COUNT(*) AS lines, CAST(SUM(CASE WHEN free THEN 1 ELSE 0 END) AS BIGINT) AS free_lines FROM ({LAUNCHER}) GROUP BY 1",
+    f"SELECT {FIRST_NODE} + node % {NODES} AS node, COUNT(*) AS lines, CAST(SUM(CASE WHEN free THEN 1 ELSE 0 END) AS BIGINT) AS free_lines FROM ({LAUNCHER}) GROUP BY 1",
 )
 def scan_log_text(spark, root):
     return written_logs(spark, root).groupBy("node").agg(
@@ -125,33 +135,33 @@ def scan_log_text(spark, root):
 
 @query(
     "launcher_parse",
-    f"""SELECT CAST(node AS INT) AS node, CASE WHEN NOT free THEN logged_at END AS logged_at, CASE WHEN NOT free THEN level END AS level FROM ({LAUNCHER})""",
+    f"""SELECT node, CASE WHEN NOT free THEN logged_at END AS logged_at, CASE WHEN NOT free THEN level END AS level FROM ({LAUNCHER})""",
 )
 def launcher_parse(spark, root):
-    return ops.launcher_parse(written_logs(spark, root)).select("node", "logged_at", "level")
+    return ops.launcher_parse(launcher_log(spark, root)).select("node", "logged_at", "level")
 
 
 @query(
     "correlation_ids",
-    f"""SELECT CAST(node AS INT) AS node, CASE WHEN bool_or(event_type = 'purchase') THEN CAST(node AS VARCHAR) END AS job_id,
+    f"""SELECT node, CASE WHEN bool_or(event_type = 'purchase') THEN CAST(node AS VARCHAR) END AS job_id,
   CASE WHEN bool_or(event_type = 'view') THEN 'w-' || CAST(node AS VARCHAR) END AS workload_id, CAST(NULL AS VARCHAR) AS run_id
   FROM ({LAUNCHER}) WHERE NOT free AND event_type IN ('purchase', 'view') GROUP BY node""",
 )
 def correlation_ids(spark, root):
-    parsed = ops.launcher_parse(written_logs(spark, root))
+    parsed = ops.launcher_parse(launcher_log(spark, root))
     return ops.correlation_ids(parsed, "node").select("node", "job_id", "workload_id", "run_id")
 
 
 @query(
     "phase_duration",
-    f"""SELECT CAST(node AS INT) AS node, MIN(logged_at) FILTER (WHERE event_type = 'signup') AS started_at,
+    f"""SELECT node, MIN(logged_at) FILTER (WHERE event_type = 'signup') AS started_at,
   MIN(logged_at) FILTER (WHERE event_type = 'click') AS user_code_at, MAX(logged_at) FILTER (WHERE event_type = 'error') AS exited_at,
   CAST(MAX(event_id % 3) FILTER (WHERE event_type = 'error') AS INT) AS exit_code,
   date_diff('second', MIN(logged_at) FILTER (WHERE event_type = 'signup'), MAX(logged_at) FILTER (WHERE event_type = 'error')) AS seconds
   FROM ({LAUNCHER}) WHERE NOT free GROUP BY node""",
 )
 def phase_duration(spark, root):
-    parsed = ops.launcher_parse(written_logs(spark, root)).filter(F.col("message").isNotNull())
+    parsed = ops.launcher_parse(launcher_log(spark, root)).filter(F.col("message").isNotNull())
     return ops.phase_duration(parsed, "node")
 
 
@@ -182,6 +192,8 @@ def json_results_explode(spark, root):
     "melt_metrics",
     """SELECT CAST(o_orderkey AS VARCHAR) || '.' || metric AS key, value FROM (
   SELECT o_orderkey, 'total' AS metric, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 'customer', CAST(o_custkey AS DOUBLE) FROM orders
+  UNION ALL SELECT o_orderkey, 'exact', CAST(CAST(o_totalprice AS DECIMAL(14, 1)) AS DOUBLE) FROM orders
+  UNION ALL SELECT o_orderkey, 'small', CAST(o_orderkey % 100 AS DOUBLE) FROM orders
   UNION ALL SELECT o_orderkey, 'maybe', 1.5 FROM orders WHERE o_orderkey % 3 = 2)""",
 )
 def melt_metrics(spark, root):
@@ -189,9 +201,10 @@ def melt_metrics(spark, root):
     maybe = F.when(key % 3 == 0, F.lit(None).cast("double")).when(key % 3 == 1, F.lit(float("nan"))).otherwise(1.5)
     wide = B.table(spark, root, "orders").select(
         key.alias("dataset"), F.col("o_totalprice").alias("total"), F.col("o_custkey").alias("customer"),
+        F.col("o_totalprice").cast("decimal(14,1)").alias("exact"), (key % 100).cast("smallint").alias("small"),
         maybe.alias("maybe"), F.col("o_orderstatus").alias("status"),
     )
-    return ops.melt_metrics(wide, "dataset", ["total", "customer", "maybe", "status"])
+    return ops.melt_metrics(wide, "dataset", ["total", "customer", "exact", "small", "maybe", "status"])
 
 
 @query(

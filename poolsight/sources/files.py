@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from poolsight.sources import schemas
 
 # Log chunks lie in a folder per node and are numbered in their names.
-NODE_PATTERN = r"^node[_=]([0-9]{1,9})$"
-CHUNK_PATTERN = r"-([0-9]{1,9})\.chunk\.txt$"
+NODE_PATTERN = r"^node[_=]([0-9]+)$"
+CHUNK_PATTERN = r"-([0-9]+)\.chunk\.txt$"
 
 
 def log_text(spark: SparkSession, root: str) -> DataFrame:
@@ -34,7 +34,7 @@ def log_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _number_in(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
+    return F.regexp_extract(text, pattern, 1).try_cast("bigint")
 
 
 def manifest_files(spark: SparkSession, root: str) -> DataFrame:
@@ -111,8 +111,9 @@ def _whole(value) -> int | None:
         return None
 
 
-def config_document(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.CONFIG).option("multiLine", "true").json(path)
+def config_document(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Config documents, one a file or (with `lines`) one a line."""
+    return spark.read.schema(schemas.CONFIG).option("multiLine", str(not lines)).json(path)
 
 
 def parse_config(text: Column) -> Column:
@@ -145,7 +146,7 @@ def _teams(config: DataFrame) -> DataFrame:
     return config.select(F.posexplode("teams").alias("pos", "t"))
 
 
-def catalog_json(spark: SparkSession, path: str, team: str) -> DataFrame:
-    """The generated catalog, owned by `team` whatever the file says."""
-    catalog = spark.read.schema(schemas.CATALOG).option("multiLine", "true").json(path)
+def catalog_json(spark: SparkSession, path: str, team: str, lines: bool = False) -> DataFrame:
+    """The generated catalog, an array a file or an entry a line, owned by `team` whatever it says."""
+    catalog = spark.read.schema(schemas.CATALOG).option("multiLine", str(not lines)).json(path)
     return catalog.withColumn("team", F.lit(team))

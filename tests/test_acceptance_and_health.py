@@ -69,13 +69,19 @@ def test_drift_summary(spark):
 
 def test_glob_stays_inside_one_folder(spark):
     df = spark.createDataFrame([("w/a.yaml",), ("w/b/a.yaml",), ("w/ayaml",)], "p string")
-    assert [r.p for r in df.filter(F.col("p").rlike(A.glob_pattern(["w/*.yaml"]))).collect()] == ["w/a.yaml"]
+    hits = lambda *globs: [r.p for r in df.filter(F.col("p").rlike(A.glob_pattern(globs))).collect()]
+    assert hits("w/*.yaml") == ["w/a.yaml"] and hits("w/**/a.yaml") == ["w/a.yaml", "w/b/a.yaml"] and hits("**") == ["w/a.yaml", "w/b/a.yaml", "w/ayaml"]
+    assert hits("w/[!b].yaml", "w/?yaml") == ["w/a.yaml", "w/ayaml"] and hits("w/[b-z].yaml") == []
 
 
 def test_distinct_hardware_by_uuid(spark):
     ids = ",".join(f"g{i}" for i in range(8))
     runs = spark.createDataFrame([(1, "SUCCESS"), (2, "SUCCESS"), (3, "FAILED")], "job_run_id int, result string")
-    receipts = spark.createDataFrame([(1, "PASS", "8", ids), (2, "PASS", "8", ids)], "job_run_id int, burn string, gpus_visible string, gpu_uuids string")
+    at = dt.datetime(2026, 1, 1)
+    rows = [(10, 1, at, "PASS", "8", ids), (11, 1, at, "PASS", "8", "x"), (12, 1, at, "FAIL", "8", "y"), (13, 2, at, "PASS", "8", ids)]
+    receipts = spark.createDataFrame(rows, "receipt_id int, job_run_id int, logged_at timestamp_ntz, burn string, gpus_visible string, gpu_uuids string")
+    one = A.distinct_hardware(runs.filter("job_run_id = 1"), receipts, 1).first()
+    assert (one.success_runs, one.nodes_pass, one.distinct_nodes, one.nodes_distinct) == (1, 1, 1, True)
     got = A.distinct_hardware(runs, receipts, 2).first()
     assert (got.nodes_pass, got.distinct_nodes, got.burn_all_pass, got.nodes_distinct, got.pool_coverage) == (2, 1, True, False, False)
 

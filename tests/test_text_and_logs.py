@@ -22,6 +22,7 @@ def test_job_run_id(spark, text, want):
 
 @pytest.mark.parametrize("text,want", [
     ("8", 8.0), ("4K", 4096.0), ("2m", 2097152.0), ("1G", 1073741824.0), ("1.5K", 1536.0), ("1 GB", 1073741824.0), ("3T", -1.0), ("abc", -1.0), ("", -1.0),
+    ("1e3", 1000.0), (".5K", 512.0), ("-2M", -2097152.0), ("+1.k", 1024.0), ("1e2 G", 107374182400.0), (".", -1.0),
 ])
 def test_size_bytes(spark, text, want):
     assert one(spark, text, T.size_bytes) == want
