@@ -76,6 +76,43 @@ def stamp_identity(records: DataFrame, identity: DataFrame, on: str = "run_id")
     return stamped.drop("_run", "_requester", "_team")
 
 
+# Names of the exported gauges and counter, and the attribute of a GPU's number.
+GPU_KEY = "gpu"
+UTIL, MEM_USED, MEM_TOTAL = "gpu.utilization.percent", "gpu.memory.used.bytes", "gpu.memory.total.bytes"
+POWER, TEMPERATURE = "gpu.power.watts", "gpu.temperature.celsius"
+LOSS, STEPS = "train.loss", "train.steps"
+
+
+def gpu_gauges(metrics: DataFrame, *kept: str) -> DataFrame:
+    """One row per sample of a GPU: its five gauges side by side, with run, GPU number and `kept` columns.
+
+    Readings of one export share time, service and GPU; a gauge missing from an export stays null, of a
+    repeated reading the largest counts.
+    """
+    run = attribute("resource.attributes", RUN_KEY)
+    gpu = attribute("attributes", GPU_KEY, "int")
+    named = {"util_pct": UTIL, "mem_used": MEM_USED, "mem_total": MEM_TOTAL, "power_w": POWER, "temp_c": TEMPERATURE}
+    readings = metrics.filter(F.col("name").isin(*named.values()))
+    return readings.groupBy(F.col("time").alias("ts"), "service_name", run.alias("mlflow_run_id"), gpu.alias("gpu"), *kept).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(column) for column, name in named.items()]
+    )
+
+
+def training_progress(metrics: DataFrame) -> DataFrame:
+    """Latest loss and number of steps per run; the counter never falls, so its largest value is the latest."""
+    run = attribute("resource.attributes", RUN_KEY)
+    at_loss = F.when((F.col("name") == LOSS) & F.col("value").isNotNull(), F.col("time"))
+    return (
+        metrics.filter(F.col("name").isin(LOSS, STEPS))
+        .groupBy(run.alias("mlflow_run_id"))
+        .agg(
+            F.max_by("value", at_loss).alias("last_loss"),
+            F.max(F.when(F.col("name") == STEPS, F.col("value"))).alias("steps"),
+            F.max("time").alias("last_export"),
+        )
+    )
+
+
 def failure_feed(logs: DataFrame, limit: int = 100, min_severity: int = WARN_SEVERITY) -> DataFrame:
     """Latest rows at WARN or above; a top-k plan, so tasks keep `limit` rows each."""
     return (

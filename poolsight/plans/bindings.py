@@ -255,6 +255,36 @@ def gpu_samples(spark: SparkSession, root: str, events: DataFrame | None = None)
     )
 
 
+GAUGES = ("gpu.utilization.percent", "gpu.memory.used.bytes", "gpu.memory.total.bytes", "gpu.power.watts", "gpu.temperature.celsius", "train.loss", "train.steps")
+
+
+def otel_metrics(spark: SparkSession, root: str, events: DataFrame | None = None) -> DataFrame:
+    """Seven readings of every event in the declared layout of the metric table."""
+    source = table(spark, root, "events") if events is None else events
+    key, user, value = F.col("event_id"), F.col("user_id"), F.col("value")
+    readings = [F.floor(value) % 101, key % 1000, F.lit(1000), value, F.floor(value) % 90, value / 50, key]
+    rows = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), x.cast("double").alias("value"))
+            for i, (name, x) in enumerate(zip(GAUGES, readings, strict=True))
+        ]
+    )
+    on_gpu = F.col("m.i") < 5
+    gpu = F.concat(F.lit('{"gpu": "'), (key % 8).cast("string"), F.lit('"}'))
+    run = F.concat(F.lit('{"workload.run_id": "run-'), (user % 20).cast("string"), F.lit('"}'))
+    return source.withColumn("m", F.explode(rows)).select(
+        F.concat(key.cast("string"), F.lit("-"), F.col("m.i").cast("string")).alias("record_id"),
+        F.col("ts").cast("timestamp_ntz").alias("time"),
+        F.to_date("ts").alias("date"),
+        text("svc-", user % 20).alias("service_name"),
+        F.col("m.name").alias("name"),
+        F.when(F.col("m.i") == 6, "counter").otherwise("gauge").alias("kind"),
+        F.col("m.value").alias("value"),
+        F.parse_json(F.when(on_gpu, gpu).otherwise("{}")).alias("attributes"),
+        F.struct(F.parse_json(run).alias("attributes")).alias("resource"),
+    )
+
+
 COLLECTIVES = (
     "all_reduce", "all_gather", "reduce_scatter", "alltoall", "broadcast", "reduce", "gather", "scatter",
     "sendrecv", "hypercube",

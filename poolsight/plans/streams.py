@@ -35,6 +35,20 @@ def stream_telemetry_append(spark, root):
     )
 
 
+@query(
+    "stream_metrics_append",
+    """SELECT CAST(ts AS DATE) AS date, 'run-' || CAST(user_id % 20 AS VARCHAR) AS mlflow_run_id, COUNT(*) * 7 AS readings, CAST(SUM(event_id) AS BIGINT) AS steps
+  FROM events GROUP BY 1, 2""",
+)
+def stream_metrics_append(spark, root):
+    """The metric stream lands in a dated table of its own; readings and steps per day and run."""
+    out, checkpoint = paths(spark, "stream-metrics")
+    jobs.append_telemetry(B.otel_metrics(spark, root, events_stream(spark, root)), None, out, checkpoint, True).awaitTermination()
+    run = ops.attribute("resource.attributes", ops.RUN_KEY).alias("mlflow_run_id")
+    steps = F.sum(F.when(F.col("name") == ops.STEPS, F.col("value").cast("bigint")))
+    return spark.read.parquet(out).groupBy("date", run).agg(F.count(F.lit(1)).alias("readings"), steps.cast("bigint").alias("steps"))
+
+
 @query(
     "stream_baggage_stamp",
     """SELECT event_id, user_id AS run_id, COALESCE(CASE WHEN event_id % 4 = 0 THEN 'self' END, c_name) AS requester,

@@ -11,7 +11,7 @@ from poolsight.operators import usage as usage_ops
 from poolsight.plans import bindings as B
 from poolsight.plans.registry import query
 from poolsight.plans.usage import BY_TEAM, by_team
-from poolsight.sources import sinks, workspace
+from poolsight.sources import schemas, sinks, workspace
 
 SUMMARY = "SELECT mlflow_run_id, COUNT(*) AS log_rows, MIN(time) AS first_event, MAX(time) AS last_event FROM otel_logs GROUP BY 1"
 
@@ -117,6 +117,47 @@ def otel_sink(spark, root):
     return spark.read.parquet(path).groupBy("date", "service_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
+GAUGED = """SELECT ts, 'svc-' || CAST(user_id % 20 AS VARCHAR) AS service_name, 'run-' || CAST(user_id % 20 AS VARCHAR) AS run, event_id % 8 AS gpu,
+  CAST(FLOOR(value) AS BIGINT) % 101 AS util, event_id % 1000 AS used, 1000 AS total, value AS power, CAST(FLOOR(value) AS BIGINT) % 90 AS temp FROM events"""
+
+
+@query(
+    "scan_otel_metrics",
+    """WITH m AS (SELECT *, unnest(range(7)) AS i FROM events)
+SELECT CAST(event_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS record_id, ts AS time, CAST(ts AS DATE) AS date, 'svc-' || CAST(user_id % 20 AS VARCHAR) AS service_name,
+  ['gpu.utilization.percent', 'gpu.memory.used.bytes', 'gpu.memory.total.bytes', 'gpu.power.watts', 'gpu.temperature.celsius', 'train.loss', 'train.steps'][i + 1] AS name,
+  CASE i WHEN 0 THEN CAST(FLOOR(value) AS BIGINT) % 101 WHEN 1 THEN event_id % 1000 WHEN 2 THEN 1000 WHEN 3 THEN value WHEN 4 THEN CAST(FLOOR(value) AS BIGINT) % 90
+    WHEN 5 THEN value / 50 ELSE event_id END::DOUBLE AS value, CASE WHEN i < 5 THEN CAST(event_id % 8 AS INT) END AS gpu FROM m""",
+)
+def scan_otel_metrics(spark, root):
+    """Write the metric table as dated parquet and scan it back with the declared schema."""
+    path = workspace.fresh_path(spark, "otel_metrics")
+    sinks.write_telemetry(B.otel_metrics(spark, root), path)
+    return spark.read.schema(schemas.TELEMETRY_METRICS).parquet(path).select(
+        "record_id", "time", "date", "service_name", "name", "value", ops.attribute("attributes", ops.GPU_KEY, "int").alias("gpu")
+    )
+
+
+@query(
+    "metric_utilization",
+    f"""SELECT run AS team, date_trunc('day', ts) AS window_start, AVG(util) AS avg_util, CAST(quantile_disc(util, 0.95) AS DOUBLE) AS p95_util,
+  CAST(MIN(total - used) AS DOUBLE) AS min_mem_headroom, COUNT(*) AS samples
+  FROM (SELECT ts, service_name, run, gpu, MAX(util) AS util, MAX(used) AS used, MAX(total) AS total FROM ({GAUGED}) GROUP BY ALL) GROUP BY 1, 2""",
+)
+def metric_utilization(spark, root):
+    """GPU gauges of the metric table as daily utilisation windows of each run."""
+    return ops.window_utilization(ops.gpu_gauges(B.otel_metrics(spark, root)).withColumnRenamed("mlflow_run_id", "team"), "1 day")
+
+
+@query(
+    "training_progress",
+    """SELECT 'run-' || CAST(user_id % 20 AS VARCHAR) AS mlflow_run_id, arg_max(value, ts) / 50 AS last_loss, CAST(MAX(event_id) AS DOUBLE) AS steps, MAX(ts) AS last_export
+  FROM events GROUP BY 1""",
+)
+def training_progress(spark, root):
+    return ops.training_progress(B.otel_metrics(spark, root))
+
+
 @query(
     "failure_feed",
     """SELECT CAST(event_id AS VARCHAR) AS record_id, time, severity_text, requester FROM otel_logs WHERE severity_number >= 13

@@ -33,6 +33,12 @@ TELEMETRY_LOGS = """
   log_schema_url string
 """
 
+# Gauges and counters exported every ten seconds; GPU gauges carry the GPU's number as an attribute.
+TELEMETRY_METRICS = """
+  record_id string, time timestamp_ntz, date date, service_name string, name string, kind string,
+  value double, attributes variant, resource struct<attributes: variant>
+"""
+
 EVENTS = """
   event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string
 """
