@@ -81,7 +81,7 @@ def test_list_answers_keep_every_link(percent):
     for i, s in enumerate(sets):
         length = len(s) - J.needed_alone(len(s), percent) + 1
         for pos, token in enumerate(J.order_of(s, rank)[:length].tolist()):
-            lists[token].append((0, len(s), pos, i, 0, *J.parity(s).tolist()))
+            lists[token].append((0, len(s), pos, i, 0, 0, *J.parity(s).tolist()))
     found = set()
     for rows in lists.values():
         run = np.array(sorted(rows), dtype=np.int64).T.copy()
@@ -108,12 +108,30 @@ def test_lists_longer_than_a_batch(spark):
 def test_overlap_from_differences():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, 200, dtype=np.uint64)) for _ in range(6)]
+    sets.append(sets[0][:0])
     group = J.Group(sets[0])
     for i, s in enumerate(sets):
-        group.add(i, s)
-    for i in range(6):
-        for j in range(6):
-            assert group.overlap(i, j) == len(np.intersect1d(sets[i], sets[j]))
+        group.add((i, len(s)), s, 1)
+    group.freeze()
+    for i in range(7):
+        assert group.overlaps(i, np.arange(7)).tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
+
+
+def test_pairs_without_a_common_group(spark, monkeypatch):
+    """With useless least hashes every pair takes the way across groups; with one part a pair, many parts."""
+    docs = spark.createDataFrame(near_copies(random.Random(3)), DOCS)
+    expected = by_hand(docs.collect(), 3, 90)
+    columns = lambda got: sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in got)
+    own = J.ties_within
+    monkeypatch.setattr(J, "ties_within", lambda near, grouped, percent: own(near, grouped, percent, pairs=3))
+    assert columns(J.ngram_jaccard_join(docs).collect()) == expected
+    routed = J.routed
+
+    def all_far(answers):
+        return routed(answers.withColumn("ways", F.transform("ways", lambda w: F.lit(J.FAR).cast("long"))))
+
+    monkeypatch.setattr(J, "routed", all_far)
+    assert columns(J.ngram_jaccard_join(docs).collect()) == expected
 
 
 def test_one_of_each_group_stays(spark):
