@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from poolsight.functions import ledger as L
@@ -104,24 +104,24 @@ def shape_capacity(
     shapes: DataFrame, ledger: DataFrame, reservation: Reservation, quotas: Mapping[str, int]
 ) -> DataFrame:
     """Quota, reserved nodes, nodes in flight and nodes admittable now, per shape."""
-    return _capacity(shapes, in_flight_nodes(ledger, ["shape"]), reservation, quotas)
+    used = in_flight_nodes(ledger, ["shape"])
+    return _with_capacity(shapes.join(used, "shape", "left"), reservation, quotas)
 
 
-def _capacity(shapes: DataFrame, in_flight: DataFrame, reservation: Reservation, quotas: Mapping[str, int]) -> DataFrame:
+def _with_capacity(counted: DataFrame, reservation: Reservation, quotas: Mapping[str, int]) -> DataFrame:
+    """Capacity figures beside `shape` and its nodes in flight."""
     quota = F.lit(0)
     for shape, nodes in quotas.items():
         quota = F.when(F.col("shape") == shape, nodes).otherwise(quota)
-    reserved = F.when(
-        F.col("shape") == reservation.accelerator_type, reservation.total_nodes
-    ).otherwise(0)
-    counted = shapes.join(in_flight, "shape", "left").select(
-        "shape",
+    reserved = F.when(F.col("shape") == reservation.accelerator_type, reservation.total_nodes).otherwise(0)
+    figures = counted.select(
+        *[c for c in counted.columns if c != "in_flight"],
         quota.cast("bigint").alias("platform_quota_nodes"),
         reserved.cast("bigint").alias("reserved_nodes"),
         F.coalesce("in_flight", F.lit(0)).cast("bigint").alias("in_flight"),
     )
     free = L.admittable([F.col("platform_quota_nodes"), F.col("reserved_nodes")], F.col("in_flight"))
-    return counted.withColumn("admittable", free)
+    return figures.withColumn("admittable", free)
 
 
 def team_headroom(asked: DataFrame, teams: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -160,18 +160,22 @@ def fair_share_rank(ledger: DataFrame, teams: DataFrame) -> DataFrame:
 def fits_now(
     ledger: DataFrame, teams: DataFrame, reservation: Reservation, quotas: Mapping[str, int]
 ) -> DataFrame:
-    """Each queued run against free nodes of its shape and room of its team, taken alone."""
+    """Each queued run against free nodes of its shape and room of its team, taken alone.
+
+    One aggregate by shape and team, over queued and holding runs, gives the team's room and, summed
+    over the few teams of a shape, the shape's free nodes.
+    """
     queued = runs_in_state(ledger, ["QUEUED"]).select("id", "shape", "team", "nodes")
-    # one aggregate over the ledger serves the team's room and, summed up, the shape's capacity
-    used = in_flight_nodes(ledger)
-    per_shape = used.groupBy("shape").agg(F.sum("in_flight").alias("in_flight"))
-    capacity = _capacity(queued.select("shape").distinct(), per_shape, reservation, quotas)
-    used = used.withColumnRenamed("in_flight", "_held")
-    room = F.coalesce(F.col("quota_nodes") - F.coalesce("_held", F.lit(0)), F.lit(0))
+    held = F.coalesce(F.sum(F.when(L.state_in(L.HOLDING_STATES), F.col("nodes"))), F.lit(0)).cast("bigint")
+    counted = runs_in_state(ledger, ["QUEUED", *L.HOLDING_STATES]).groupBy("shape", "team").agg(held.alias("_held"))
+    counted = counted.withColumn("in_flight", F.sum("_held").over(Window.partitionBy("shape")))
+    free = _with_capacity(counted, reservation, quotas).select(
+        F.col("shape").alias("_of_shape"), F.col("team").alias("_of_team"), "_held", "admittable"
+    )
+    room = F.coalesce(F.col("quota_nodes") - F.col("_held"), F.lit(0))
     return (
-        queued.join(capacity.select("shape", "admittable"), "shape", "left")
+        queued.join(free, ordering.same(["shape", "team"], "_of_"))
         .join(teams.select("team", "quota_nodes"), "team", "left")
-        .join(used, ["shape", "team"], "left")
         .select("id", "shape", "team", "nodes", "admittable", room.cast("bigint").alias("team_room"))
         .withColumn(
             "fits", (F.col("admittable") >= F.col("nodes")) & (F.col("team_room") >= F.col("nodes"))
