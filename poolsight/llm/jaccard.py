@@ -3,14 +3,16 @@
 1. Every text becomes a sorted set of 64-bit shingle hashes. Equal sets collapse into classes.
 2. A histogram of a fixed number of buckets over all shingles gives an order from rare to common.
    Any order gives the same links; a good one keeps index lists short.
-3. A class enters the lists of its prefix shingles with its position there. A list falls into blocks
-   of one set size, sorted by position: for two blocks the length and position bounds leave only
-   the head of each, the rest is skipped whole. A 128-bit parity of the sets bounds their difference.
-   A list answers with one row for each of its sets, holding the partners that are left.
-4. Sets that share a least hash are mostly near-copies. They meet in one group, where the first is
-   kept whole and the others as what they add and lack; a pair's overlap follows from these
-   differences. Pairs across groups are counted on the two sets.
-5. Components of the links, and links per document, come from joins over class ids.
+3. A class enters the lists of its prefix shingles with its position there. Prefixes are a little
+   longer than they need be, so that linked sets meet in COMMON lists and not just in one. A list
+   falls into blocks of one set size, sorted by position: for two blocks the length and position
+   bounds leave only the head of each, the rest is skipped whole. A 128-bit parity of the sets bounds
+   their difference. A list answers with one row for each of its sets, holding the partners left.
+4. Near-copies mostly share one of four least hashes. A pair goes to the group of the first that
+   agrees, or else to the group of its own lesser set. In a group the first set is kept whole and
+   each other as its difference from it; a set's overlaps with all its partners follow from the
+   differences. A group answers with one row a set: its links counted, and a set they tie it to.
+5. Components come from these ties by star contraction.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ WORDS = Words(b"\x20\x09\x0a\x0b\x0c\x0d", lower=True)
 BUCKETS = 1 << 22
 #: Bits of the filter that lets a scan of the texts pass over sets without partners.
 FILTER = 1 << 23
+#: Lists in which linked sets have to meet, unless they overlap in fewer shingles.
+COMMON = 4
 #: Classes a task remembers to leave out copies; forgetting some only repeats rows.
 REMEMBERED = 500_000
-#: Cells of a block pair compared at once.
-CELLS = 1 << 20
+#: Cells of a block pair compared at once, and pairs that a part of a group counts, about.
+CELLS, GROUP_PAIRS = 1 << 20, 2_000_000
 _U = np.uint64
 _ORDER = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(1, 9)], dtype=np.uint64)
 NONE = np.zeros(0, dtype=np.uint64)
@@ -60,12 +64,15 @@ def class_id(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(keepdims=True) + _U(len(s))).view(np.int64)[0])
 
 
-def least_hash(s: np.ndarray) -> int:
-    return int(mix(s ^ _U(0x5851F42D4C957F2D)).min().view(np.int64))
+def least_hashes(s: np.ndarray) -> np.ndarray:
+    """Four least hashes of 32 bits, two to a number."""
+    spread = [mix(s ^ _U(seed)) for seed in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)]
+    halves = [h & _U(0xFFFFFFFF) for h in spread], [h >> _U(32) for h in spread]
+    return np.array([int(low.min()) | int(high.min()) << 32 for low, high in zip(*halves, strict=True)], dtype=np.uint64).view(np.int64)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """128 bits, each the parity of the elements it stands for: they differ in no more bits than the sets in elements."""
+    """128 bits, each the parity of the elements it stands for: two differ in no more bits than the sets in elements."""
     odd = np.bincount((mix(s ^ _U(0x14057B7EF767814F)) >> _U(57)).astype(np.int64), minlength=128) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -140,11 +147,11 @@ def shingle_rank(docs: DataFrame, n: int, text: str, buckets: int = BUCKETS) ->
     return np.minimum(255, np.round(8 * np.log2(counts + 1.0))).astype(np.uint8)
 
 
-POSTINGS = pa.schema([(c, pa.int64()) for c in ("token", "n", "pos", "h", "m", "b0", "b1")])
+POSTINGS = pa.schema([(c, pa.int64()) for c in ("token", "n", "pos", "h", "m0", "m1", "b0", "b1")])
 
 
 def postings(docs: DataFrame, n: int, percent: int, text: str, rank: np.ndarray) -> DataFrame:
-    """(token, n, pos, h, m, b0, b1) for each prefix shingle of each class, copies left out task by task."""
+    """(token, n, pos, h, least hashes, parity) for each prefix shingle of each class; a task gives a class once."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches):
@@ -155,10 +162,10 @@ def postings(docs: DataFrame, n: int, percent: int, text: str, rank: np.ndarray)
                 size = len(s)
                 if not size or not seen.first(h := class_id(s)):
                     continue
-                length = size - needed_alone(size, percent) + 1
+                length = min(size, size - needed_alone(size, percent) + COMMON)
                 out[0].append(order_of(s, ranks)[:length].view(np.int64))
                 out[2].append(np.arange(length))
-                for at, value in ((1, size), (3, h), (4, least_hash(s)), *zip((5, 6), parity(s), strict=True)):
+                for at, value in ((1, size), (3, h), *zip((4, 5), least_hashes(s), strict=True), *zip((6, 7), parity(s), strict=True)):
                     out[at].append(np.full(length, value, dtype=np.int64))
             if out[0]:
                 yield _batch(POSTINGS, [np.concatenate(c) for c in out])
@@ -171,8 +178,16 @@ def needed_alone(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-ANSWERS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("hs", "ns", "ms")]])
-ANSWERS_DDL = "h long, n long, m long, hs array<long>, ns array<long>, ms array<long>"
+ANSWERS = pa.schema([(c, pa.int64()) for c in ("h", "n", "m0", "m1")] + [(c, pa.list_(pa.int64())) for c in ("hs", "ns", "ways")])
+ANSWERS_DDL = "h long, n long, m0 long, m1 long, hs array<long>, ns array<long>, ways array<long>"
+#: A pair's way is the first of the least hashes that agrees, or FAR.
+WAYS, FAR = 4, -1
+
+
+def fragments(m0: np.ndarray, m1: np.ndarray) -> np.ndarray:
+    """The four least hashes, one row each."""
+    m0, m1 = np.asarray(m0).view(np.uint64), np.asarray(m1).view(np.uint64)
+    return np.stack([part for m in (m0, m1) for part in (m & _U(0xFFFFFFFF), m >> _U(32))]).astype(np.int64)
 
 
 def list_answers(run: np.ndarray, percent: int, fresh: int = 0) -> Iterator[tuple[int, np.ndarray]]:
@@ -183,7 +198,7 @@ def list_answers(run: np.ndarray, percent: int, fresh: int = 0) -> Iterator[tupl
     n, pos, h = run[1], run[2], run[3]
     sizes, starts = np.unique(n, return_index=True)
     ends = np.append(starts[1:], len(n))
-    low, high = run[5].view(np.uint64), run[6].view(np.uint64)
+    low, high = run[6].view(np.uint64), run[7].view(np.uint64)
     found: dict[int, list[np.ndarray]] = {}
     for i, a in enumerate(sizes.tolist()):
         for j in range(i, len(sizes)):
@@ -193,9 +208,10 @@ def list_answers(run: np.ndarray, percent: int, fresh: int = 0) -> Iterator[tupl
             if ends[j] <= fresh:
                 continue
             alpha = needed(a, b, percent)
-            # the heads of both blocks: past them the position leaves too few shingles to come
-            x1 = starts[i] + int(np.searchsorted(pos[starts[i] : ends[i]], a - alpha, side="right"))
-            y1 = starts[j] + int(np.searchsorted(pos[starts[j] : ends[j]], b - alpha, side="right"))
+            # the heads of both blocks: past them too few shingles are left for one of the first COMMON shared
+            spare = COMMON - 1 - alpha
+            x1 = starts[i] + int(np.searchsorted(pos[starts[i] : ends[i]], a + spare, side="right"))
+            y1 = starts[j] + int(np.searchsorted(pos[starts[j] : ends[j]], b + spare, side="right"))
             ys = np.arange(starts[j], y1)
             if not len(ys):
                 continue
@@ -235,11 +251,14 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
             out: list[list] = [[] for _ in ANSWERS]
             for b, e in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist(), strict=True):
                 part = rows[:, b:e]
+                least = None
                 for x, ys in list_answers(part, percent, 0 if b else fresh):
-                    for at, value in ((0, part[3, x]), (1, part[1, x]), (2, part[4, x])):
-                        out[at].append(value)
-                    for at, row in ((3, 3), (4, 1), (5, 4)):
-                        out[at].append(part[row, ys])
+                    least = fragments(part[4], part[5]) if least is None else least
+                    agree = least[:, ys] == least[:, x, None]
+                    way = np.where(agree.any(axis=0), agree.argmax(axis=0), FAR)
+                    row = (part[3, x], part[1, x], part[4, x], part[5, x], part[3, ys], part[1, ys], way)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
             if out[0]:
                 yield _batch(ANSWERS, out)
             last = rows[:, begins[-1] :]
@@ -249,44 +268,90 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, ANSWERS_DDL)
 
 
-def _union(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    hs, ns, ms = (np.concatenate(c) for c in zip(*rows, strict=True))
-    _, at = np.unique(np.stack([hs, ns]), axis=1, return_index=True)
-    return hs[at], ns[at], ms[at]
+def _union(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Partners once each (sizes, ids, ways, lists in which they were met)."""
+    hs, ns, ways, met = (np.concatenate(c) for c in zip(*rows, strict=True))
+    _, at, where = np.unique(np.stack([hs, ns]), axis=1, return_index=True, return_inverse=True)
+    return hs[at], ns[at], ways[at], np.bincount(where.ravel(), weights=met, minlength=len(at)).astype(np.int64)
 
 
-def merged(answers: DataFrame) -> DataFrame:
-    """One row a set: the union of its answers."""
+def merged(answers: DataFrame, percent: int) -> DataFrame:
+    """One row a set: the partners it met in as many lists as linked sets have to."""
 
     def run(batches):
         key, rows = None, []
 
         def done():
-            hs, ns, ms = _union(rows)
-            return _batch(ANSWERS, [[key[0]], [key[1]], [key[2]], [hs], [ns], [ms]])
+            hs, ns, ways, met = _union(rows)
+            enough = met >= np.minimum(COMMON, needed(key[1], ns, percent))
+            if enough.any():
+                yield _batch(ANSWERS, [[v] for v in (*key, hs[enough], ns[enough], ways[enough])])
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:3]]
+            columns = [c.to_pylist() for c in batch.columns[:4]]
             for i, now in enumerate(zip(*columns, strict=True)):
                 if now != key:
                     if key is not None:
-                        yield done()
+                        yield from done()
                     key, rows = now, []
-                rows.append(tuple(batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (3, 4, 5)))
+                hs, ns, ways = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (4, 5, 6))
+                rows.append((hs, ns, ways, np.ones(len(hs))))
                 if len(rows) > 256:
                     rows = [_union(rows)]
         if key is not None:
-            yield done()
+            yield from done()
 
     return answers.repartition("h", "n").sortWithinPartitions("h", "n").mapInArrow(run, ANSWERS_DDL)
 
 
-SETS_DDL = "h long, n long, m long, shingles array<long>"
-SETS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+ROUTED = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("hs", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
+ROUTED_DDL = "key long, h long, n long, hs array<long>, ns array<long>"
+
+
+def routed(answers: DataFrame) -> DataFrame:
+    """A set's partners by the group they share with it; those that share none come to the set's own."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, n, m0, m1 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            least, out = fragments(m0, m1), [[] for _ in ROUTED]
+            for i in range(batch.num_rows):
+                hs, ns, ways = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (4, 5, 6))
+                for way in np.unique(ways).tolist():
+                    key = WAYS << 32 | int(h[i]) & 0xFFFFFFFF if way == FAR else way << 32 | int(least[way, i])
+                    for column, value in zip(out, (key, h[i], n[i], hs[ways == way], ns[ways == way]), strict=True):
+                        column.append(value)
+            yield _batch(ROUTED, out)
+
+    return answers.mapInArrow(run, ROUTED_DDL)
+
+
+MEMBERS = pa.schema([(c, pa.int64()) for c in ("key", "h", "n")])
+
+
+def members(routes: DataFrame) -> DataFrame:
+    """(key, h, n) of every set that a group needs; repeats are left out batch by batch, then wholly."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lengths = np.diff(batch.column(3).offsets.to_numpy())
+            theirs = np.stack([np.repeat(key, lengths), *(batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4))])
+            yield _batch(MEMBERS, list(np.unique(np.concatenate([np.stack([key, h, n]), theirs], axis=1), axis=1)))
+
+    return routes.mapInArrow(run, "key long, h long, n long").distinct()
+
+
+SETS_DDL = "h long, n long, shingles array<long>"
+SETS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
 def sets_of(docs: DataFrame, active: DataFrame, n: int, text: str) -> DataFrame:
-    """(h, n, m, shingles) of the classes in `active` (h, n); a task gives a class once."""
+    """(h, n, shingles) of the classes in `active`, and of a few more; a task gives a class once."""
 
     def buckets(batch):
         yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64).astype(np.uint64) % _U(FILTER)
@@ -304,76 +369,120 @@ def sets_of(docs: DataFrame, active: DataFrame, n: int, text: str) -> DataFrame:
                 h = class_id(s)
                 at = (h & ((1 << 64) - 1)) % FILTER
                 if bits[at >> 3] >> (7 - (at & 7)) & 1 and seen.first(h):
-                    for column, value in zip(out, (h, len(s), least_hash(s), s.view(np.int64)), strict=True):
+                    for column, value in zip(out, (h, len(s), s.view(np.int64)), strict=True):
                         column.append(value)
             if out[0]:
                 yield _batch(SETS, out)
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, SETS_DDL)
-    return found.join(active, ["h", "n"], "left_semi").select("h", "n", "m", "shingles")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, SETS_DDL)
 
 
 class Group:
-    """Near-copies: the first set whole, each other as what it lacks and what it adds."""
+    """Near-copies: the first set whole, each other as its difference from it.
+
+    What sets lack lies inside the first set and what they add outside, so the common part of two
+    differences is what both lack and what both add:
+    |x & y| = |base| - |lacked by x| - |lacked by y| + |difference of x & difference of y|.
+    """
 
     def __init__(self, base: np.ndarray) -> None:
-        self.base, self.members = base, {}
+        self.base, self.at = base, {}
+        self.lacks, self.differs, self.copies = [], [], []
 
-    def add(self, key, s: np.ndarray) -> None:
-        if key not in self.members:
+    def add(self, key, s: np.ndarray, copies: int) -> None:
+        if key not in self.at:
+            self.at[key] = len(self.lacks)
             lacks = np.setdiff1d(self.base, s, assume_unique=True)
-            adds = np.setdiff1d(s, self.base, assume_unique=True)
-            self.members[key] = lacks, adds
-
-    def overlap(self, x, y) -> int:
-        """|x & y| = |base| - |lacked by either| + |added by both|."""
-        (lx, ax), (ly, ay) = self.members[x], self.members[y]
-        both = len(np.intersect1d(lx, ly, assume_unique=True)) if len(lx) and len(ly) else 0
-        added = len(np.intersect1d(ax, ay, assume_unique=True)) if len(ax) and len(ay) else 0
-        return len(self.base) - len(lx) - len(ly) + both + added
-
-
-LINKS_DDL = "h long, n long, hs array<long>, ns array<long>"
-LINKS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("hs", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
-
-
-def links_within(answers: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of one least hash, from the group's differences."""
-    asked = answers.select("m", F.lit(1).alias("kind"), "h", "n", F.lit(None).cast("array<long>").alias("shingles"), "hs", "ns")
-    given = sets.select("m", F.lit(0).alias("kind"), "h", "n", "shingles", *[F.lit(None).cast("array<long>").alias(c) for c in ("hs", "ns")])
+            self.lacks.append(len(lacks))
+            self.differs.append(np.concatenate([lacks, np.setdiff1d(s, self.base, assume_unique=True)]))
+            self.copies.append(copies)
+
+    def freeze(self) -> None:
+        self.keys, self.parent = list(self.at), list(range(len(self.at)))
+        self.lacks, self.copies = np.array(self.lacks), np.array(self.copies, dtype=np.int64)
+        lengths = np.array([len(d) for d in self.differs])
+        known, self.ids = np.unique(np.concatenate(self.differs), return_inverse=True)
+        self.bounds = np.concatenate([[0], np.cumsum(lengths)])
+        self.mark, self.differs = np.zeros(len(known), dtype=bool), None
+        self.links = np.zeros(len(lengths), dtype=np.int64)
+
+    def overlaps(self, x: int, ys: np.ndarray) -> np.ndarray:
+        own = self.ids[self.bounds[x] : self.bounds[x + 1]]
+        self.mark[own] = True
+        lengths = self.bounds[ys + 1] - self.bounds[ys]
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(self.bounds[ys], lengths)
+        common = np.bincount(np.repeat(np.arange(len(ys)), lengths), weights=self.mark[self.ids[place]], minlength=len(ys))
+        self.mark[own] = False
+        return len(self.base) - self.lacks[x] - self.lacks[ys] + common.astype(np.int64)
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def ask(self, key, theirs: list, percent: int) -> None:
+        """Count the links of one set with its partners, and tie them together."""
+        x, n = self.at[key], key[1]
+        ys, sizes = np.array([self.at[y] for y in theirs]), np.array([y[1] for y in theirs])
+        linked = ys[self.overlaps(x, ys) >= needed(n, sizes, percent)]
+        self.links[x] += self.copies[linked].sum()
+        np.add.at(self.links, linked, self.copies[x])
+        for y in linked.tolist():
+            self.parent[self.root(y)] = self.root(x)
+
+    def rows(self) -> pa.RecordBatch:
+        some = np.flatnonzero(self.links)
+        return _batch(TIES, [[self.keys[i][0] for i in some], [self.keys[i][1] for i in some], self.links[some], [self.keys[self.root(i)][0] for i in some]])
+
+
+TIES = pa.schema([(c, pa.int64()) for c in ("h", "n", "outside", "tie")])
+TIES_DDL = "h long, n long, outside long, tie long"
+
+
+def group_ties(routes: DataFrame, sets: DataFrame, percent: int, pairs: int = GROUP_PAIRS) -> DataFrame:
+    """(h, n, outside, tie): rows linked with each set inside its groups, and a set of its component.
+
+    A group of very many pairs is asked in several parts, each with all the group's sets.
+    """
+    loads = routes.groupBy("key").agg(F.sum(F.size("hs")).alias("load")).filter(F.col("load") > pairs)
+    loads = loads.select("key", F.ceil(F.col("load") / pairs).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    none = F.lit(None).cast("array<long>")
+    asked = routes.join(loads, "key", "left").select(
+        "key", F.pmod(F.xxhash64("h", "n"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "h", "n",
+        F.lit(0).cast("long").alias("copies"), none.alias("shingles"), "hs", "ns",
+    )
+    given = sets.join(loads, "key", "left").select(
+        "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), "h", "n",
+        "copies", "shingles", none.alias("hs"), none.alias("ns"),
+    )
 
     def run(batches):
-        here, group = None, None
+        here, group, open_ = None, None, True
         for batch in batches:
-            out: list[list] = [[] for _ in LINKS]
-            ms, kinds, hs, ns = (batch.column(k).to_pylist() for k in range(4))
-            for i, m in enumerate(ms):
-                key = (hs[i], ns[i])
+            keys, parts_, kinds, hs, ns, copies = (batch.column(k).to_pylist() for k in range(6))
+            for i, now in enumerate(zip(keys, parts_, strict=True)):
+                if now != here:
+                    if group is not None and not open_:
+                        yield group.rows()
+                    here, group, open_ = now, None, True
                 if kinds[i] == 0:
-                    s = batch.column(4)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    if group is None or m != here:
-                        here, group = m, Group(s)
-                    group.add(key, s)
+                    s = batch.column(6)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    group = group or Group(s)
+                    group.add((hs[i], ns[i]), s, copies[i])
                     continue
-                theirs = list(zip(batch.column(5)[i].values.to_pylist(), batch.column(6)[i].values.to_pylist(), strict=True))
-                linked = [y for y in theirs if group.overlap(key, y) >= needed(key[1], y[1], percent)]
-                if linked:
-                    for column, value in zip(out, (*key, [y[0] for y in linked], [y[1] for y in linked]), strict=True):
-                        column.append(value)
-            if out[0]:
-                yield _batch(LINKS, out)
-
-    both = given.unionByName(asked).repartition("m").sortWithinPartitions("m", "kind", "n", "h")
-    return both.mapInArrow(run, LINKS_DDL)
+                if open_:
+                    group.freeze()
+                    open_ = False
+                theirs = list(zip(batch.column(7)[i].values.to_pylist(), batch.column(8)[i].values.to_pylist(), strict=True))
+                for at in range(0, len(theirs), 4096):
+                    group.ask((hs[i], ns[i]), theirs[at : at + 4096], percent)
+        if group is not None and not open_:
+            yield group.rows()
 
-
-def links_across(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of (h, n, yh, yn), counted on the two sets."""
-    whole = sets.select("h", "n", "shingles").dropDuplicates(["h", "n"])
-    theirs = whole.select(F.col("h").alias("yh"), F.col("n").alias("yn"), F.col("shingles").alias("theirs"))
-    met = pairs.join(whole, ["h", "n"]).join(theirs, ["yh", "yn"])
-    overlap = F.size(F.array_intersect("shingles", "theirs"))
-    return met.filter(overlap * (100 + percent) >= percent * (F.col("n") + F.col("yn"))).select("h", "n", "yh", "yn")
+    both = given.unionByName(asked).repartition("key", "part").sortWithinPartitions("key", "part", "kind", "n", "h")
+    return both.mapInArrow(run, TIES_DDL)
 
 
 def ngram_jaccard_join(
@@ -393,29 +502,18 @@ def ngram_jaccard_join(
     classes = full.groupBy("h", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes, "classes")
     rank = shingle_rank(docs, n, text)
-    answers = materialise(merged(candidates(postings(docs, n, percent, text, rank), percent)), "answers")
-
-    same = F.filter(F.arrays_zip("hs", "ns", "ms"), lambda y: y["ms"] == F.col("m"))
-    other = F.filter(F.arrays_zip("hs", "ns", "ms"), lambda y: y["ms"] != F.col("m"))
-    split = answers.select("h", "n", "m", same.alias("same"), other.alias("other"))
-    near = split.filter(F.size("same") > 0).select("h", "n", "m", F.col("same.hs").alias("hs"), F.col("same.ns").alias("ns"))
-    far = split.select("h", "n", F.explode("other").alias("y")).select("h", "n", F.col("y.hs").alias("yh"), F.col("y.ns").alias("yn"))
-    partners = answers.select(F.explode(F.arrays_zip("hs", "ns")).alias("y")).select(F.col("y.hs").alias("h"), F.col("y.ns").alias("n"))
-    active = materialise(answers.select("h", "n").union(partners).distinct(), "active-classes")
-    sets = materialise(sets_of(docs, active, n, text), "active-sets")
-    pairs = links_within(near, sets, percent).select("h", "n", F.explode(F.arrays_zip("hs", "ns")).alias("y"))
-    links = pairs.select("h", "n", F.col("y.hs").alias("yh"), F.col("y.ns").alias("yn")).union(links_across(far, sets, percent))
-    links = materialise(links.distinct(), "links")
-
-    roots = components(links.select(F.col("h").alias("u"), F.col("yh").alias("v")))
+    answers = merged(candidates(postings(docs, n, percent, text, rank), percent), percent)
+    routes = materialise(routed(answers), "routes")
+    needing = members(routes).join(classes.select("h", "n", "copies"), ["h", "n"])
+    needing = materialise(needing, "members")
+    # a class with copies may come from several tasks; a group takes each set once
+    grouped = sets_of(docs, needing, n, text).join(needing, ["h", "n"])
+    ties = materialise(group_ties(routes, grouped, percent), "ties")
+
+    roots = components(ties.select(F.col("h").alias("u"), F.col("tie").alias("v")))
     rooted = classes.join(roots.withColumnRenamed("u", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ends = links.union(links.select(F.col("yh").alias("h"), F.col("yn").alias("n"), F.col("h").alias("yh"), F.col("n").alias("yn")))
-    linked = (
-        ends.join(classes.select(F.col("h").alias("yh"), F.col("n").alias("yn"), "copies"), ["yh", "yn"])
-        .groupBy("h", "n")
-        .agg(F.sum("copies").alias("outside"))
-    )
+    linked = ties.groupBy("h", "n").agg(F.sum("outside").alias("outside"))
     verdict = (
         rooted.join(least, "root")
         .join(linked, ["h", "n"], "left")
