@@ -145,6 +145,10 @@ def metric_history_latest(history: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: characters kept of an artifact error.
+ERROR_CHARS = 250
+
+
 def archive_runs(
     params: DataFrame,
     metrics: DataFrame,
@@ -152,10 +156,14 @@ def archive_runs(
     artifacts: DataFrame,
     runs: DataFrame,
     provenance: Mapping[str, str],
+    errors: DataFrame | None = None,
+    client_logs: DataFrame | None = None,
 ) -> DataFrame:
     """Copy receipts as one long table (run, kind, key, value, step, ts) plus provenance tags.
 
-    A run without artifacts is recorded with an error tag; it is not a failure.
+    A run whose artifacts could not be read (`errors`: run, message) carries the clipped message as a
+    tag, and a run without any artifact says so; neither is a failure. `client_logs` (run, path) are
+    kept as artifacts of their own folder. Where `runs` has a `status`, it is kept as the final one.
     """
 
     def rows(df: DataFrame, kind: str, value: Column, step: Column, ts: Column) -> DataFrame:
@@ -170,13 +178,22 @@ def archive_runs(
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in stamps.items()])
     stamped = runs.select("run", F.explode(entries).alias("e")).select("run", "e.key", "e.value")
     overridden = tags.filter(~F.col("key").isin(*stamps))
-    bare = runs.join(artifacts.select("run").distinct(), "run", "left_anti").select(
-        "run", F.lit("archive.artifacts_error").alias("key"), F.lit("no artifacts").alias("value")
-    )
+    bare = runs.select("run").join(artifacts.select("run").distinct(), "run", "left_anti")
+    message = F.lit("no artifacts")
+    if errors is not None:
+        told = errors.select("run", F.substring("message", 1, ERROR_CHARS).alias("message"))
+        bare, message = bare.join(told, "run", "left"), F.coalesce("message", message)
+    bare = bare.select("run", F.lit("archive.artifacts_error").alias("key"), message.alias("value"))
     value = F.col("value")
     copied = rows(params, "param", value, none, none)
     copied = copied.unionByName(rows(metrics, "metric", value, F.col("step"), F.col("ts")))
     for df in (overridden, stamped, bare):
         copied = copied.unionByName(rows(df, "tag", value, none, none))
     named = artifacts.select("run", F.col("path").alias("key"), F.col("path").alias("value"))
+    if client_logs is not None:
+        name = F.concat(F.lit("client_logs/"), F.substring_index("path", "/", -1))
+        named = named.unionByName(client_logs.select("run", name.alias("key"), F.col("path").alias("value")))
+    if "status" in runs.columns:
+        status = runs.select("run", F.lit("status").alias("key"), F.col("status").alias("value"))
+        copied = copied.unionByName(rows(status, "status", value, none, none))
     return copied.unionByName(rows(named, "artifact", value, none, none))

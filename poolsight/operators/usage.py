@@ -203,8 +203,11 @@ def reservation_utilization(
 
 
 def first_team_of(members: DataFrame) -> DataFrame:
-    """Lower-cased member -> its first team in config order."""
-    return members.groupBy(F.lower("member").alias("_member")).agg(F.min_by("team", "pos").alias("team"))
+    """Lower-cased member -> its first team in config order; positions are unique, and found on numbers."""
+    who = F.lower("member")
+    first = members.groupBy(who.alias("_member")).agg(F.min("pos").alias("_pos"))
+    found = members.join(first, (who == F.col("_member")) & (F.col("pos") == F.col("_pos")))
+    return found.select("_member", "team").distinct()
 
 
 def team_map_join(df: DataFrame, members: DataFrame, principal: str = "principal") -> DataFrame:

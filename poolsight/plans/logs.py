@@ -266,7 +266,10 @@ def metric_history_latest(spark, root):
   UNION ALL SELECT c_custkey, 'tag', 'name', c_name, NULL, NULL FROM customer
   UNION ALL SELECT c_custkey, 'tag', 'archive.source_run_id', CAST(c_custkey AS VARCHAR), NULL, NULL FROM customer
   UNION ALL SELECT c_custkey, 'tag', 'archive.source_workspace', 'pool-a', NULL, NULL FROM customer
-  UNION ALL SELECT c_custkey, 'tag', 'archive.artifacts_error', 'no artifacts', NULL, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+  UNION ALL SELECT c_custkey, 'tag', 'archive.artifacts_error', CASE WHEN c_custkey % 2 = 0 THEN left('HTTP 404 ' || repeat('x', 300), 250) ELSE 'no artifacts' END, NULL, NULL
+    FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+  UNION ALL SELECT c_custkey, 'status', 'status', CASE WHEN c_custkey % 3 = 0 THEN 'FAILED' ELSE 'FINISHED' END, NULL, NULL FROM customer
+  UNION ALL SELECT c_custkey, 'artifact', 'client_logs/run-' || CAST(c_custkey AS VARCHAR) || '.log', '/home/u/run-' || CAST(c_custkey AS VARCHAR) || '.log', NULL, NULL FROM customer WHERE c_custkey % 5 = 0
   UNION ALL SELECT o_custkey, 'artifact', 'out/' || CAST(o_orderkey AS VARCHAR), 'out/' || CAST(o_orderkey AS VARCHAR), NULL, NULL FROM orders)""",
 )
 def run_archive_copy(spark, root):
@@ -278,4 +281,8 @@ def run_archive_copy(spark, root):
     artifacts = B.table(spark, root, "orders").select(
         F.col("o_custkey").alias("run"), B.text("out/", F.col("o_orderkey")).alias("path")
     )
-    return ops.archive_runs(params, metrics, tags, artifacts, customer.select(run), {"source_workspace": "pool-a"})
+    key = F.col("c_custkey")
+    runs = customer.select(run, F.when(key % 3 == 0, "FAILED").otherwise("FINISHED").alias("status"))
+    errors = customer.filter(key % 2 == 0).select(run, F.concat(F.lit("HTTP 404 "), F.repeat(F.lit("x"), 300)).alias("message"))
+    client_logs = customer.filter(key % 5 == 0).select(run, F.concat(F.lit("/home/u/run-"), key.cast("string"), F.lit(".log")).alias("path"))
+    return ops.archive_runs(params, metrics, tags, artifacts, runs, {"source_workspace": "pool-a"}, errors, client_logs)
