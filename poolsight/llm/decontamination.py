@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from poolsight.llm.catalog import query, table
 from poolsight.llm.storage import materialise
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 #: Distinct benchmark shingles, 16 bytes each, up to which they are broadcast; beyond, the join is shuffled.
 BROADCAST_SHINGLES = 1_000_000
@@ -29,7 +29,8 @@ WHOLE = 0
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Lower-cased words; a cut at either end of the text leaves an empty one to drop."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN_WORDS), "")
 
 
 def shingles(words: Column, size: int) -> Column:
