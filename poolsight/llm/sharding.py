@@ -164,18 +164,20 @@ def shard_records(
     )
 
 
-@query("op9_sampled_splitters")
-def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_report(shard_records(table(spark, sf_dir, "documents"), 16))
-
-
-def shard_report(sharded: DataFrame) -> DataFrame:
-    return sharded.select(
+def shard_report(docs: DataFrame, shards: int) -> DataFrame:
+    """Where each row goes, with the checksum of its text (0 for null); texts themselves aren't moved."""
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return shard_records(docs.withColumn("__crc", crc), shards).select(
         "doc_id",
         F.col("__size").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.col("__crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         F.col("__shard").alias("shard"),
         F.col("__slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op9_sampled_splitters")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"), 16)

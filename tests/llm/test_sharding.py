@@ -49,10 +49,10 @@ def test_overfull_ranges_are_cut(spark, monkeypatch):
 
 
 def test_report_of_repeated_rows_and_nothing(spark):
-    rows = shard_report(shard_records(documents(spark), 16)).collect()
+    rows = shard_report(documents(spark), 16).collect()
     assert len(rows) == documents(spark).count()
     by = {(r["doc_id"], r["size"]): r["text_crc32"] for r in rows}
     assert by[(3000, 1)] == 0 and by[(3003, 4)] == zlib.crc32(b"one")
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
     assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
-    assert shard_report(shard_records(nothing(spark), 16)).collect() == []
+    assert shard_report(nothing(spark), 16).collect() == []
