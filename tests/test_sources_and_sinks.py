@@ -142,3 +142,25 @@ def test_shared_folder_comes_from_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     path = workspace.fresh_path(spark, "x")
     assert path.startswith(root) and path != workspace.fresh_path(spark, "x")
+
+
+def test_workspace_is_cleared_and_needs_a_folder_on_a_cluster(spark, folder, monkeypatch):
+    monkeypatch.setattr(workspace, "session_path", lambda session: str(folder / "mine"))
+    kept = workspace.materialise(spark.range(5), "x")
+    assert kept.count() == 5 and (folder / "mine").exists()
+    workspace.clear(spark)
+    assert not (folder / "mine").exists()
+
+    class Context:
+        master = "spark://somewhere"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="all executors share"):
+        workspace.shared_root(Session())
+    Context.master = "local[2]"
+    assert "poolsight" in workspace.shared_root(Session())
