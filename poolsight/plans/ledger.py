@@ -251,19 +251,31 @@ def parsed_manifests(spark, root):
     return files.parse_manifests(B.manifest_files(spark, root))
 
 
-@query(
-    "scan_manifests",
-    """SELECT path, CASE WHEN NOT broken THEN shape END AS accelerator_type, CASE WHEN NOT broken THEN num_accelerators END AS num_accelerators,
+MANIFEST_ROWS = """SELECT path, CASE WHEN NOT broken THEN shape END AS accelerator_type, CASE WHEN NOT broken THEN num_accelerators END AS num_accelerators,
   CASE WHEN NOT broken THEN command END AS command, CASE WHEN NOT broken THEN include_path END AS first_include,
-  CASE WHEN broken THEN 'unparsable' WHEN command IS NULL THEN 'no command' END AS problem FROM manifests""",
-)
-def scan_manifests(spark, root):
-    return parsed_manifests(spark, root).select(
+  CASE WHEN broken THEN 'unparsable' WHEN command IS NULL THEN 'no command' END AS problem FROM manifests"""
+
+
+def manifest_rows(parsed):
+    return parsed.select(
         "path", "accelerator_type", "num_accelerators", "command",
         F.get("include_paths", F.lit(0)).alias("first_include"), "problem",
     )
 
 
+@query("scan_manifests", MANIFEST_ROWS)
+def scan_manifests(spark, root):
+    return manifest_rows(parsed_manifests(spark, root))
+
+
+@query("scan_manifest_files", MANIFEST_ROWS)
+def scan_manifest_files(spark, root):
+    """The same manifests as YAML files in their folders, found and read back."""
+    folder = workspace.fresh_path(spark, "manifests")
+    sinks.write_files(B.manifest_files(spark, root), folder)
+    return manifest_rows(files.parse_manifests(files.manifest_files(spark, folder)))
+
+
 @query("catalog_shadow", SHADOWED)
 def catalog_shadow(spark, root):
     return ops.catalog_shadow(B.manifest_files(spark, root))
