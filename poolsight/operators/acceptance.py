@@ -112,8 +112,8 @@ def sentinel_link(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Each declared sentinel against its asset and the scripts the asset refers to.
 
     Rows whose asset is missing are left to `registry_missing_asset`. Paths are resolved by equi
-    joins, and each (file, sentinel) is searched once however many assets share the file, so a
-    script that most assets refer to sends its text through one join row per sentinel.
+    joins. Each file's text moves once, beside the sentinels asked of it (a part of the registry's),
+    however many assets share the file.
     """
     assets = files.join(registry.select(F.col("asset").alias("path")).distinct(), "path", "left_semi")
     scripts = assets.filter(F.col("path").endswith(".yaml")).select(
@@ -122,12 +122,12 @@ def sentinel_link(registry: DataFrame, files: DataFrame) -> DataFrame:
     linked = scripts.unionByName(assets.select(F.col("path").alias("asset"), "path")).distinct()
     declared = registry.select("id", "asset", F.explode("sentinels").alias("sentinel"))
     pairs = declared.join(linked, "asset")
+    asked = pairs.groupBy("path").agg(F.collect_set("sentinel").alias("asked"))
+    found = F.filter("asked", lambda sentinel: F.contains(F.col("text"), sentinel))
     hits = (
-        pairs.select("path", "sentinel")
-        .distinct()
-        .join(files.select("path", "text"), "path")
-        .filter(F.col("text").contains(F.col("sentinel")))
-        .select("path", "sentinel", F.lit(True).alias("_hit"))
+        asked.join(files.select("path", "text"), "path")
+        .select("path", F.explode(found).alias("sentinel"))
+        .withColumn("_hit", F.lit(True))
     )
     return (
         pairs.join(hits, ["path", "sentinel"], "left")
