@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from poolsight.llm.catalog import query, table
 from poolsight.llm.components import components
 from poolsight.llm.histogram import histogram
-from poolsight.llm.storage import materialise
+from poolsight.llm.storage import arrow_batches, materialise
 from poolsight.llm.text import Words, mix, small_batches, word_hashes
 
 WORDS = Words(b"\x20\x09\x0a\x0b\x0c\x0d", lower=True)
@@ -36,6 +36,8 @@ BUCKETS = 1 << 22
 FILTER = 1 << 23
 #: Lists in which linked sets have to meet, unless they overlap in fewer shingles.
 COMMON = 4
+#: Rows of group members up to which they are broadcast to the sets (40 bytes each), and texts that cross to Python together.
+BROADCAST_MEMBERS, TEXTS_AT_ONCE = 500_000, 1000
 #: Classes a task remembers to leave out copies; forgetting some only repeats rows.
 REMEMBERED = 500_000
 #: Cells of a block pair compared at once, and pairs that a part of a group counts, about.
@@ -137,7 +139,7 @@ def shingle_rank(docs: DataFrame, n: int, text: str, buckets: int = BUCKETS) ->
         for numbers in extract(batch):
             held.append(numbers)
             size += len(numbers)
-            if size > buckets:
+            if size > CELLS:
                 yield np.concatenate(held)
                 held, size = [], 0
         if held:
@@ -497,6 +499,11 @@ def ngram_jaccard_join(
     null ids alone has a null id. Rows of one repeated id are separate rows. An empty table gives no
     rows, other columns are not read. Ids of classes and shingles are 64-bit hashes.
     """
+    with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        return _joined(docs, n, percent, ident, text)
+
+
+def _joined(docs: DataFrame, n: int, percent: int, ident: str, text: str) -> DataFrame:
     rows = materialise(document_classes(docs, n, ident, text), "set-classes")
     full = rows.filter("h is not null")
     classes = full.groupBy("h", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -507,7 +514,8 @@ def ngram_jaccard_join(
     needing = members(routes).join(classes.select("h", "n", "copies"), ["h", "n"])
     needing = materialise(needing, "members")
     # a class with copies may come from several tasks; a group takes each set once
-    grouped = sets_of(docs, needing, n, text).join(needing, ["h", "n"])
+    few = needing.count() <= BROADCAST_MEMBERS
+    grouped = sets_of(docs, needing, n, text).join(F.broadcast(needing) if few else needing, ["h", "n"])
     ties = materialise(group_ties(routes, grouped, percent), "ties")
 
     roots = components(ties.select(F.col("h").alias("u"), F.col("tie").alias("v")))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from poolsight.llm.catalog import query, table
-from poolsight.llm.storage import filesystem, fresh_path, materialise
+from poolsight.llm.storage import arrow_batches, filesystem, fresh_path, materialise
 from poolsight.llm.text import small_batches
 from poolsight.llm.warc import STAGING
 
@@ -30,6 +30,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 WIDTH = "uint16"
+#: Texts that cross to Python together.
+TEXTS_AT_ONCE = 1000
 #: Tokens to a block, blocks to a run, and bytes that end a token file.
 BLOCK, RUN, ROLL_BYTES = 1 << 20, 1024, 64 << 20
 
@@ -87,7 +89,8 @@ def write_token_files(
     if end < encoder(ranks).n_vocab or end > np.iinfo(width).max:
         raise ValueError(f"{end} is a rank of the vocabulary or no {width}")
     chosen = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    written = materialise(chosen.mapInArrow(run, "file string, staged string, ordinal long, doc_id long"), "token-rows")
+    with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        written = materialise(chosen.mapInArrow(run, "file string, staged string, ordinal long, doc_id long"), "token-rows")
     fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
     for r in written.select("file", "staged").distinct().collect():

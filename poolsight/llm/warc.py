@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from poolsight.llm.catalog import query, table
 from poolsight.llm.sharding import LOWEST, range_of, sampled_splitters
-from poolsight.llm.storage import filesystem, fresh_path, materialise
+from poolsight.llm.storage import arrow_batches, filesystem, fresh_path, materialise
 
 #: Payload bytes to a shard, compressed bytes that end a file, payload bytes from which equal payloads are told once.
 SHARD_BYTES, ROLL_BYTES, LEAST_SHARED = 48 << 20, 8 << 20, 100
+#: Pages that cross to the writer together.
+PAGES_AT_ONCE = 1000
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed by the WARC 1.1 standard.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -179,7 +181,9 @@ def write_warc(
         if done := roller.close():
             yield _file_rows(done)
 
-    files = sorted((r.asDict() for r in sorted_rows.mapInArrow(write, FILE_DDL).collect()), key=lambda r: r["name"])
+    with arrow_batches(spark, PAGES_AT_ONCE):
+        written = sorted_rows.mapInArrow(write, FILE_DDL).collect()
+    files = sorted((r.asDict() for r in written), key=lambda r: r["name"])
     return commit(folder, files)
 
 
