@@ -35,10 +35,9 @@ def source_rates(docs: DataFrame, source: str, weights: Mapping[str | None, int]
     for name, value in weights.items():
         weight = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(value)).otherwise(weight)
     counts = counts.withColumn("__w", weight.cast("double"))
-    totals = counts.agg(F.sum("__n").alias("__rows"), F.sum("__w").alias("__weights"))
-    rate = F.lit(float(epochs)) * F.col("__rows") * F.col("__w") / F.nullif(F.col("__weights") * F.col("__n"), F.lit(0.0))
-    # one row of totals on one side: no join condition is possible, and no rows are multiplied
-    rated = counts.join(F.broadcast(totals)).select("__source", F.coalesce(rate, F.lit(0.0)).alias("__rate"))
+    rows, weights = counts.agg(F.sum("__n")).scalar(), counts.agg(F.sum("__w")).scalar()
+    rate = F.lit(float(epochs)) * rows * F.col("__w") / F.nullif(weights * F.col("__n"), F.lit(0.0))
+    rated = counts.select("__source", F.coalesce(rate, F.lit(0.0)).alias("__rate"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int")
     mean = F.col("__rate") / F.col("__parts")
     zero = F.exp(-mean)
