@@ -5,11 +5,13 @@ from poolsight.llm import (  # noqa: F401
     decontamination,
     jaccard,
     language,
+    lexical,
     mixing,
     neighbours,
     quality,
     sharding,
     token_scan,
+    url_filter,
     warc,
 )
 from poolsight.llm.catalog import ORACLES, QUERIES  # noqa: F401

@@ -7,7 +7,7 @@ from poolsight.llm import registry
 from tests.oracle import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
-NATIVE = ("op5", "op8", "op10")
+NATIVE = ("op5", "op8", "op10", "op11")
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +30,8 @@ def test_query(spark, duck, name):
         assert sorted(r[0] for r in rows) == sorted(r[0] for r in spark.read.parquet(f"{ROOT}/documents.parquet").select("doc_id").collect())
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_columns_of_the_contracts(spark):
@@ -39,6 +39,9 @@ def test_columns_of_the_contracts(spark):
         "op2": "doc_id bigint, held_out boolean, score double, predicted int",
         "op6": "doc_id bigint, held_out boolean, lang_pred string, score double",
         "op7": "query_id bigint, rank int, vec_id bigint, score double",
+        "op11": "page_id bigint, host string, path string, rule string, verdict string",
+        "op12": "item_id bigint, rank int, doc_id bigint, score bigint",
+        "op13": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
         "op9": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     }
     for name, query in registry.QUERIES.items():
