@@ -1,6 +1,7 @@
 """Imports every operator of the subpackage, which registers its query."""
 
 from poolsight.llm import (  # noqa: F401
+    alignment,
     chat,
     decontamination,
     jaccard,

@@ -9,25 +9,23 @@ and over the runs, so that one huge file is no single task.
 
 from __future__ import annotations
 
-import base64
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from poolsight.llm.byte_bpe import ByteBpe
 from poolsight.llm.catalog import query, table
 from poolsight.llm.storage import arrow_batches, filesystem, fresh_path, materialise
 from poolsight.llm.text import small_batches
 from poolsight.llm.warc import STAGING
 
-#: Where the ranks of a public byte-level BPE lie on every machine, how it splits text, and a free id of it.
+#: Where the ranks of a public byte-level BPE lie on every machine, and a free id of it.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 WIDTH = "uint16"
 #: Texts that cross to Python together.
@@ -35,16 +33,12 @@ TEXTS_AT_ONCE = 1000
 #: Tokens to a block, blocks to a run, and bytes that end a token file.
 BLOCK, RUN, ROLL_BYTES = 1 << 20, 1024, 64 << 20
 
-_ENCODERS: dict[str, tiktoken.Encoding] = {}
+_ENCODERS: dict[str, ByteBpe] = {}
 
 
-def encoder(ranks: str) -> tiktoken.Encoding:
+def encoder(ranks: str) -> ByteBpe:
     if ranks not in _ENCODERS:
-        fs, path = filesystem(ranks)
-        with fs.open_input_stream(path) as stream:
-            pairs = [line.split() for line in stream.read().splitlines() if line]
-        table_ = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        _ENCODERS[ranks] = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=table_, special_tokens={})
+        _ENCODERS[ranks] = ByteBpe.from_ranks(ranks)
     return _ENCODERS[ranks]
 
 
@@ -59,7 +53,7 @@ def write_token_files(
 
     Tasks write under names of their own attempt; once all are done, the files of the attempts that
     succeeded get their final names. Null and empty texts are just an end identifier; strings of special
-    tokens in a text are ordinary text. `end` has to be no rank of the vocabulary.
+    tokens in a text are ordinary text. Texts of any length and kind are encoded whole, a million blanks too. `end` has to be no rank of the vocabulary.
     """
 
     def run(batches):
@@ -74,7 +68,7 @@ def write_token_files(
                     staged, number = f"{name}.{uuid.uuid4().hex}", number + 1
                     fs.create_dir(f"{base}/{STAGING}", recursive=True)
                     out = fs.open_output_stream(f"{base}/{STAGING}/{staged}", compression=None)
-                data = np.array([*code.encode_ordinary(words or ""), end], dtype=kind).tobytes()
+                data = np.array([*code.encode(words or ""), end], dtype=kind).tobytes()
                 out.write(data)
                 rows.append((name, staged, ordinal, ident_))
                 ordinal, size = ordinal + 1, size + len(data)

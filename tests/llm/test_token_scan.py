@@ -46,12 +46,12 @@ def test_broken_files_are_an_error(spark, tmp_path):
 
 def test_every_document_gets_its_own_count(spark, tmp_path):
     special = [(6000, "<|endoftext|> twice <|endoftext|>", "en", "a", 1)]
-    docs = documents(spark, extra=special).filter("doc_id is null or doc_id <> 4001").withColumn("file", F.lit("theirs"))
+    docs = documents(spark, extra=special).withColumn("file", F.lit("theirs"))
     named = S.write_token_files(docs.repartition(3), str(tmp_path / "t"), roll_bytes=20_000)
     counted = S.separator_scan(spark, str(tmp_path / "t"), block=500, run=3)
     rows = named.join(counted, ["file", "ordinal"]).collect()
     code = S.encoder(S.RANKS)
-    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == sorted((str(r["doc_id"]), len(code.encode_ordinary(r["text"] or ""))) for r in docs.collect())
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == sorted((str(r["doc_id"]), len(code.encode(r["text"] or ""))) for r in docs.collect())
     assert counted.count() == docs.count() and all(r["ended"] for r in rows)
     assert len({r["file"] for r in rows}) > 3
 
