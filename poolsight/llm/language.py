@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from poolsight.llm.catalog import query, table
 from poolsight.llm.quality import held_out
@@ -29,7 +30,6 @@ EPOCHS, BATCH = 5, 96
 #: Windows that go through the network together.
 TOGETHER = 2048
 UNKNOWN = "und"
-MASK = (1 << 64) - 1
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -233,14 +233,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str =
                 [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(2).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.binary())], schema=schema
             )
 
-    # a little over the wanted share of each language by hash, then exactly the least hashes
+    # a little over the wanted share of each language by hash, then exactly the least hashes, equal rows once
     per = -(-fit_docs // len(langs))
     share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, 1.2 * per / n + 1e-9)])
     unit = F.shiftrightunsigned("k", 11).cast("double") / F.lit(float(1 << 53))
-    rows = usable.filter(unit <= share[F.col("lang")]).mapInArrow(cut, "lang string, k long, bytes binary").collect()
-    ks = {name: sorted({r["k"] & MASK for r in rows if r["lang"] == name})[:per] for name in langs}
-    last = {name: found[-1] if found else 0 for name, found in ks.items()}
-    rows = sorted((r for r in rows if r["k"] & MASK <= last[r["lang"]]), key=lambda r: (r["k"], r["lang"], r["bytes"]))
+    drawn = usable.filter(unit <= share[F.col("lang")]).dropDuplicates(["lang", "k"])
+    least = F.row_number().over(Window.partitionBy("lang").orderBy(unit, "k"))
+    drawn = drawn.withColumn("place", least).filter(F.col("place") <= per).drop("place")
+    rows = drawn.mapInArrow(cut, "lang string, k long, bytes binary").collect()
+    rows.sort(key=lambda r: (r["k"], r["lang"], r["bytes"]))
     if not rows:
         return new_network([])
     x, live = np.zeros((len(rows), WINDOW), np.uint8), np.zeros((len(rows), WINDOW), bool)

@@ -64,13 +64,13 @@ def poisson_mix(
     ident: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """All columns of `docs` for every copy, plus `repeat_rate`, `repeats`, `copy` and `shuffle_key`.
+    """All columns of `docs` for every copy, plus `__repeat_rate`, `__repeats`, `__copy` and `__shuffle_key`.
 
     `weights` are whole numbers by source, `default_weight` holds for sources not named; a null
     source is a source. The mix has `epochs` times the rows of `docs` in expectation. A document
     drawn zero times has no row. Repeated rows of one id draw alike; a null id draws by its text.
     A weight of zero, an empty table or all-zero weights give no rows. Row order inside partitions
-    is that of `shuffle_key`, which is also a total order to sort by; sources never share a task by
+    is that of `__shuffle_key`, which is also a total order to sort by; sources never share a task by
     name, so a source with most of the rows is spread like any other.
     """
     rates = source_rates(docs, source, weights or {}, default_weight, epochs)
@@ -91,14 +91,14 @@ def poisson_mix(
     copies = (
         rated.withColumn("__name", named)
         .withColumn("__u", unit(F.lit(str(seed)), F.col("__name"), F.lit("1")))
-        .withColumn("repeats", F.when(F.col("__parts") == 1, single).otherwise(drawn).cast("int"))
-        .filter("repeats > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-        .withColumn("repeat_rate", F.round("__rate", 6))
-        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col("__name"), F.col("copy").cast("string"))))
+        .withColumn("__repeats", F.when(F.col("__parts") == 1, single).otherwise(drawn).cast("int"))
+        .filter("__repeats > 0")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats"))))
+        .withColumn("__repeat_rate", F.round("__rate", 6))
+        .withColumn("__shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col("__name"), F.col("__copy").cast("string"))))
         .drop("__name", "__u", "__parts", "__cdf", "__rate", "__source")
     )
-    return copies.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    return copies.repartition(F.col("__shuffle_key")).sortWithinPartitions("__shuffle_key")
 
 
 SQL = """
@@ -109,12 +109,12 @@ chances AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS cdf FROM rates
   UNION ALL
   SELECT source, rate, k + 1, term * rate / (k + 1), cdf + term * rate / (k + 1) FROM chances WHERE k < 94),
-drawn AS (SELECT doc_id, text, lang, source, n_chars,
+drawn AS (SELECT row_number() OVER () AS r, doc_id, text, lang, source, n_chars,
   ('0x' || substr(md5('7|' || doc_id || '|1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM documents),
-counted AS (SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, any_value(d.source) AS source,
+counted AS (SELECT any_value(d.doc_id) AS doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, any_value(d.source) AS source,
   any_value(d.n_chars) AS n_chars, round(any_value(c.rate), 6) AS repeat_rate,
   count(*) FILTER (c.cdf <= d.u) AS repeats
-  FROM drawn d JOIN chances c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.doc_id)
+  FROM drawn d JOIN chances c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.r)
 SELECT doc_id, text, lang, source, n_chars, repeat_rate, repeats::INTEGER AS repeats, copy::INTEGER AS copy,
   md5('order7|' || doc_id || '|' || copy) AS shuffle_key
 FROM (SELECT *, unnest(range(1, repeats + 1)) AS copy FROM counted WHERE repeats > 0)
@@ -124,4 +124,6 @@ FROM (SELECT *, unnest(range(1, repeats + 1)) AS copy FROM counted WHERE repeats
 @query("op10_poisson_mix", SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source to the same weight, as many rows as the table has."""
-    return poisson_mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    added = [F.col(f"__{c}").alias(c) for c in ("repeat_rate", "repeats", "copy", "shuffle_key")]
+    return poisson_mix(docs).select(*docs.columns, *added)

@@ -228,10 +228,10 @@ def tree_search(
     rows = rows.filter(F.size("embedding") == dims)
 
     def drawn(df: DataFrame, share: float, most: int) -> list:
-        """About a share of the rows by a hash of the id, cut to exactly the least hashes."""
+        """About a share of the rows by a hash of the id, cut to exactly the least hashes before any row leaves Spark."""
         unit = F.shiftrightunsigned(F.xxhash64("vec_id"), 11).cast("double") / F.lit(float(1 << 53))
-        found = df.select("vec_id", "embedding", unit.alias("u")).filter(F.col("u") < share).collect()
-        return sorted(found, key=lambda r: (r["u"], r["vec_id"], r["embedding"]))[:most]
+        found = df.select("vec_id", "embedding", unit.alias("u")).filter(F.col("u") < share)
+        return found.orderBy("u", "vec_id", "embedding").limit(most).collect()
 
     sample = drawn(rows, 1.2 * FIT_VECTORS / total, FIT_VECTORS)
     tree = grow(np.array([r["embedding"] for r in sample]), max(1, min(total // leaf_vectors, len(sample) // LEAF_FITTED)))

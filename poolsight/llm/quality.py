@@ -231,6 +231,8 @@ def train(
 ) -> Machine:
     """Fit on at most `fit_rows` labelled rows of the learning fold, drawn by a hash of their ids.
 
+    Of rows that repeat an id one is fitted on, that with the least hash of its text, so the bound holds
+    however often ids repeat. Only doc_id, the text and the recorded length are read of `docs`.
     Both labels are drawn evenly where they can be and weighted back to their shares among all labelled
     rows. Null labels and labels other than 0 and 1 are left out, of contradicting ones the lower holds.
     Where the rows to fit on hold less than two labels, every text scores alike: the share of label 1.
@@ -248,7 +250,9 @@ def train(
     if len(draws) < 2:
         return constant(known)
     chosen = F.broadcast(draws[0].union(draws[1]))  # at most fit_rows rows of two numbers
-    rows = _features_of(docs.join(chosen, "doc_id"), text, n_chars).collect()
+    read = docs.select("doc_id", F.struct(F.col(text).alias("text"), _chars(docs, n_chars).alias("n_chars")).alias("read"))
+    once = read.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min_by("read", F.xxhash64("read")).alias("read"))
+    rows = _features_of(once.select("doc_id", "label", "read.*"), "text", "n_chars").collect()
     if len({r["label"] for r in rows}) < 2:
         return constant(known)
     rows.sort(key=lambda r: (r["doc_id"], r["stats"], r["buckets"]))

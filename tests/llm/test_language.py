@@ -103,3 +103,14 @@ def test_awkward_rows(spark):
     assert nothing(spark).select(L.identify(nothing(spark), net)).collect() == []
     silent = L.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r[0]["lang"] for r in docs.select(L.identify(docs, silent)).collect()} == {"und"}
+
+
+def test_the_bound_on_fitted_documents_holds_for_copies(spark, monkeypatch):
+    """A third of all rows are one row; the windows fitted on come from at most the bound's documents."""
+    rows = [(i, f"text number {i} of some words", "en" if i % 2 else "de") for i in range(400)] + [(3, "one row again and again", "en")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda x, live, y, langs: seen.append(len(x)) or L.new_network(langs))
+    L.train(docs, fit_docs=60)
+    L.train(docs, fit_docs=100_000)
+    assert seen[0] <= 60 and 290 <= seen[1] <= 401

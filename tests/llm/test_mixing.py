@@ -24,7 +24,7 @@ def count_by_hand(name, rate, seed=7):
 
 
 def test_counts_are_the_inverse_at_hashed_numbers(spark):
-    docs = documents(spark).withColumn("copy", F.lit("theirs"))
+    docs = documents(spark).withColumns({c: F.lit("theirs") for c in ("copy", "repeats", "repeat_rate", "shuffle_key")})
     rows = poisson_mix(docs, {"b": 40, None: 1}, default_weight=2, epochs=3.0).collect()
     per_source = Counter(r["source"] for r in docs.collect())
     weights = {s: {"b": 40, None: 1}.get(s, 2) for s in per_source}
@@ -35,7 +35,8 @@ def test_counts_are_the_inverse_at_hashed_numbers(spark):
         expected[(r["doc_id"], r["text"])] += count_by_hand(name, rate)
     got = Counter((r["doc_id"], r["text"]) for r in rows)
     assert got == +expected
-    assert all(1 <= r["copy"] <= r["repeats"] for r in rows)
+    assert all(1 <= r["__copy"] <= r["__repeats"] for r in rows)
+    assert {r[c] for r in rows for c in ("copy", "repeats", "repeat_rate", "shuffle_key")} == {"theirs"}
 
 
 def test_large_rates_keep_their_mean(spark):
@@ -46,8 +47,8 @@ def test_large_rates_keep_their_mean(spark):
 
 def test_order_is_shuffled_and_repeatable(spark):
     docs = documents(spark)
-    first = poisson_mix(docs).select("doc_id", "copy", "shuffle_key").orderBy("shuffle_key").collect()
-    again = poisson_mix(docs.repartition(7)).select("doc_id", "copy", "shuffle_key").orderBy("shuffle_key").collect()
+    first = poisson_mix(docs).select("doc_id", "__copy", "__shuffle_key").orderBy("__shuffle_key").collect()
+    again = poisson_mix(docs.repartition(7)).select("doc_id", "__copy", "__shuffle_key").orderBy("__shuffle_key").collect()
     assert Counter(first) == Counter(again)
     ids = [r["doc_id"] for r in first if r["doc_id"] is not None]
     assert ids != sorted(ids)

@@ -82,3 +82,14 @@ def test_repeated_rows_are_candidates_each(spark):
     assert len(got) == 30
     true = by_hand([*rows, rows[1], rows[1], rows[0]], 10, lambda i: i % 10 == 0)
     assert [g[:3] for g in got] == [t[:3] for t in true]
+
+
+def test_the_bound_on_fitted_vectors_holds_for_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(200)] + [(7, rng.normal(size=4).tolist()) for _ in range(2000)]
+    seen, grow = [], A.grow
+    monkeypatch.setattr(A, "grow", lambda x, leaves: seen.append(len(x)) or grow(x, leaves))
+    monkeypatch.setattr(A, "FIT_VECTORS", 100)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    A.tree_search(vectors, F.col("vec_id") % 50 == 0).count()
+    assert seen[0] <= 100

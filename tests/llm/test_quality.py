@@ -94,3 +94,16 @@ def test_awkward_rows_get_scores(spark):
         rows = odd.select("doc_id", "text", Q.quality_score(odd, machine).alias("s")).collect()
         assert len(rows) == odd.count() and all(0 <= r["s"] <= 1 for r in rows)
     assert nothing(spark).select(Q.quality_score(nothing(spark), machine)).collect() == []
+
+
+def test_the_bound_on_fitted_rows_holds_for_repeated_ids(spark, monkeypatch):
+    """One id in a third of all rows: one of its rows is fitted on; other columns named like ours do not matter."""
+    docs, labels = corpus(spark, 300)
+    hot = labels.filter(~Q.held_out(F.col("doc_id"), 5, 0)).first()["doc_id"]
+    copies = spark.range(3000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("copy "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda f, label, weight: seen.append(len(label)) or Q.constant(0.5))
+    clash = docs.union(copies).withColumns({"label": F.lit("theirs"), "read": F.lit(1), "stats": F.lit(2)})
+    Q.train(clash, labels, fit_rows=50)
+    Q.train(clash, labels, fit_rows=10_000)
+    assert seen[0] <= 50 and seen[1] == labels.filter(~Q.held_out(F.col("doc_id"), 5, 0)).count()
