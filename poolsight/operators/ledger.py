@@ -28,8 +28,6 @@ class Reservation:
     region: str = ""
 
 
-WHOLE_NODE = "*"
-
 WORKLOAD_COLUMNS = ("team", "use_case", "name", "shape", "nodes", "kind", "ref", "needs_torch")
 
 
@@ -368,83 +366,6 @@ def peak_concurrency(
     return out.withColumn("cap", F.greatest(F.col("peak"), F.lit(known_cap).cast("bigint")))
 
 
-def colocation(probes: DataFrame) -> DataFrame:
-    """Per probe: how many other holds overlapped it on its node, and how many of these share a GPU.
-
-    Input: probe_id, boot_id, gpu_uuids (array), hold_start, hold_end. Counted without pairs of
-    holds: the overlaps in a slot are the starts before my end - the ends up to my start - 1. Edges are
-    ordered by time with ends before starts, so both counts are running totals read at the probe's own
-    edges. The slots of a probe are the whole node and the subsets of its GPUs, whose counts give those
-    that share any GPU by inclusion and exclusion. GPUs of a node that every hold takes or leaves
-    together count as one, so subsets are few; a node whose eight GPUs all differ has 255 at most.
-    """
-    gpus = F.array_sort(F.array_distinct(F.col("gpu_uuids").cast("array<string>")))
-    real = probes.filter(F.col("hold_end") > F.col("hold_start")).select(
-        "probe_id", "boot_id", F.coalesce(gpus, F.array().cast("array<string>")).alias("gpus"), "hold_start", "hold_end"
-    )
-    slots = _slots_of_sets(real.select("boot_id", "gpus").distinct())
-    placed = real.join(slots, F.col("boot_id").eqNullSafe(F.col("_boot")) & (F.col("gpus") == F.col("_gpus")))
-    edges = placed.select("probe_id", "boot_id", F.explode("slots").alias("s"), "hold_start", "hold_end").select(
-        "probe_id",
-        "boot_id",
-        "s.*",
-        F.explode(
-            F.array(
-                F.struct(F.col("hold_end").alias("at"), F.lit(0).alias("starts"), F.lit(1).alias("ends")),
-                F.struct(F.col("hold_start").alias("at"), F.lit(1).alias("starts"), F.lit(0).alias("ends")),
-            )
-        ).alias("x"),
-    ).select("probe_id", "boot_id", "slot", "sign", "x.*")
-    totals = ordering.running_totals(
-        edges, ["at", "starts", "probe_id"], {"started": "starts", "ended": "ends"}, ["boot_id", "slot"]
-    )
-    # overlaps = started at my end - ended by my start - myself, summed over slots with their signs
-    reading = F.when(F.col("ends") == 1, F.col("started") - 1).otherwise(-F.col("ended"))
-    whole = F.col("slot") == WHOLE_NODE
-    return (
-        totals.groupBy("probe_id", "boot_id")
-        .agg(
-            F.sum(F.when(whole, reading)).cast("bigint").alias("cotenants"),
-            F.coalesce(F.sum(F.when(~whole, reading * F.col("sign"))), F.lit(0)).cast("bigint").alias("gpu_cotenants"),
-        )
-        .withColumn(
-            "placement",
-            F.when(F.col("cotenants") == 0, "alone")
-            .when(F.col("gpu_cotenants") == 0, "shared_node")
-            .otherwise("shared_gpu"),
-        )
-    )
-
-
-def _slots_of_sets(sets: DataFrame) -> DataFrame:
-    """(_boot, _gpus, slots) of the distinct GPU sets of each node: its subsets with their signs, and the node.
-
-    A GPU's mark is the sum of the hashes of the sets it is in, so GPUs that go together share a mark.
-    """
-    member = sets.select("boot_id", "gpus", F.explode("gpus").alias("gpu"))
-    marks = member.groupBy("boot_id", "gpu").agg(
-        F.sum(F.xxhash64("gpus").cast("decimal(20,0)")).cast("string").alias("mark")
-    )
-    marks = marks.toDF("_of_boot_id", "_of_gpu", "mark")
-    marked = member.join(marks, ordering.same(["boot_id", "gpu"], "_of_")).groupBy("boot_id", "gpus").agg(
-        F.array_sort(F.collect_set("mark")).alias("marks")
-    )
-    marked = marked.toDF("_of_boot_id", "_of_gpus", "marks")
-    every = sets.join(marked, ordering.same(["boot_id", "gpus"], "_of_"), "left")
-    parts = F.coalesce("marks", F.array().cast("array<string>"))
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size(parts)).cast("int") - 1)
-    taken = lambda mask: F.filter(parts, lambda _, i: F.getbit(mask, i) == 1)
-    subsets = F.transform(
-        masks,
-        lambda mask: F.struct(
-            F.array_join(taken(mask), "+").alias("slot"), F.when(F.bit_count(mask) % 2 == 1, 1).otherwise(-1).alias("sign")
-        ),
-    )
-    node = F.array(F.struct(F.lit(WHOLE_NODE).alias("slot"), F.lit(0).alias("sign")))
-    listed = F.when(F.size(parts) > 0, F.concat(node, subsets)).otherwise(node)
-    return every.select(F.col("boot_id").alias("_boot"), F.col("gpus").alias("_gpus"), listed.alias("slots"))
-
-
 def param_query(spark: SparkSession, text: str, args: Mapping[str, object], **views: DataFrame) -> DataFrame:
     """Run SQL with typed named parameters (`:name`) over given DataFrames (`{view}`)."""
     return spark.sql(text, args=dict(args), **views)

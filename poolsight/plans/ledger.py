@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from poolsight.functions import ledger as L
+from poolsight.operators import colocation
 from poolsight.operators import ledger as ops
 from poolsight.plans import bindings as B
 from poolsight.plans.registry import query
@@ -333,7 +334,7 @@ def peak_concurrency(spark, root):
     ON a.boot_id = b.boot_id AND a.probe_id <> b.probe_id AND a.hold_start < b.hold_end AND b.hold_start < a.hold_end GROUP BY ALL""",
 )
 def colocation_join(spark, root):
-    return ops.colocation(B.probes(spark, root))
+    return colocation.colocation(B.probes(spark, root))
 
 
 MONTHS = (

@@ -1,6 +1,7 @@
 """Ledger semantics on small fixtures, and the skew-proof counters against brute force."""
 
 import datetime as dt
+import random
 from collections import Counter
 
 import pytest
@@ -9,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from poolsight.functions import ledger as L
+from poolsight.operators import colocation, ordering
 from poolsight.operators import ledger as ops
-from poolsight.operators import ordering
 
 RES = ops.Reservation(total_nodes=20)
 START = dt.datetime(2026, 1, 1)
@@ -137,7 +138,7 @@ def test_colocation_equals_pairs(spark, drawn):
         others = [b for b in real if b[0] != a[0] and b[1] == a[1] and a[2] < b[3] and b[2] < a[3]]
         shared = sum(bool(set(a[4]) & set(b[4])) for b in others)
         want[a[0]] = (len(others), shared)
-    assert {r.probe_id: (r.cotenants, r.gpu_cotenants) for r in ops.colocation(df).collect()} == want
+    assert {r.probe_id: (r.cotenants, r.gpu_cotenants) for r in colocation.colocation(df).collect()} == want
 
 
 @few
@@ -166,7 +167,7 @@ def test_running_totals_equal_plain_sums(spark, values):
 def test_a_probe_beside_holds_on_each_of_its_gpus(spark):
     rows = [(0, "n", START, START + dt.timedelta(hours=1), ["g0", "g1"]), (1, "n", START, START + dt.timedelta(hours=1), ["g0"]), (2, "n", START, START + dt.timedelta(hours=1), ["g1"])]
     df = spark.createDataFrame(rows, "probe_id int, boot_id string, hold_start timestamp_ntz, hold_end timestamp_ntz, gpu_uuids array<string>")
-    assert {r.probe_id: (r.cotenants, r.gpu_cotenants) for r in ops.colocation(df).collect()} == {0: (2, 2), 1: (2, 1), 2: (2, 1)}
+    assert {r.probe_id: (r.cotenants, r.gpu_cotenants) for r in colocation.colocation(df).collect()} == {0: (2, 2), 1: (2, 1), 2: (2, 1)}
 
 
 def test_runs_of_a_null_shape_keep_a_rank(spark):
@@ -221,3 +222,45 @@ def test_all_states_when_none(spark):
 def test_outcome_class(spark, result, message, want):
     df = spark.createDataFrame([(result, message)], "r string, m string")
     assert df.select(L.outcome_class(F.col("r"), F.col("m")).alias("o")).first().o == want
+
+
+def _hold(i, node, start, end, gpus):
+    return (i, node, START + dt.timedelta(minutes=start), START + dt.timedelta(minutes=end), gpus)
+
+
+def _pairs(rows):
+    out = {}
+    for a in rows:
+        others = [b for b in rows if b[0] != a[0] and b[1] == a[1] and a[2] < b[3] and b[2] < a[3]]
+        out[a[0]] = (len(others), sum(bool(set(a[4] or ()) & set(b[4] or ())) for b in others))
+    return out
+
+
+HOLDS = "probe_id int, boot_id string, hold_start timestamp_ntz, hold_end timestamp_ntz, gpu_uuids array<string>"
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_one_node_over_many_ranges_and_batches(spark, batch):
+    """A node of eight unlike GPUs has most of the rows, so the state crosses batches and ranges; null and empty sets stay."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        start = rng.randrange(200)
+        gpus = [f"g{j}" for j in range(8) if rng.random() < 0.3]
+        rows.append(_hold(i, rng.choice(["hot"] * 8 + ["n1", "n2", None]), start, start + rng.randint(1, 40), rng.choice([gpus, gpus, gpus, [], None])))
+    df = spark.createDataFrame(rows, HOLDS)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.probe_id: (r.cotenants, r.gpu_cotenants) for r in colocation.colocation(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == _pairs(rows)
+
+
+def test_two_rows_a_hold_are_swept(spark, monkeypatch):
+    rows = [_hold(i, "n", i, i + 9, [f"g{j}" for j in range(8) if i >> j & 1]) for i in range(256)]
+    seen, ranged = [], ordering.ranged
+    monkeypatch.setattr(colocation.ordering, "ranged", lambda df, *a: seen.append(df.count()) or ranged(df, *a))
+    got = {r.probe_id: (r.cotenants, r.gpu_cotenants) for r in colocation.colocation(spark.createDataFrame(rows, HOLDS)).collect()}
+    assert seen == [512] and got == _pairs(rows)
