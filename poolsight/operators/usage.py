@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsight.functions import usage as U
+from poolsight.operators import ordering
+from poolsight.sources import workspace
 
 UNMAPPED = "unmapped"
 
@@ -84,12 +86,18 @@ def usage_by_bucket(usage, days=30, as_of=None, layout=U.DEFAULT_LAYOUT) -> Data
     )
 
 
-def with_list_price(usage: DataFrame, prices: DataFrame) -> DataFrame:
+#: Windows of one SKU and cloud up to which usage is compared with each of them.
+FEW_WINDOWS = 32
+
+
+def with_list_price(usage: DataFrame, prices: DataFrame, few_windows: int = FEW_WINDOWS) -> DataFrame:
     """LEFT join to the price in force: equal SKU and cloud, half-open window, null end = open.
 
-    The equi keys give a hash join with the window as residual. No hint is set: the planner
-    broadcasts the dimension only when its measured size allows, and otherwise AQE splits hot
-    SKUs of the sort-merge join. Overlapping windows fan out, as in a plain SQL join.
+    While every SKU has few windows, the equi keys give a hash join with the window as residual. A SKU with
+    many would compare each of its usage rows with all of them, so beyond `few_windows` the windows in
+    force are looked up once an instant (`prices_at`), and usage joins on SKU, cloud and time alone. No hint
+    is set: the planner broadcasts what it has measured as small, and otherwise AQE splits hot keys.
+    Overlapping windows fan out, as in a plain SQL join.
     """
     windows = prices.select(
         F.col("sku_name").alias("_sku"),
@@ -98,13 +106,50 @@ def with_list_price(usage: DataFrame, prices: DataFrame) -> DataFrame:
         F.col("price_end_time").alias("_to"),
         F.col("pricing.default").cast("double").alias("list_price"),
     )
-    in_force = (
-        (F.col("sku_name") == F.col("_sku"))
-        & (F.col("cloud") == F.col("_cloud"))
-        & (F.col("usage_start_time") >= F.col("_from"))
-        & (F.col("_to").isNull() | (F.col("usage_start_time") < F.col("_to")))
-    )
-    return usage.join(windows, in_force, "left").drop("_sku", "_cloud", "_from", "_to")
+    most = windows.groupBy("_sku", "_cloud").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    same_sku = (F.col("sku_name") == F.col("_sku")) & (F.col("cloud") == F.col("_cloud"))
+    if most <= few_windows:
+        in_force = (
+            same_sku
+            & (F.col("usage_start_time") >= F.col("_from"))
+            & (F.col("_to").isNull() | (F.col("usage_start_time") < F.col("_to")))
+        )
+        return usage.join(windows, in_force, "left").drop("_sku", "_cloud", "_from", "_to")
+    instants = usage.select(
+        F.col("sku_name").alias("_sku"), F.col("cloud").alias("_cloud"), F.col("usage_start_time").alias("_at")
+    ).dropna().distinct()
+    found = prices_at(instants, windows)
+    return usage.join(found, same_sku & (F.col("usage_start_time") == F.col("_at")), "left").drop("_sku", "_cloud", "_at")
+
+
+def prices_at(instants: DataFrame, windows: DataFrame) -> DataFrame:
+    """(_sku, _cloud, _at, list_price): the windows in force at each instant, all of them where they overlap.
+
+    The bounds of a SKU's windows cut time into numbered segments; a window is the segments from its start
+    to its end. Instants and bounds are put in order together, range by range, and an instant's segment is
+    the highest number so far: a running maximum that earlier ranges hand on. A SKU with most of the
+    instants or windows spreads over ranges, and the work grows with rows and windows, not their product.
+    """
+    key = ["_sku", "_cloud"]
+    real = windows.filter(F.col("_from").isNotNull() & (F.col("_to").isNull() | (F.col("_from") < F.col("_to"))))
+    bounds = real.select(*key, F.explode(F.array("_from", "_to")).alias("_at")).dropna().distinct()
+    numbered = workspace.materialise(ordering.positions(bounds, ["_at"], key, "_segment"), "price-bounds")
+    lines = instants.select(*key, "_at", F.lit(None).cast("long").alias("_segment")).unionByName(numbered)
+    rows = ordering.ranged(lines, key, ["_at"])
+    tops = rows.groupBy(*key, "_range").agg(F.max("_segment").alias("_top"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*key, "_range", F.max("_top").over(earlier).alias("_carry"))
+    # a bound counts at its own instant: windows are closed at their start and open at their end
+    here = Window.partitionBy(*key, "_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.select("*", F.max("_segment").over(here).alias("_highest")).filter(F.col("_segment").isNull())
+    placed = placed.join(carried, [*key, "_range"]).select(*key, "_at", F.greatest("_highest", "_carry").alias("_segment"))
+
+    starts = numbered.select(*key, F.col("_at").alias("_from"), F.col("_segment").alias("_first"))
+    ends = numbered.select(*key, F.col("_at").alias("_to"), F.col("_segment").alias("_end"))
+    last = numbered.groupBy(*key).agg(F.max("_segment").alias("_last"))
+    spans = real.join(starts, [*key, "_from"]).join(ends, [*key, "_to"], "left").join(last, key)
+    covered = F.explode(F.sequence("_first", F.coalesce(F.col("_end") - 1, F.col("_last"))))
+    return placed.join(spans.select(*key, covered.alias("_segment"), "list_price"), [*key, "_segment"]).select(*key, "_at", "list_price")
 
 
 def overlapping_prices(prices: DataFrame) -> DataFrame:

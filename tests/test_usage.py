@@ -1,6 +1,8 @@
 """Edge cases of usage, prices and attribution."""
 
+import bisect
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +122,35 @@ def test_custom_layout(spark):
     )
     (got,) = ops.usage_daily(df, 30, DAY, flat).collect()
     assert (got.principal, got.job_id, got.workload_type, got.dbus) == ("p", 5, "C", 2.0)
+
+
+def test_many_windows_equal_a_comparison_with_each(spark):
+    """Overlapping, nested, empty, open and unstarted windows of several SKUs; instants at bounds; null keys."""
+    rng = random.Random(2)
+    at = lambda h: NOON + dt.timedelta(hours=h)
+    windows = []
+    for i in range(120):
+        start = rng.randint(0, 60)
+        sku, cloud = rng.choice([("SKU", "AWS"), ("SKU", "AWS"), ("SKU", "GCP"), (None, "AWS")])
+        windows.append((sku, cloud, None if i % 30 == 0 else at(start), rng.choice([None, at(start), at(start + 1), at(start + 25), at(start - 3)]), (float(i),)))
+    dimension = spark.createDataFrame(windows, schemas.LIST_PRICES)
+    rows = [row(quantity=float(i), sku=rng.choice(["SKU", "SKU", "OTHER", None]), at=rng.choice([None, at(rng.randint(-5, 90)), at(rng.uniform(0, 70))])) for i in range(150)]
+    got = ops.with_list_price(usage(spark, *rows), dimension, few_windows=1)
+    want = ops.with_list_price(usage(spark, *rows), dimension, few_windows=1000)
+    pick = lambda df: sorted(((r.usage_quantity, r.list_price) for r in df.select("usage_quantity", "list_price").collect()), key=str)
+    assert got.columns == want.columns and pick(got) == pick(want) and len(pick(got)) > 500
+
+
+def test_ten_thousand_windows_of_one_sku(spark):
+    """Each instant is placed by order: the plan of the lookup has no comparison of times between two tables."""
+    starts = [NOON + dt.timedelta(minutes=17 * i) for i in range(10_000)]
+    dimension = prices(spark, *[(a, b, float(i)) for i, (a, b) in enumerate(zip(starts, [*starts[1:], None], strict=True))])
+    base = spark.range(60_000).select(F.expr("timestamp_ntz'2026-07-01 11:00:00' + make_dt_interval(0, 0, cast(id * 3 as int), 0)").alias("usage_start_time"), F.lit("SKU").alias("sku_name"), F.lit("AWS").alias("cloud"), "id")
+    priced = ops.with_list_price(base, dimension)
+    rows = priced.collect()
+    assert len(rows) == 60_000
+    for r in rows[:: 997]:
+        i = bisect.bisect_right(starts, r.usage_start_time) - 1
+        assert r.list_price == (float(i) if i >= 0 else None)
+    joins = [line for line in priced._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("<" in line or ">" in line for line in joins)
