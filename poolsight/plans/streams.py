@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from poolsight.operators import telemetry as ops
@@ -10,7 +11,7 @@ from poolsight.plans.ledger import FOLDED
 from poolsight.plans.registry import query
 from poolsight.plans.telemetry import UTIL, utilization
 from poolsight.sources import workspace
-from poolsight.streaming import jobs
+from poolsight.streaming import alarms, jobs
 
 
 def events_stream(spark, root):
@@ -128,3 +129,37 @@ def stream_run_health(spark, root):
     known = B.table(spark, root, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("name"))
     jobs.detect_silent_runs(beats, out, checkpoint, "2 hours", drain=True).awaitTermination()
     return jobs.read_silent_runs(spark, out, known, "2 hours")
+
+
+@query(
+    "stream_stale_alarms",
+    """SELECT user_id AS run_id, MAX(ts) AS last_event, COUNT(*) AS beats, 'silent' AS state FROM events
+  GROUP BY 1 HAVING MAX(ts) + INTERVAL 6 HOUR <= TIMESTAMP '2024-01-30 18:00:00'""",
+)
+def stream_stale_alarms(spark, root):
+    """Runs whose alarm stands after the events are drained: silent for six hours at a fixed time."""
+    out, checkpoint = paths(spark, "stream-alarms")
+    beats = events_stream(spark, root).select(F.col("user_id").alias("run_id"), "ts")
+    raised = alarms.run_alarms(beats, 6 * 3600, now=pd.Timestamp("2024-01-30 18:00:00"))
+    alarms.write_alarms(raised, out, checkpoint, drain=True).awaitTermination()
+    standing = alarms.read_run_alarms(spark, out, raised.schema).filter(F.col("state") == alarms.SILENT)
+    return standing.withColumn("last_event", F.col("last_event").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_missing_records",
+    """WITH sent AS (SELECT user_id AS source, event_id AS record_id, ts AS sent_at, ts + to_milliseconds(CAST(floor(value * 100) AS INTEGER)) AS landed_at, event_id % 40 = 7 AS lost FROM events),
+  passed AS (SELECT least(max(sent_at), max(landed_at) FILTER (WHERE NOT lost)) - INTERVAL 10 MINUTE - INTERVAL 30 SECOND AS t FROM sent)
+SELECT source, record_id, sent_at FROM sent, passed WHERE (lost OR landed_at > sent_at + INTERVAL 30 SECOND) AND sent_at < t""",
+)
+def stream_missing_records(spark, root):
+    """Every fortieth record is lost and the rest land value/10 seconds after they were sent; both sides are streams."""
+    out, checkpoint = paths(spark, "stream-missing")
+    delay = F.make_dt_interval(secs=(F.floor(F.col("value") * 100) / 1000).cast("decimal(18,6)"))
+    sent = events_stream(spark, root).select(F.col("user_id").alias("source"), F.col("event_id").alias("record_id"), F.col("ts").cast("timestamp").alias("sent_at"))
+    landed = events_stream(spark, root).filter("event_id % 40 <> 7").select(
+        F.col("user_id").alias("source"), F.col("event_id").alias("record_id"), (F.col("ts") + delay).cast("timestamp").alias("landed_at")
+    )
+    missing = alarms.missing_records(sent, landed)
+    alarms.write_alarms(missing, out, checkpoint, drain=True).awaitTermination()
+    return spark.read.schema(missing.schema).parquet(out).withColumn("sent_at", F.col("sent_at").cast("timestamp_ntz"))

@@ -108,8 +108,12 @@ def keep_parts(
             _snapshot(batch.sparkSession, merge, out, generation - 1)
         fold(batch).write.mode("overwrite").parquet(f"{out}/parts/generation={generation}/batch={number}")
 
+    spark = stream.sparkSession
+    if not _generations(spark, f"{out}/parts") and not _generations(spark, f"{out}/snapshots"):
+        # a reader finds the columns, and no rows, before the first batch is in
+        fold(spark.createDataFrame([], stream.schema)).write.mode("ignore").parquet(f"{out}/parts/generation=0/batch=none")
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(writer, drain).start()
+    return trigger_of(writer, drain).start()
 
 
 def read_parts(spark: SparkSession, out: str, through: int | None = None) -> DataFrame:
@@ -151,8 +155,8 @@ def append_audit(requests: DataFrame, out: str, checkpoint: str, drain: bool = F
 
 
 def _started(writer, out: str, checkpoint: str, drain: bool) -> StreamingQuery:
-    return _trigger(writer.option("checkpointLocation", checkpoint).option("path", out), drain).start()
+    return trigger_of(writer.option("checkpointLocation", checkpoint).option("path", out), drain).start()
 
 
-def _trigger(writer, drain: bool):
-    return writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=FLUSH_INTERVAL)
+def trigger_of(writer, drain: bool, every: str | None = None):
+    return writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every or FLUSH_INTERVAL)

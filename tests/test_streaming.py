@@ -106,6 +106,14 @@ def test_reading_before_any_batch_says_so(spark):
         jobs.read_run_states(spark, place()[0])
 
 
+def test_a_stream_without_rows_gives_no_rows(spark):
+    out, checkpoint = place()
+    path = tempfile.mkdtemp(prefix="run-")
+    beats = jobs.read_events(spark, path).select(F.col("user_id").alias("run_id"), "ts")
+    jobs.detect_silent_runs(beats, out, checkpoint, drain=True).awaitTermination()
+    assert jobs.read_silent_runs(spark, out, spark.range(3).select(F.col("id").alias("run_id"))).collect() == []
+
+
 def test_audit_stream(spark, daily):
     out, checkpoint = place()
     requests = jobs.read_events(spark, daily).select(
