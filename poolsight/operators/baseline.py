@@ -1,18 +1,21 @@
-"""Tuned tree baseline: a random search with cross-validation over boosted trees.
+"""Tuned tree baseline: a random search with cross-validation over Spark's boosted trees.
 
-The search is the parallel part: every (draw, fold) is a row, and Spark deals the rows to tasks.
-Each task fits on the same bounded sample of labelled rows, which is broadcast; only a score comes
-back. The best draw is fitted once more and its trees score the whole test table in tasks.
+Every fit runs over all labelled rows on the executors; only model sizes and scores come back. Draws and
+folds are searched side by side.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,8 @@ SEARCH_SPACE = {
     "feature_share": (0.6, 0.8, 1.0),
 }
 DRAWS, FOLDS = 15, 3
-#: Labelled rows used to fit, at most; drawn by a hash of the row. Scoring reads all rows.
-FIT_ROWS = 20_000
-BINS = 64
+#: Fits that run side by side.
+PARALLEL = 4
 
 
 def draw_grid(space: Mapping[str, Sequence], draws: int, seed: int) -> list[dict]:
@@ -40,93 +42,6 @@ def draw_grid(space: Mapping[str, Sequence], draws: int, seed: int) -> list[dict
     return points
 
 
-@dataclass
-class Boosted:
-    """Trees over binned features: per tree, a node's children are 2i+1 and 2i+2; leaves have feature -1."""
-
-    edges: list[np.ndarray]
-    logistic: bool
-    start: float
-    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
-
-    def margin(self, bins: np.ndarray) -> np.ndarray:
-        total, rows = np.full(len(bins), self.start), np.arange(len(bins))
-        for feature, cut, value in self.trees:
-            node = np.zeros(len(bins), dtype=np.int64)
-            while (inner := feature[node] >= 0).any():
-                node = np.where(inner, 2 * node + 1 + (bins[rows, feature[node]] > cut[node]), node)
-            total += value[node]
-        return total
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        margin = self.margin(self.binned(x))
-        return 1 / (1 + np.exp(-np.clip(margin, -30, 30))) if self.logistic else margin
-
-
-def grow_tree(bins: np.ndarray, slope: np.ndarray, weight: np.ndarray, depth: int, features: np.ndarray, calm: float = 1.0):
-    """One tree by levels: the histogram of every open node and feature at once, the best cut of each."""
-    size = 2 ** (depth + 1) - 1
-    feature, cut, value = np.full(size, -1), np.zeros(size, dtype=np.int64), np.zeros(size)
-    node = np.zeros(len(bins), dtype=np.int64)
-    for level in range(depth + 1):
-        first, width = 2**level - 1, 2**level
-        here = np.flatnonzero((node >= first) & (node < first + width))
-        g = np.bincount(node[here] - first, slope[here], width)
-        h = np.bincount(node[here] - first, weight[here], width)
-        value[first : first + width] = -g / (h + calm)
-        if level == depth or not len(here):
-            break
-        best, chosen = np.full(width, 1e-9), np.full(width, -1)
-        for j in features:
-            cell = (node[here] - first) * BINS + bins[here, j]
-            left_g = np.cumsum(np.bincount(cell, slope[here], width * BINS).reshape(width, BINS), axis=1)
-            left_h = np.cumsum(np.bincount(cell, weight[here], width * BINS).reshape(width, BINS), axis=1)
-            right_g, right_h = g[:, None] - left_g, h[:, None] - left_h
-            gain = left_g**2 / (left_h + calm) + right_g**2 / (right_h + calm) - (g**2 / (h + calm))[:, None]
-            gain[(left_h < 1e-6) | (right_h < 1e-6)] = 0
-            at = gain.argmax(axis=1)
-            better = gain[np.arange(width), at] > best
-            best, chosen = np.where(better, gain[np.arange(width), at], best), np.where(better, j, chosen)
-            cut[first : first + width] = np.where(better, at, cut[first : first + width])
-        feature[first : first + width] = chosen
-        split = here[chosen[node[here] - first] >= 0]
-        node[split] = 2 * node[split] + 1 + (bins[split, feature[node[split]]] > cut[node[split]])
-    return feature, cut, value
-
-
-def fit_trees(x: np.ndarray, y: np.ndarray, point: Mapping, logistic: bool, seed: int) -> Boosted:
-    rng = np.random.default_rng(seed)
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-    mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if logistic else float(y.mean())
-    model = Boosted(edges, logistic, float(np.log(mean / (1 - mean))) if logistic else mean)
-    bins, margin = model.binned(x), np.full(len(x), model.start)
-    taken = max(1, round(point["feature_share"] * x.shape[1]))
-    for _ in range(point["trees"]):
-        if logistic:
-            p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            slope, weight = p - y, p * (1 - p)
-        else:
-            slope, weight = margin - y, np.ones(len(y))
-        kept = (rng.random(len(y)) < point["row_share"]).astype(float)
-        features = rng.permutation(x.shape[1])[:taken]
-        feature, cut, value = grow_tree(bins, slope * kept, weight * kept, point["depth"], features)
-        model.trees.append((feature, cut, value * point["rate"]))
-        margin += Boosted(edges, logistic, 0.0, model.trees[-1:]).margin(bins)
-    return model
-
-
-def judge(y: np.ndarray, predicted: np.ndarray, logistic: bool) -> float:
-    """Area under the curve, or the negative root mean square error: larger is better."""
-    if not logistic:
-        return -float(np.sqrt(np.mean((y - predicted) ** 2)))
-    ranks, positive = pd.Series(predicted).rank().to_numpy(), y > 0.5
-    n, m = positive.sum(), (~positive).sum()
-    return float((ranks[positive].sum() - n * (n + 1) / 2) / (n * m)) if n and m else 0.5
-
-
 def tuned_trees(
     train: DataFrame,
     test: DataFrame,
@@ -137,44 +52,39 @@ def tuned_trees(
     folds: int = FOLDS,
     space: Mapping[str, Sequence] = SEARCH_SPACE,
     seed: int = 0,
-    fit_rows: int = FIT_ROWS,
+    parallel: int = PARALLEL,
 ) -> DataFrame:
     """Predictions of the best boosted trees on every row of `test`.
 
     Returns the test rows with `yhat`, and `score` (probability of class 1) for a classifier. Null
-    features count as -1; rows without a label teach nothing. At most `fit_rows` training rows are
-    used, drawn by a hash of the row; nothing else is cut.
+    features count as -1; rows without a label teach nothing. A row's fold follows from a hash of the row, so
+    equal rows never stand on both sides of a fold.
     """
-    spark, logistic = train.sparkSession, not regression
-    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in features]
-    rows = train.filter(F.col(label).isNotNull()).select(*numbers, F.col(label).cast("double").alias("_y"), F.xxhash64(F.lit(seed), *train.columns).alias("_h"))
-    share = min(1.0, 1.1 * fit_rows / max(1, rows.count()))
-    unit = F.shiftrightunsigned("_h", 11).cast("double") / F.lit(float(1 << 53))
-    sample = rows.filter(unit < share).toPandas().sort_values(["_h", "_y"])[:fit_rows]
-    x, y = sample[list(features)].to_numpy(float), sample["_y"].to_numpy(float)
-    fold = np.random.default_rng(seed).permutation(len(y)) % folds
-    data, grid = spark.sparkContext.broadcast((x, y, fold)), draw_grid(space, draws, seed)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xs, ys, parts = data.value
-        for batch in batches:
-            out = []
-            for draw, held in zip(batch["draw"], batch["fold"], strict=True):
-                out_of = parts != held
-                model = fit_trees(xs[out_of], ys[out_of], grid[draw], logistic, seed)
-                out.append((draw, held, judge(ys[~out_of], model.predict(xs[~out_of]), logistic)))
-            yield pd.DataFrame(out, columns=["draw", "fold", "score"])
-
-    trials = spark.range(len(grid) * folds).select((F.col("id") / folds).cast("int").alias("draw"), (F.col("id") % folds).cast("int").alias("fold"))
-    judged = trials.repartition(len(grid) * folds, "draw", "fold").mapInPandas(score, "draw int, fold int, score double")
-    best = judged.groupBy("draw").agg(F.avg("score").alias("score")).orderBy(F.desc("score"), "draw").first()["draw"]
-    model = spark.sparkContext.broadcast(fit_trees(x, y, grid[best], logistic, seed))
-
-    @F.pandas_udf("double")
-    def predicted(*columns: pd.Series) -> pd.Series:
-        return pd.Series(model.value.predict(np.stack([c.to_numpy(float) for c in columns], axis=1)))
-
-    value = predicted(*numbers)
+    def assembled(df: DataFrame) -> DataFrame:
+        numbers = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"_x{i}") for i, c in enumerate(features)]
+        vectors = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_features")
+        return vectors.transform(df.select("*", *numbers)).drop(*[f"_x{i}" for i in range(len(features))])
+
+    columns = {"labelCol": "_y", "featuresCol": "_features", "seed": seed}
+    trees = GBTRegressor(**columns) if regression else GBTClassifier(**columns)
+    points = [
+        {
+            trees.maxIter: p["trees"], trees.maxDepth: p["depth"], trees.stepSize: p["rate"],
+            trees.subsamplingRate: p["row_share"], trees.featureSubsetStrategy: str(p["feature_share"]),
+        }
+        for p in draw_grid(space, draws, seed)
+    ]
+    judge = (
+        RegressionEvaluator(labelCol="_y", metricName="rmse") if regression
+        else BinaryClassificationEvaluator(labelCol="_y", metricName="areaUnderROC")
+    )
+    fold = F.pmod(F.xxhash64(F.lit(seed), *train.columns), F.lit(folds)).cast("int")
+    known = assembled(train.filter(F.col(label).isNotNull())).select("_features", F.col(label).cast("double").alias("_y"), fold.alias("_fold"))
+    search = CrossValidator(
+        estimator=trees, estimatorParamMaps=points, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=parallel
+    )
+    predicted = search.fit(known).bestModel.transform(assembled(test))
     if regression:
-        return test.withColumn("yhat", value)
-    return test.withColumn("score", value).withColumn("yhat", (F.col("score") >= 0.5).cast("double"))
+        return predicted.select(*test.columns, F.col("prediction").alias("yhat"))
+    score = vector_to_array("probability")[1]
+    return predicted.select(*test.columns, score.alias("score"), (score >= 0.5).cast("double").alias("yhat"))
