@@ -2,18 +2,16 @@
 
 An item's windows are its runs of `window` words (a shorter item is one window); a window is the
 set of the word shingles in it. A document holds a window only if it holds all its shingles, so one
-shingle, the rarest in the corpus, is the necessary prefix. Documents are read once: their shingles
-meet the benchmark's, and what meets is written down as (document, position, shingle) with one more
-row a document that carries its word count. Rarity is counted over these rows. Positions and lengths
-then bound where a window can start, and a window counts when each of its shingles stands at its
-place. Shingles are 64-bit hashes; a window of 13 words is confirmed by eleven of them in a row.
+shingle, the rarest in the corpus, is the necessary prefix. The first pass over the documents counts the
+benchmark's shingles in them; the second joins documents with every window's rarest shingle alone.
+Positions and lengths bound where a window can lie around that shingle, and its words are compared with
+the document's words there, in the same stage. Shingles are 64-bit hashes; what counts rests on words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from poolsight.llm.catalog import query, table
@@ -21,8 +19,8 @@ from poolsight.llm.storage import materialise
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
-#: Distinct benchmark shingles, 16 bytes each, up to which they are broadcast; beyond, the join is shuffled.
-BROADCAST_SHINGLES = 1_000_000
+#: Benchmark shingles, windows and bytes of these up to which they are broadcast; beyond, joins are shuffled.
+BROADCAST_SHINGLES, BROADCAST_BYTES = 1_000_000, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for the document itself among its shingles; a shingle of this very hash is moved by one.
 WHOLE = 0
@@ -33,27 +31,46 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN_WORDS), "")
 
 
-def shingles(words: Column, size: int) -> Column:
-    """Hashes of the runs of `size` words; empty where there are fewer."""
-
-    def at(i: Column) -> Column:
-        h = F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)])
-        return F.when(h == WHOLE, F.lit(1).cast("long")).otherwise(h)
-
-    none = F.array().cast(T.ArrayType(T.LongType()))
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), at)).otherwise(none)
-
-
-def item_shingles(items: DataFrame, window: int, ident: str, text: str) -> DataFrame:
-    """(item, words, size, offset, shingle): shingles of up to SHINGLE words, shorter for shorter items."""
-    w = items.select(F.col(ident).alias("item"), words(F.col(text)).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
-    own = F.when(F.col("n") == 1, shingles(F.col("w"), 1)).when(F.col("n") == 2, shingles(F.col("w"), 2))
-    return (
-        w.withColumn("size", F.least("n", F.lit(SHINGLE)))
-        .withColumn("fp", F.xxhash64("w"))
-        .select("item", "fp", "n", "size", F.posexplode(own.otherwise(shingles(F.col("w"), SHINGLE))).alias("offset", "shingle"))
-        .distinct()
-    )
+def shingle(words: Column, at: Column, size: int) -> Column:
+    """Hash of the `size` words from a place on; it is never the one that stands for the document itself."""
+    h = F.xxhash64(F.lit(size), *[F.get(words, at + k) for k in range(size)])
+    return F.when(h == WHOLE, F.lit(1).cast("long")).otherwise(h)
+
+
+def item_windows(items: DataFrame, window: int, ident: str, text: str) -> DataFrame:
+    """(window, words, items): every distinct window once, with the ids of the items that have it."""
+    texts = items.select(F.col(ident).cast("string").alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    length = F.least(F.size("w"), F.lit(window))
+    starts = F.explode(F.sequence(F.lit(0), F.size("w") - length))
+    cut = texts.select("item", "w", starts.alias("from"), length.alias("length"))
+    cut = cut.select("item", F.expr("slice(w, from + 1, length)").alias("words"))
+    return cut.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("window", F.monotonically_increasing_id())
+
+
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """(window, size, at, shingle): shingles of up to SHINGLE words, shorter for shorter windows; linear in an item's length."""
+    size = F.least(F.size("words"), F.lit(SHINGLE))
+    places = windows.select("window", "words", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("at"))
+    own = F.when(F.col("size") == 1, shingle(F.col("words"), F.col("at"), 1)).when(F.col("size") == 2, shingle(F.col("words"), F.col("at"), 2))
+    return places.select("window", "size", "at", own.otherwise(shingle(F.col("words"), F.col("at"), SHINGLE)).alias("shingle"))
+
+
+def document_shingles(base: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row a word of a document and shingle size, and one for the document itself (`pos` past its last word)."""
+    end = F.array(F.lit(""))
+    placed = base.withColumn("n_words", F.size("w").cast("long")).select("*", F.posexplode(F.concat("w", end)).alias("pos", "word"))
+    sized = [
+        F.struct(F.lit(size).alias("size"), F.when(F.col("pos") + size <= F.col("n_words"), shingle(F.col("w"), F.col("pos"), size)).alias("shingle"))
+        for size in sizes
+    ]
+    itself = F.struct(F.lit(0).alias("size"), F.lit(WHOLE).cast("long").alias("shingle"))
+    first = F.when(F.col("pos") == F.col("n_words"), itself)
+    if len(sizes) == 1:
+        chosen = placed.withColumn("s", first.otherwise(sized[0]))
+    else:
+        chosen = placed.withColumn("s", F.explode(F.when(F.col("pos") == F.col("n_words"), F.array(itself)).otherwise(F.array(*sized) if sized else F.array(itself))))
+        chosen = chosen if sizes else chosen.filter(F.col("pos") == F.col("n_words"))
+    return chosen.withColumn("size", F.col("s.size")).withColumn("shingle", F.col("s.shingle")).drop("s", "word").filter(F.col("shingle").isNotNull())
 
 
 def decontaminate(
@@ -75,77 +92,57 @@ def decontaminate(
     and digests but their windows still hit; repeated rows each get the same result; an empty
     benchmark hits nothing; empty documents give no rows. (doc_id, text_hash) names a row for joins.
     """
-    parts = materialise(item_shingles(items, window, item_ident, item_text), "item-shingles")
+    known = materialise(item_windows(items, window, item_ident, item_text), "item-windows")
+    parts = materialise(window_shingles(known), "item-shingles")
     vocabulary = parts.select("size", "shingle").distinct()
     sizes = sorted(r["size"] for r in vocabulary.select("size").distinct().collect())
-    n_shingles = vocabulary.count()
-
+    n_windows, bytes_ = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.array_join("words", " "))), F.lit(0))).first()
     base = docs.select(
         F.col(ident).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text)).alias("w")
     )
-    # the document itself, then its shingles of each size in turn: the place in the row tells size and position
-    rows = F.array(F.lit(WHOLE).cast("long"))
-    for size in sizes:
-        rows = F.concat(rows, shingles(F.col("w"), size))
-    wanted = vocabulary.select("shingle").distinct().union(
-        docs.sparkSession.range(1).select(F.lit(WHOLE).cast("long").alias("shingle"))
-    )
-    if n_shingles <= broadcast_shingles:
-        wanted = F.broadcast(wanted)
-    exploded = base.select(
-        "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.posexplode(rows).alias("place", "shingle")
-    )
-    met = materialise(exploded.join(wanted, "shingle"), "met-shingles")
-    place = F.col("place") - 1
-    position, which = F.lit(None).cast("long"), F.lit(None).cast("int")
-    skipped = F.lit(0).cast("long")
-    for k in sizes:
-        length = F.greatest(F.col("n_words") - k + 1, F.lit(0).cast("long"))
-        inside = which.isNull() & (place >= skipped) & (place < skipped + length)
-        position, which = F.when(inside, place - skipped).otherwise(position), F.when(inside, F.lit(k)).otherwise(which)
-        skipped = skipped + length
-    hits = met.filter(F.col("place") > 0).select("doc_id", "text_hash", "n_words", position.alias("pos"), which.alias("size"), "shingle")
-
-    found = hits.join(parts, ["size", "shingle"])
-    found = found.withColumn("shift", F.col("pos") - F.col("offset"))
-    key = ["doc_id", "text_hash", "n_words", "item", "fp", "n", "shift"]
-    aligned = found.groupBy(*key).agg(F.collect_set("offset").alias("offsets"))
-
-    rarity = hits.groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("df"))
-    span = F.least(F.col("n"), F.lit(window)) - F.col("size") + 1
-    starts = F.sequence(F.lit(0), F.col("n") - F.least(F.col("n"), F.lit(window)))
+
+    seen = document_shingles(base.select("w"), sizes).select("size", "shingle")
+    if vocabulary.count() <= broadcast_shingles:
+        rarity = seen.join(F.broadcast(vocabulary), ["size", "shingle"]).groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        rarity = seen.groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, ["size", "shingle"])
+    rarity = materialise(rarity, "shingle-rarity")
+
+    # a window with a shingle that no document holds is in none; of the others the rarest shingle is joined
+    span = F.size("words") - F.col("size") + 1
     prefix = (
-        parts.join(rarity, ["size", "shingle"])
-        .withColumn("from", F.explode(starts))
-        .filter((F.col("offset") >= F.col("from")) & (F.col("offset") < F.col("from") + span))
-        .groupBy("item", "fp", "n", "from", span.alias("span"))
-        .agg(F.min_by("offset", F.struct("df", "shingle", "offset")).alias("prefix_at"), F.count(F.lit(1)).alias("met"))
-        .filter("met = span")
-        .groupBy("item", "fp", "n", "span")
-        .agg(F.collect_list(F.struct("from", "prefix_at")).alias("windows"))
-        .select(F.col("item").alias("p_item"), F.col("fp").alias("p_fp"), F.col("n").alias("p_n"), "span", "windows")
+        parts.join(rarity, ["size", "shingle"]).groupBy("window")
+        .agg(F.min_by(F.struct("size", "shingle", "at"), F.struct("df", "shingle", "at")).alias("p"), F.count(F.lit(1)).alias("met"))
+        .select("window", "met", "p.*").join(known, "window").filter(F.col("met") == span)
+        .select(F.col("size").alias("p_size"), F.col("shingle").alias("p_shingle"), "at", "words", "items")
+    )
+    itself = docs.sparkSession.range(1).select(
+        F.lit(0).alias("p_size"), F.lit(WHOLE).cast("long").alias("p_shingle"), F.lit(0).alias("at"),
+        F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<string>").alias("items"),
     )
-    length = F.least(F.col("n"), F.lit(window))
-    fits = (F.col("from") + F.col("shift") >= 0) & (F.col("from") + F.col("shift") + length <= F.col("n_words"))
-    here = F.size(F.filter("offsets", lambda o: (o >= F.col("from")) & (o < F.col("from") + F.col("span"))))
-    windows = (
-        aligned.join(prefix, F.col("item").eqNullSafe(F.col("p_item")) & (F.col("fp") == F.col("p_fp")) & (F.col("n") == F.col("p_n")))
-        .withColumn("window", F.explode(F.filter("windows", lambda w: F.array_contains("offsets", w["prefix_at"]))))
-        .withColumn("from", F.col("window")["from"])
-        .filter(fits & (here == F.col("span")))
-        .select("doc_id", "text_hash", "item", (F.col("from") + F.col("shift")).alias("lo"), (F.col("from") + F.col("shift") + length).alias("hi"))
+    prefix = prefix.union(itself)
+    if n_windows <= broadcast_shingles and bytes_ <= BROADCAST_BYTES:
+        prefix = F.broadcast(prefix)
+    lo, length = F.col("pos") - F.col("at"), F.size("words")
+    there = F.when((lo >= 0) & (lo + length <= F.col("n_words")), F.slice("w", lo + 1, length))
+    joined = document_shingles(base, sizes).join(prefix, (F.col("size") == F.col("p_size")) & (F.col("shingle") == F.col("p_shingle")))
+    met = joined.filter(F.col("words").isNull() | (there == F.col("words"))).select(
+        "doc_id", "text_hash", "n_words", F.col("words").isNull().alias("itself"), lo.alias("lo"), (lo + length).alias("hi"), "items"
     )
+    met = materialise(met, "met-windows")
+    windows = met.filter(~F.col("itself"))
     cover = windows.groupBy("doc_id", "text_hash", "lo").agg(F.max("hi").alias("hi"))
     earlier = Window.partitionBy("doc_id", "text_hash").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     covered = cover.withColumn("reached", F.coalesce(F.max("hi").over(earlier), F.col("lo")))
     n_hit = covered.groupBy("doc_id", "text_hash").agg(
         F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "reached"))).alias("n_hit")
     )
-    n_items = windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("item").cast("string")).alias("names"))
+    named = windows.select("doc_id", "text_hash", F.explode_outer("items").alias("item"))
+    n_items = named.groupBy("doc_id", "text_hash").agg(F.collect_set("item").alias("names"))
     tally = n_hit.join(n_items.withColumnsRenamed({"doc_id": "i_doc", "text_hash": "i_hash"}),
         F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("text_hash") == F.col("i_hash")))
     tally = tally.select(F.col("doc_id").alias("t_doc"), F.col("text_hash").alias("t_hash"), "n_hit", "names")
-    whole = met.filter("place = 0").select("doc_id", "text_hash", "n_words")
+    whole = met.filter("itself").select("doc_id", "text_hash", "n_words")
     names = F.coalesce(F.array_sort("names"), F.array().cast("array<string>"))
     return (
         whole.join(tally, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("text_hash") == F.col("t_hash")), "left")

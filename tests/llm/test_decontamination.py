@@ -62,3 +62,15 @@ def test_nothing(spark):
     assert decontaminate(nothing(spark), items).collect() == []
     rows = decontaminate(documents(spark), spark.createDataFrame([], ITEMS)).collect()
     assert rows and not any(r["n_hit"] or r["contaminated"] for r in rows)
+
+
+def test_a_very_long_item_and_clashing_columns(spark):
+    """An item of 100,000 words has as many windows and a few shingles each; columns named like ours do not matter."""
+    rng = random.Random(8)
+    long_item = words(rng, 100_000, 50_000)
+    part = " ".join(long_item.split()[70_000:70_040])
+    rows = [(1, "before " + part + " after"), (2, "nothing of it"), (3, long_item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS w", "1 AS pos", "2 AS size", "3 AS shingle", "'y' AS words", "4 AS n_words", "5 AS items")
+    items = spark.createDataFrame([(9, long_item, "z", 7)], "item_id long, text string, w string, window int")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate(docs, items).collect()}
+    assert got == {1: (42, 40, 1), 2: (3, 0, 0), 3: (100_000, 100_000, 1)}
