@@ -32,9 +32,8 @@ def words(text: Column) -> Column:
 
 
 def shingle(words: Column, at: Column, size: int) -> Column:
-    """Hash of the `size` words from a place on; it is never the one that stands for the document itself."""
-    h = F.xxhash64(F.lit(size), *[F.get(words, at + k) for k in range(size)])
-    return F.when(h == WHOLE, F.lit(1).cast("long")).otherwise(h)
+    """Hash of the `size` words from a place on; odd, so that it is never the one of the document itself."""
+    return F.xxhash64(F.lit(size), *[F.get(words, at + k) for k in range(size)]).bitwiseOR(F.lit(1).cast("long"))
 
 
 def item_windows(items: DataFrame, window: int, ident: str, text: str) -> DataFrame:
@@ -56,21 +55,22 @@ def window_shingles(windows: DataFrame) -> DataFrame:
 
 
 def document_shingles(base: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row a word of a document and shingle size, and one for the document itself (`pos` past its last word)."""
-    end = F.array(F.lit(""))
-    placed = base.withColumn("n_words", F.size("w").cast("long")).select("*", F.posexplode(F.concat("w", end)).alias("pos", "word"))
-    sized = [
-        F.struct(F.lit(size).alias("size"), F.when(F.col("pos") + size <= F.col("n_words"), shingle(F.col("w"), F.col("pos"), size)).alias("shingle"))
-        for size in sizes
-    ]
-    itself = F.struct(F.lit(0).alias("size"), F.lit(WHOLE).cast("long").alias("shingle"))
-    first = F.when(F.col("pos") == F.col("n_words"), itself)
-    if len(sizes) == 1:
-        chosen = placed.withColumn("s", first.otherwise(sized[0]))
-    else:
-        chosen = placed.withColumn("s", F.explode(F.when(F.col("pos") == F.col("n_words"), F.array(itself)).otherwise(F.array(*sized) if sized else F.array(itself))))
-        chosen = chosen if sizes else chosen.filter(F.col("pos") == F.col("n_words"))
-    return chosen.withColumn("size", F.col("s.size")).withColumn("shingle", F.col("s.shingle")).drop("s", "word").filter(F.col("shingle").isNotNull())
+    """A row a shingle of a document, by size and place, and one for the document itself (`pos` past its last word)."""
+    placed = base.withColumn("n_words", F.size("w").cast("long")).select("*", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
+    itself = F.col("pos") == F.col("n_words")
+    if not sizes:
+        return placed.filter(itself).withColumn("shingle", F.lit(WHOLE).cast("long"))
+    size = F.lit(sizes[0])
+    if len(sizes) > 1:
+        every = F.array(*[F.lit(s) for s in sizes])
+        placed = placed.withColumn("size", F.explode(F.when(itself, F.slice(every, 1, 1)).otherwise(every)))
+        size = F.col("size")
+    # never null and computed once: a filter on it would be pushed below and compute it twice
+    own = F.when(itself, F.lit(WHOLE).cast("long"))
+    for s in sizes[:-1]:
+        own = own.when(size == s, shingle(F.col("w"), F.col("pos"), s))
+    own = own.otherwise(shingle(F.col("w"), F.col("pos"), sizes[-1]))
+    return placed.filter(itself | (F.col("pos") + size <= F.col("n_words"))).withColumn("shingle", own).drop("word")
 
 
 def decontaminate(
@@ -94,30 +94,31 @@ def decontaminate(
     """
     known = materialise(item_windows(items, window, item_ident, item_text), "item-windows")
     parts = materialise(window_shingles(known), "item-shingles")
-    vocabulary = parts.select("size", "shingle").distinct()
-    sizes = sorted(r["size"] for r in vocabulary.select("size").distinct().collect())
+    vocabulary = parts.select("shingle").distinct()
+    sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())
     n_windows, bytes_ = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.array_join("words", " "))), F.lit(0))).first()
     base = docs.select(
         F.col(ident).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text)).alias("w")
     )
 
-    seen = document_shingles(base.select("w"), sizes).select("size", "shingle")
+    seen = document_shingles(base.select("w"), sizes).select("shingle")
+    counted = F.count(F.lit(1)).alias("df")
     if vocabulary.count() <= broadcast_shingles:
-        rarity = seen.join(F.broadcast(vocabulary), ["size", "shingle"]).groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("df"))
+        rarity = seen.join(F.broadcast(vocabulary), "shingle").groupBy("shingle").agg(counted)
     else:
-        rarity = seen.groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, ["size", "shingle"])
+        rarity = seen.groupBy("shingle").agg(counted).join(vocabulary, "shingle")
     rarity = materialise(rarity, "shingle-rarity")
 
     # a window with a shingle that no document holds is in none; of the others the rarest shingle is joined
     span = F.size("words") - F.col("size") + 1
     prefix = (
-        parts.join(rarity, ["size", "shingle"]).groupBy("window")
+        parts.join(rarity, "shingle").groupBy("window")
         .agg(F.min_by(F.struct("size", "shingle", "at"), F.struct("df", "shingle", "at")).alias("p"), F.count(F.lit(1)).alias("met"))
         .select("window", "met", "p.*").join(known, "window").filter(F.col("met") == span)
-        .select(F.col("size").alias("p_size"), F.col("shingle").alias("p_shingle"), "at", "words", "items")
+        .select(F.col("shingle").alias("p_shingle"), "at", "words", "items")
     )
     itself = docs.sparkSession.range(1).select(
-        F.lit(0).alias("p_size"), F.lit(WHOLE).cast("long").alias("p_shingle"), F.lit(0).alias("at"),
+        F.lit(WHOLE).cast("long").alias("p_shingle"), F.lit(0).alias("at"),
         F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<string>").alias("items"),
     )
     prefix = prefix.union(itself)
@@ -125,7 +126,7 @@ def decontaminate(
         prefix = F.broadcast(prefix)
     lo, length = F.col("pos") - F.col("at"), F.size("words")
     there = F.when((lo >= 0) & (lo + length <= F.col("n_words")), F.slice("w", lo + 1, length))
-    joined = document_shingles(base, sizes).join(prefix, (F.col("size") == F.col("p_size")) & (F.col("shingle") == F.col("p_shingle")))
+    joined = document_shingles(base, sizes).join(prefix, F.col("shingle") == F.col("p_shingle"))
     met = joined.filter(F.col("words").isNull() | (there == F.col("words"))).select(
         "doc_id", "text_hash", "n_words", F.col("words").isNull().alias("itself"), lo.alias("lo"), (lo + length).alias("hi"), "items"
     )
