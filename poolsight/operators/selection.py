@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from poolsight.operators import ordering
 from poolsight.sources import workspace
 
-#: Intervals an interval is cut into, and rows of an interval from which on values are counted one by one.
-PARTS, FEW = 4096, 4096
+#: Intervals an interval is cut into, and rows of an interval up to which its values are counted one by one.
+PARTS, FEW = 4096, 1 << 17
 #: Codes stay below 2^61 in size, so that differences fit a long.
 SPARE_BITS = 2
 
@@ -92,9 +92,8 @@ def _inside(keys: DataFrame, group: list[str], cuts: DataFrame) -> DataFrame:
 
 def _narrow(keys: DataFrame, group: list[str], cuts: DataFrame) -> DataFrame:
     """Shrink each rank's interval until it holds few rows or a single code."""
+    open_ = (F.col("_n") > FEW) & (F.col("_hi") > F.col("_lo"))
     while True:
-        cuts = workspace.materialise(cuts, "selection-cuts")
-        open_ = (F.col("_n") > FEW) & (F.col("_hi") > F.col("_lo"))
         if not cuts.filter(open_).limit(1).count():
             return cuts
         step = F.expr(f"(_hi - _lo) div {PARTS} + 1")
@@ -104,7 +103,7 @@ def _narrow(keys: DataFrame, group: list[str], cuts: DataFrame) -> DataFrame:
         within = _holding(counted, group, "_part")
         lo = F.col("_lo") + F.col("_part") * F.col("_step")
         narrowed = within.select(*group, "_n", lo.alias("_lo"), (lo + F.col("_step") - 1).alias("_hi"), "_cut", F.col("_left").alias("_rank"))
-        cuts = cuts.filter(~open_).unionByName(narrowed)
+        cuts = workspace.materialise(cuts.filter(~open_).unionByName(narrowed), "selection-cuts")
 
 
 def _holding(counted: DataFrame, group: list[str], order: str) -> DataFrame:
