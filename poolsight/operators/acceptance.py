@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolsight.functions import ledger as L
 from poolsight.functions import text as T
 from poolsight.operators import logs
+from poolsight.sources import workspace
 
 # Probes expected to fail everywhere, and those expected to fail off CPU.
 EXPECTED_BROKEN = ("catalog_bucket_read", "pypi_egress", "mlflow_artifact_upload")
@@ -251,16 +252,86 @@ def completion_gate(tasks: DataFrame, must_complete: bool = False) -> DataFrame:
     return counted.withColumn("exit_code", F.when(F.col("completed") == 0, 1).otherwise(0))
 
 
+def row_hash(columns: Sequence[str]) -> Column:
+    """48 bits of a row; each cell carries its length, so nulls, the text of a null and any separator differ."""
+    text = [F.col(c).cast("string") for c in columns]
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
+    return F.conv(F.substring(F.md5(F.concat(*cells)), 1, 12), 16, 10).cast("decimal(20,0)")
+
+
 def table_fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Order-free content hash: row count and sum of 48-bit row hashes, equal if unchanged.
 
     A sum combines map-side and needs no sort; duplicates count, unlike in an XOR.
     """
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]
-    row_hash = F.conv(F.substring(F.md5(F.concat_ws("\u0001", *cells)), 1, 12), 16, 10).cast("decimal(20,0)")
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(row_hash).cast("string").alias("fingerprint")
+        F.count(F.lit(1)).alias("rows"), F.sum(row_hash(columns)).cast("string").alias("fingerprint")
+    )
+
+
+#: Children of a node, and levels below the root, of a fingerprint tree.
+FAN, DEPTH = 16, 3
+
+
+def fingerprint_tree(df: DataFrame, columns: Sequence[str], key: str, low: int, high: int) -> DataFrame:
+    """(level, node, rows, fingerprint) of equal ranges of a whole-number key between `low` and `high`.
+
+    Level 0 is the root, level DEPTH the leaves; a node is the sum of its children, so one pass over the rows
+    counts the leaves and the rest adds up. Keys outside the bounds and null keys fall into node -1 of each level.
+    Two trees compare only if they were made with the same bounds. It has at most 16^3 leaves: store it.
+    """
+    leaf = F.when(F.col(key).between(low, high), F.expr(f"(`{key}` - {low}) div {_leaf_width(low, high)}")).otherwise(-1)
+    leaves = df.groupBy(leaf.cast("long").alias("leaf")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(row_hash(columns)).cast("decimal(38,0)").alias("sum")
     )
+    above = [F.struct(F.lit(d).alias("level"), F.when(F.col("leaf") < 0, -1).otherwise(F.expr(f"leaf div {FAN ** (DEPTH - d)}")).cast("long").alias("node")) for d in range(DEPTH + 1)]
+    nodes = leaves.select("rows", "sum", F.explode(F.array(*above)).alias("x")).groupBy("x.level", "x.node")
+    return nodes.agg(F.sum("rows").alias("rows"), F.sum("sum").cast("string").alias("fingerprint"))
+
+
+def _leaf_width(low: int, high: int) -> int:
+    return (high - low) // FAN**DEPTH + 1
+
+
+def differing_ranges(before: DataFrame, after: DataFrame, low: int, high: int) -> list[tuple[int | None, int | None]]:
+    """Key ranges in which two trees differ, found root first: children are looked at only below differing nodes.
+
+    Neighbouring ranges are one; (None, None) stands for the keys outside the bounds.
+    """
+    width, suspects = _leaf_width(low, high), None
+    for level in range(DEPTH + 1):
+        sides = [t.filter(F.col("level") == level) for t in (before, after)]
+        if suspects is not None:
+            sides = [t.filter(F.when(F.col("node") < 0, -1).otherwise(F.expr(f"node div {FAN}")).isin(suspects)) for t in sides]
+        old, new = (t.select("node", *[F.col(c).alias(f"{side}_{c}") for c in ("rows", "fingerprint")]) for t, side in zip(sides, ("old", "new"), strict=True))
+        changed = ~(F.col("old_rows").eqNullSafe(F.col("new_rows")) & F.col("old_fingerprint").eqNullSafe(F.col("new_fingerprint")))
+        suspects = sorted(r["node"] for r in old.join(new, "node", "full").filter(changed).select("node").collect())
+        if not suspects:
+            return []
+    out: list[tuple[int | None, int | None]] = []
+    for node in suspects:
+        start, end = (None, None) if node < 0 else (low + node * width, min(high, low + (node + 1) * width - 1))
+        if out and start is not None and out[-1][1] == start - 1:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def changed_rows(before: DataFrame, after: DataFrame, columns: Sequence[str], key: str, low: int, high: int) -> DataFrame:
+    """(key, before, after): how many of a key's rows only one side has, for keys whose rows differ.
+
+    The trees say where to look; only differing key ranges are read again, and the bounds reach the scans.
+    Repeated rows count; null keys are compared like any other.
+    """
+    trees = [workspace.materialise(fingerprint_tree(df, columns, key, low, high), "tree") for df in (before, after)]
+    inside = F.lit(False)
+    for start, end in differing_ranges(*trees, low, high):
+        outside = F.col(key).isNull() | (F.col(key) < low) | (F.col(key) > high)
+        inside = inside | (outside if start is None else F.col(key).between(start, end))
+    parts = [df.filter(inside).select(F.col(key).alias("key"), row_hash(columns).alias("hash"), F.lit(n).alias("n")) for df, n in ((before, -1), (after, 1))]
+    net = parts[0].unionByName(parts[1]).groupBy("key", "hash").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return net.groupBy("key").agg(F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("before"), F.sum(F.greatest(F.col("n"), F.lit(0))).alias("after"))
 
 
 def key_skew(df: DataFrame, key: str, tolerance: float = 0.03) -> DataFrame:

@@ -180,7 +180,7 @@ def completion_gate(spark, root):
 
 @query(
     "table_fingerprint",
-    """SELECT o_orderpriority, COUNT(*) AS rows, CAST(SUM(CAST('0x' || left(md5(concat_ws(chr(1), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus)), 12) AS BIGINT)) AS VARCHAR) AS fingerprint
+    """SELECT o_orderpriority, COUNT(*) AS rows, CAST(SUM(CAST('0x' || left(md5(concat(length(CAST(o_orderkey AS VARCHAR)), ':', o_orderkey, length(CAST(o_custkey AS VARCHAR)), ':', o_custkey, length(o_orderstatus), ':', o_orderstatus)), 12) AS BIGINT)) AS VARCHAR) AS fingerprint
   FROM orders GROUP BY 1""",
 )
 def table_fingerprint(spark, root):
@@ -188,6 +188,21 @@ def table_fingerprint(spark, root):
     return ops.table_fingerprint(orders, ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderpriority"])
 
 
+@query(
+    "table_difference",
+    """SELECT o_orderkey AS key, 1 AS before, CASE WHEN o_orderkey % 1499 = 0 THEN 0 ELSE 1 END AS after FROM orders WHERE o_orderkey % 997 = 0 OR o_orderkey % 1499 = 0
+UNION ALL SELECT o_orderkey + 1000000000, 0, 1 FROM orders WHERE o_orderkey % 1201 = 0""",
+)
+def table_difference(spark, root):
+    """Orders against a copy with some owners changed, some orders gone and some new ones far beyond the others."""
+    before = B.table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    owner = F.when(F.col("o_orderkey") % 997 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("o_custkey")
+    kept = before.filter("o_orderkey % 1499 <> 0").select("o_orderkey", owner, "o_orderstatus")
+    added = before.filter("o_orderkey % 1201 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("o_orderkey"), "o_custkey", "o_orderstatus")
+    low, high = before.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return ops.changed_rows(before, kept.unionByName(added), before.columns, "o_orderkey", low, high)
+
+
 @query(
     "key_skew",
     """SELECT l_suppkey, n AS rows, n / (total / CAST(keys AS DOUBLE)) AS ratio, abs(n / (total / CAST(keys AS DOUBLE)) - 1) <= 0.03 AS balanced

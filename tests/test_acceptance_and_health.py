@@ -164,3 +164,28 @@ def test_throttle_mask_bits(spark):
     df = spark.range(256).select(F.col("id").alias("throttle"))
     got = df.filter(X.hardware_throttled(F.col("throttle"))).count()
     assert got == sum(1 for b in range(256) if b & 0xC8)
+
+
+def test_fingerprints_of_cells_that_read_alike_differ(spark):
+    def print_of(*row):
+        return A.table_fingerprint(spark.createDataFrame([row], "a string, b string"), ["a", "b"]).first().fingerprint
+
+    rows = [(None, "x"), ("<null>", "x"), ("-", "x"), ("", "x"), ("x", None), ("a\u0001", "b"), ("a", "\u0001b"), ("1:a", ""), ("", "1:a"), ("a1:b", ""), ("a", "b")]
+    assert len({print_of(*row) for row in rows}) == len(rows)
+
+
+def test_trees_find_the_ranges_and_only_these_are_read(spark):
+    rows = spark.range(100_000).select("id", (F.col("id") % 7).alias("v"))
+    path = A.workspace.fresh_path(spark, "keyed")
+    rows.write.parquet(path)
+    before = spark.read.parquet(path)
+    assert A.differing_ranges(*[A.fingerprint_tree(before, ["id", "v"], "id", 0, 99_999)] * 2, 0, 99_999) == []
+    after = before.withColumn("v", F.when(F.col("id") == 31_000, 9).otherwise(F.col("v"))).filter("id <> 70123")
+    extra = spark.createDataFrame([(5, 5), (None, 1), (200_000, 1), (200_000, 1)], "id long, v long")
+    trees = [A.fingerprint_tree(df, ["id", "v"], "id", 0, 99_999) for df in (before, after.unionByName(extra))]
+    ranges = A.differing_ranges(*trees, 0, 99_999)
+    assert len(ranges) == 4 and (None, None) in ranges and all(e - s < 25 for s, e in ranges if s is not None)
+    diff = A.changed_rows(before, after.unionByName(extra), ["id", "v"], "id", 0, 99_999)
+    assert {(r["key"], r["before"], r["after"]) for r in diff.collect()} == {(31_000, 1, 1), (70_123, 1, 0), (5, 0, 1), (None, 0, 1), (200_000, 0, 2)}
+    scans = [line for line in diff._jdf.queryExecution().executedPlan().toString().splitlines() if "PushedFilters" in line]
+    assert scans and all("GreaterThanOrEqual(id," in line for line in scans)
