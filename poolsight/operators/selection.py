@@ -64,7 +64,8 @@ def first_rows(df: DataFrame, order: str, ranks: Mapping[str, Column], by: Seque
     known = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in group], "_n", *[f"_rank_{name}" for name in ranks]).join(
         wide, ordering.same(group, "_of_"), "left"
     ).drop(*group)
-    placed = rows.join(known, ordering.same(group, "_of_")).drop(*[f"_of_{c}" for c in group])
+    known = workspace.materialise(known, "selection-known")
+    placed = _with_cuts(rows, known, group)
     tied = cuts.filter(F.col("_take") < F.col("_tied"))
     if not tied.limit(1).count():
         return placed.select(*df.columns, *[_before(name, order_column).alias(name) for name in ranks])
@@ -77,6 +78,14 @@ def first_rows(df: DataFrame, order: str, ranks: Mapping[str, Column], by: Seque
     return clear.unionByName(numbered.select(*df.columns, *[_before(name, order_column, F.col("_place")).alias(name) for name in ranks]))
 
 
+def _with_cuts(rows: DataFrame, known: DataFrame, group: list[str]) -> DataFrame:
+    """Every row beside its group's cuts; those of a table without groups are one row of constants."""
+    if len(group) > 1:
+        return rows.join(known, ordering.same(group, "_of_")).drop(*[f"_of_{c}" for c in group])
+    only = [f.name for f in known.schema if not f.name.startswith("_of_")]
+    return rows.select("*", *[known.select(c).scalar().alias(c) for c in only])
+
+
 def _asked(sizes: DataFrame, group: list[str], ranks: Mapping[str, Column]) -> DataFrame:
     """One row a rank that falls inside its group, with the interval of all codes."""
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("_cut"), F.col(f"_rank_{name}").alias("_rank")) for name in ranks]))
@@ -86,6 +95,12 @@ def _asked(sizes: DataFrame, group: list[str], ranks: Mapping[str, Column]) -> D
 
 def _inside(keys: DataFrame, group: list[str], cuts: DataFrame) -> DataFrame:
     """The order values inside each rank's interval; only these columns travel."""
+    if len(group) == 1:
+        # at most a row a rank, so no join is needed
+        of = [F.struct(F.lit(r["_cut"]).alias("_cut"), *[F.lit(r[c]).cast("long").alias(c) for c in ("_rank", "_lo", "_hi")]) for r in cuts.collect()]
+        none = F.array().cast("array<struct<_cut:string,_rank:bigint,_lo:bigint,_hi:bigint>>")
+        beside = keys.select("*", F.explode(F.array(*of) if of else none).alias("_of")).select(*keys.columns, "_of.*")
+        return beside.filter(F.col("_code").between(F.col("_lo"), F.col("_hi")))
     of = cuts.select(*[F.col(c).alias(f"_of_{c}") for c in group], "_cut", "_rank", "_lo", "_hi")
     return keys.join(of, ordering.same(group, "_of_") & F.col("_code").between(F.col("_lo"), F.col("_hi")))
 
