@@ -9,7 +9,7 @@ from poolsight.operators import colocation
 from poolsight.operators import ledger as ops
 from poolsight.plans import bindings as B
 from poolsight.plans.registry import query
-from poolsight.sources import files, sinks, workspace
+from poolsight.sources import files, sinks, workload_store, workspace
 
 HELD = "state IN ('SUBMITTED', 'RUNNING')"
 IN_FLIGHT = f"SELECT shape, team, CAST(SUM(nodes) AS BIGINT) AS in_flight FROM ledger WHERE {HELD} GROUP BY 1, 2"
@@ -225,6 +225,29 @@ def upsert_sides(spark, root):
     return target, source
 
 
+# Enough for the tables the queries run on; a store takes a count that keeps a bucket within a task.
+STORE_BUCKETS = 64
+STORED = ["id", "name", "created_by", "team", "nodes", "shape"]
+
+
+@query(
+    "upsert_stored",
+    """WITH target AS (SELECT * FROM workloads WHERE num_accelerators <= 30),
+  first AS (SELECT id + 1000000 AS id, name, 'sync' AS created_by, 'moved' AS team, nodes + 1 AS nodes, shape FROM workloads WHERE num_accelerators >= 20),
+  merged AS (SELECT COALESCE(t.id, s.id) AS id, COALESCE(t.name, s.name) AS name, COALESCE(t.created_by, s.created_by) AS created_by,
+    COALESCE(s.team, t.team) AS team, COALESCE(s.nodes, t.nodes) AS nodes, COALESCE(s.shape, t.shape) AS shape FROM target t FULL JOIN first s ON t.name = s.name)
+SELECT id, name, created_by, team, nodes, shape, CAST(2 AS BIGINT) AS commits FROM merged""",
+)
+def upsert_stored(spark, root):
+    """The catalog is stored, synced, synced again without a change (which commits nothing) and read back."""
+    target, source = upsert_sides(spark, root)
+    path = workspace.fresh_path(spark, "workload-store")
+    workload_store.create(spark, path, target.schema)
+    for rows in (target, source, source):
+        stored = workload_store.upsert(spark, path, rows, STORE_BUCKETS)
+    return workload_store.read(spark, path).select(*STORED, F.lit(stored.number).cast("bigint").alias("commits"))
+
+
 @query(
     "upsert_by_owner",
     """WITH t AS (SELECT * FROM workloads WHERE num_accelerators <= 30),

@@ -28,9 +28,10 @@ def paths(spark, name):
     """SELECT CAST(event_id AS VARCHAR) AS record_id, time, CAST(time AS DATE) AS date, service_name, severity_text, mlflow_run_id FROM otel_logs""",
 )
 def stream_telemetry_append(spark, root):
+    """Batches are commits of a dated table, packed and clustered after each; the variant columns come back from it."""
     out, checkpoint = paths(spark, "stream-logs")
-    jobs.append_telemetry(B.otel_logs(spark, root, events_stream(spark, root)), None, out, checkpoint, True).awaitTermination()
-    return spark.read.parquet(out).select(
+    jobs.append_table(B.otel_logs(spark, root, events_stream(spark, root)), out, checkpoint, True, every=1).awaitTermination()
+    return jobs.read_table(spark, out).select(
         "record_id", "time", "date", "service_name", "severity_text",
         ops.attribute("resource.attributes", ops.RUN_KEY).alias("mlflow_run_id"),
     )

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from poolsight.operators import ledger, telemetry
-from poolsight.sources import schemas
+from poolsight.sources import schemas, versions
 
 FLUSH_INTERVAL = "10 seconds"
 #: Batches folded into one snapshot.
 COMPACT_EVERY = 100
+#: Order of rows inside a telemetry file.
+CLUSTERED_BY = ("time", "service_name")
 
 Fold = Callable[[DataFrame], DataFrame]
 
@@ -41,6 +43,39 @@ def append_telemetry(
     return _started(dated.writeStream.format("parquet").partitionBy("date"), out, checkpoint, drain)
 
 
+def append_table(
+    records: DataFrame, out: str, checkpoint: str, drain: bool = False, every: int = COMPACT_EVERY, target_bytes: int = 256 << 20
+) -> StreamingQuery:
+    """Append records (with a `time` and a `service_name`) to a table by date that stays readable for good.
+
+    Each batch is one commit, so a reader sees whole batches. After `every` batches the small files of a date
+    are packed into sorted files of about `target_bytes`, and what was replaced a day ago is removed: a date
+    keeps at most `every` batches' files beside its packed ones. The list of live files remembers the last
+    batch of this stream, so a batch that is replayed after a failure is not added twice.
+    Read it with `read_table`; a null time lands in a date folder of its own.
+    """
+    dated = records.withColumn("date", F.to_date("time"))
+    versions.create(records.sparkSession, out, dated.schema, "date")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        table = versions.latest(spark, out)
+        if number > table.done.get(stream, -1):
+            clustered = batch.hint("rebalance", "date").sortWithinPartitions("date", *CLUSTERED_BY)
+            versions.append(spark, out, versions.stage(clustered, table), {stream: number})
+        if (number + 1) % every == 0:
+            versions.compact(spark, out, CLUSTERED_BY, target_bytes)
+            versions.clean(spark, out)
+
+    return trigger_of(dated.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), drain).start()
+
+
+def read_table(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all whole batches so far."""
+    return versions.read(spark, versions.latest(spark, out))
+
+
 def fold_run_states(polls: DataFrame, out: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
     """Keep each run's ledger state current; terminal states are final."""
     return keep_parts(polls, ledger.fold_polls, ledger.merge_folds, out, checkpoint, drain)
