@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from poolsight.functions import text as T
 from poolsight.operators import logs as ops
 from poolsight.plans import bindings as B
 from poolsight.plans.registry import query
-from poolsight.sources import files, workspace
+from poolsight.sources import files, sinks, workspace
 
 ANSI = "regexp_replace(line, chr(27) || '\\[[0-9;]*m', '', 'g')"
 
@@ -81,7 +82,7 @@ def link_extract(spark, root):
     return parsed.select("path", F.explode(T.links(F.col("command"))).alias("link"))
 
 
-def launcher_lines(spark, root):
+def launcher_lines(spark, root, *kept):
     """Launcher log lines per run, derived from events, with the node each was written on."""
     key, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     message = (
@@ -96,7 +97,7 @@ def launcher_lines(spark, root):
     line = F.when(key % 23 == 0, "free text").otherwise(
         F.concat(stamp, F.lit(" - "), level, F.lit(" - "), message)
     )
-    return B.table(spark, root, "events").select(user.alias("node"), line.alias("value"))
+    return B.table(spark, root, "events").select(user.alias("node"), line.alias("value"), *kept)
 
 
 FIRST_NODE, NODES = 5_000_000_000, 20
@@ -133,6 +134,42 @@ def scan_log_text(spark, root):
     )
 
 
+# Events whose lines share a chunk, and characters by which a chunk reaches into the next one's first line.
+CHUNK_EVENTS, REACH = 5000, 9
+
+LINE_TEXT = """CASE WHEN event_id % 23 = 0 THEN 'free text' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN event_type = 'error' THEN ' - ERROR - ' ELSE ' - INFO - ' END ||
+  CASE event_type WHEN 'signup' THEN 'Recorded condition marker /work/LauncherStarted' WHEN 'error' THEN 'User command exited with code ' || CAST(event_id % 3 AS VARCHAR)
+    WHEN 'purchase' THEN '  job_id=' || CAST(user_id AS VARCHAR) WHEN 'view' THEN '  workload_id=w-' || CAST(user_id AS VARCHAR)
+    ELSE 'Recorded condition marker /work/UserCodeStarted' END END"""
+
+
+@query(
+    "log_lines_stitched",
+    f"""WITH lines AS (SELECT {FIRST_NODE} + user_id % {NODES} AS node, event_id, event_id // {CHUNK_EVENTS} AS part, {LINE_TEXT} AS line FROM events)
+SELECT node, CASE WHEN part > 0 AND event_id = MIN(event_id) OVER (PARTITION BY node, part) THEN part - 1 ELSE part END AS chunk,
+  ROW_NUMBER() OVER w AS number, CAST(SUM(strlen(line) + 1) OVER w - strlen(line) - 1 AS BIGINT) AS "offset", line
+  FROM lines WINDOW w AS (PARTITION BY node ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def log_lines_stitched(spark, root):
+    """Each node's log as chunks that end inside a line, read back whole, numbered and placed."""
+    path = workspace.fresh_path(spark, "chunks")
+    key = F.col("event_id")
+    lines = launcher_lines(spark, root, "event_id").select(
+        (FIRST_NODE + F.col("node") % NODES).alias("node"), key, F.floor(key / CHUNK_EVENTS).alias("part"), F.concat("value", F.lit("\n")).alias("text")
+    )
+    lines = lines.withColumn("first", F.min("event_id").over(Window.partitionBy("node", "part")))
+    head = F.struct((F.col("part") - 1).alias("chunk"), F.substring("text", 1, REACH).alias("text"))
+    rest = F.struct(F.col("part").alias("chunk"), F.expr(f"substring(text, {REACH + 1})").alias("text"))
+    whole = F.struct(F.col("part").alias("chunk"), F.col("text"))
+    is_cut = (F.col("part") > 0) & (key == F.col("first"))
+    pieces = lines.select("node", key, F.explode(F.when(is_cut, F.array(head, rest)).otherwise(F.array(whole))).alias("p"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "p.text"))), lambda p: p["text"]), "")
+    texts = pieces.groupBy("node", F.col("p.chunk").alias("chunk")).agg(joined.alias("text"))
+    name = F.concat(F.lit("node_"), F.col("node").cast("string"), F.lit("/logs-"), F.col("chunk").cast("string"), F.lit(".chunk.txt"))
+    sinks.write_files(texts.select(name.alias("path"), "text"), path)
+    return files.log_lines(spark, path).select("node", "chunk", "number", "offset", "line")
+
+
 @query(
     "launcher_parse",
     f"""SELECT node, CASE WHEN NOT free THEN logged_at END AS logged_at, CASE WHEN NOT free THEN level END AS level FROM ({LAUNCHER})""",

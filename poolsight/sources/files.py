@@ -34,73 +34,65 @@ def log_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Whole log lines in their order: (folder, kind, node, chunk, number, offset, line).
+    """Whole log lines in their order: (folder, log, kind, node, chunk, number, offset, line).
 
-    A stream is the chunks of one kind in one folder, by chunk number and then by name. A line that a chunk end
-    cuts comes back whole, with the chunk it begins in; one that runs through several chunks does too. `number`
-    counts the stream's lines from 1 and `offset` its bytes from 0. Lines end at a newline; a carriage return
-    before it is dropped. A file of no bytes holds no line.
+    A log is the chunks of one folder whose names differ in the chunk number alone, in the order of that number;
+    any other file is a log of its own. A line that chunk ends cut comes back whole, with the chunk it begins in.
+    `number` counts a log's lines from 1 and `offset` its bytes from 0. Lines end at a newline; a carriage return
+    before it is dropped. A file of no bytes holds no line. Files are plain text, not compressed.
 
-    Files still split freely. A reader does not say where a line lies, but rows of one split come in order, so
+    Files still split freely. The reader does not say where a line lies, but rows of one split come in order, so
     places inside a split are running sums over it, and what lies before it comes from a prefix scan over a
-    table of one row a split. A chunk ends inside a line if its lines need one byte more than the file has.
-    Only first and last lines of such chunks are grouped.
+    table of one row a split. A chunk ends inside a line if its lines with their ends need a byte more than it
+    has (a mark of byte order, three bytes, is not among its lines). Only the first and last lines of such
+    chunks are grouped.
     """
-    stream = ["folder", "kind"]
-    path = F.col("_metadata.file_path")
     pieces = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root).select(
-        F.substring_index(path, "/", F.size(F.split(path, "/")) - 1).alias("folder"),
-        path.alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("seq"),
         (F.octet_length("value") + 1).cast("bigint").alias("bytes"),
         F.col("value").alias("line"),
     )
-    name = F.substring_index("file", "/", -1)
-    kind = F.when(name.contains("launcher"), "launcher").otherwise("user")
-    chunk = _number_in(name, CHUNK_PATTERN)
-
-    # one row a split, then one scan over the splits of a stream
-    splits = pieces.groupBy("folder", "file", "size", "start").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    in_file = Window.partitionBy("file")
-    splits = splits.select(
-        "*", kind.alias("kind"), chunk.alias("chunk"),
-        (F.sum("bytes").over(in_file) > F.col("size")).alias("open"),
-        (F.max("start").over(in_file) == F.col("start")).alias("last"),
+    in_file, name = Window.partitionBy("file"), F.substring_index("file", "/", -1)
+    splits = pieces.groupBy("file", "size", "start").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).select(
+        F.col("file").alias("_file"), F.col("start").alias("_start"), "n", "bytes",
+        F.regexp_replace("file", "/[^/]+$", "").alias("folder"),
+        F.regexp_replace(name, CHUNK_PATTERN, "").alias("log"),
+        F.when(name.contains("launcher"), "launcher").otherwise("user").alias("kind"),
+        _number_in(name, CHUNK_PATTERN).alias("chunk"),
+        (F.pmod(F.sum("bytes").over(in_file) - F.col("size"), F.lit(3)) == 1).alias("open"),
         (F.min("start").over(in_file) == F.col("start")).alias("first"),
+        (F.max("start").over(in_file) == F.col("start")).alias("last"),
     )
-    order = Window.partitionBy(*stream).orderBy(F.col("chunk").asc_nulls_first(), "file", "start")
+    order = Window.partitionBy("folder", "log").orderBy("chunk", "_start")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     cut = F.when(F.col("open") & F.col("last"), 1).otherwise(0)
     splits = splits.select(
-        F.col("file").alias("_file"), F.col("start").alias("_start"), "n", "open", "last", "first", "kind", "chunk",
+        *[c for c in splits.columns if c != "bytes"],
         F.coalesce(F.sum(F.col("n") - cut).over(earlier), F.lit(0)).alias("lines_before"),
         F.coalesce(F.sum(F.col("bytes") - cut).over(earlier), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.lag("open").over(order), F.lit(False)).alias("after_open"),
     )
 
-    # a split is bounded by the reader's split size
+    # no larger than the reader's split
     in_split = Window.partitionBy("file", "start").orderBy("seq")
     placed = pieces.select(
-        "*", F.row_number().over(in_split).cast("bigint").alias("at"),
-        (F.sum("bytes").over(in_split) - F.col("bytes")).alias("into"),
+        "file", "start", "line", F.row_number().over(in_split).alias("at"), (F.sum("bytes").over(in_split) - F.col("bytes")).alias("into")
     ).join(splits, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
     begins_cut = F.col("first") & F.col("after_open") & (F.col("at") == 1)
     ends_cut = F.col("last") & F.col("open") & (F.col("at") == F.col("n"))
-    placed = placed.select(
-        *stream, "chunk", (F.col("lines_before") + F.col("at")).alias("number"),
-        (F.col("bytes_before") + F.col("into")).alias("offset"), "line", (begins_cut | ends_cut).alias("cut"),
-    )
-    whole = placed.filter(~F.col("cut")).drop("cut")
-    ordered = F.array_sort(F.collect_list(F.struct("offset", "chunk", "line")))
-    stitched = placed.filter("cut").groupBy(*stream, "number").agg(ordered.alias("parts")).select(
-        *stream, F.col("parts")[0]["chunk"].alias("chunk"), "number",
-        F.col("parts")[0]["offset"].alias("offset"), F.array_join(F.col("parts.line"), "").alias("line"),
+    place = [(F.col("lines_before") + F.col("at")).alias("number"), (F.col("bytes_before") + F.col("into")).alias("offset")]
+    placed = placed.select("folder", "log", "kind", "chunk", *place, "line", (begins_cut | ends_cut).alias("cut"))
+    parts = F.array_sort(F.collect_list(F.struct("offset", "chunk", "line"))).alias("parts")
+    stitched = placed.filter("cut").groupBy("folder", "log", "kind", "number").agg(parts).select(
+        "folder", "log", "kind", F.col("parts")[0]["chunk"].alias("chunk"), "number",
+        F.col("parts")[0]["offset"].alias("offset"), F.array_join("parts.line", "").alias("line"),
     )
-    node = _number_in(F.substring_index("folder", "/", -1), NODE_PATTERN)
-    return whole.unionByName(stitched).select(
-        *stream, node.alias("node"), "chunk", "number", "offset", F.regexp_replace("line", "\r$", "").alias("line")
+    node = _number_in(F.substring_index("folder", "/", -1), NODE_PATTERN).alias("node")
+    return placed.filter("NOT cut").drop("cut").unionByName(stitched).select(
+        "folder", "log", "kind", node, "chunk", "number", "offset", F.regexp_replace("line", r"\r\z", "").alias("line")
     )
 
 
