@@ -29,6 +29,57 @@ def sentinel_presence(lines: DataFrame, sentinels: Sequence[str], by: str = "run
     return hits.groupBy(by, "sentinel").agg(F.count(F.lit(1)).alias("lines"))
 
 
+#: Characters of a gram, and of the piece of a text whose grams are made at once.
+GRAM, PIECE = 3, 1 << 16
+
+
+def pattern_hits(texts: DataFrame, patterns: DataFrame, id: str = "id", text: str = "text", pattern: str = "pattern") -> DataFrame:
+    """Which of many literal patterns occur in which text: distinct (id, pattern), however many patterns there are.
+
+    A text that holds a pattern holds its grams of three characters. Grams of patterns are counted over all texts,
+    each pattern is looked up by its rarest one alone, and what meets is verified on the whole text. No text is
+    searched for a pattern whose rarest gram it lacks, and a pattern with a gram that no text has is never joined. A
+    pattern of one or two characters is its own gram. Only grams of patterns leave the task that reads a text.
+
+    `id` is unique in `texts`. Null texts and null or empty patterns match nothing; repeated patterns count once.
+    Patterns and texts compare character by character, with no change of case.
+    """
+    asked = patterns.select(F.col(pattern).alias("__pattern")).filter(F.length("__pattern") > 0).distinct()
+    short = F.least(F.length("__pattern"), F.lit(GRAM))
+    own = F.when(short == 1, _grams(F.col("__pattern"), 1)).when(short == 2, _grams(F.col("__pattern"), 2))
+    own = own.otherwise(_grams(F.col("__pattern"), GRAM))
+    of_pattern = asked.select("__pattern", F.explode(F.array_distinct(own)).alias("__gram"))
+    # lengths of grams that patterns have: one to three
+    sizes = [row[0] for row in asked.select(short).distinct().collect()]
+    whole = texts.select(F.col(id).alias("__id"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
+    starts = F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1)), F.lit(PIECE))
+    pieces = whole.select("__id", "__text", F.explode(starts).alias("__at")).select(
+        "__id", F.col("__text").substr(F.col("__at"), F.lit(PIECE + GRAM - 1)).alias("__piece")
+    )
+    made = F.concat(*[_grams(F.col("__piece"), size) for size in sizes]) if sizes else F.array().cast("array<string>")
+    of_text = pieces.select("__id", F.explode(F.array_distinct(made)).alias("__gram"))
+    counts = of_text.join(of_pattern.select("__gram").distinct(), "__gram").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    # inner: a pattern with a gram that never occurs must not fall back on its others
+    known = of_pattern.join(counts, "__gram", "left").groupBy("__pattern").agg(
+        F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("__gram"))).alias("__gram")
+    )
+    candidates = of_text.join(known, "__gram").select("__id", "__pattern").distinct()
+    verified = whole.join(candidates, "__id").filter(F.contains("__text", "__pattern"))
+    return verified.select(F.col("__id").alias(id), F.col("__pattern").alias(pattern))
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All runs of `size` characters. The characters are zipped with themselves shifted, which is linear in the text:
+    an expression inside a lambda would be computed for each element."""
+    chars = F.split(text, "")
+    found = chars
+    for shift in range(1, size):
+        shifted = F.slice(chars, shift + 1, F.greatest(F.size(chars), F.lit(1)))
+        found = F.zip_with(found, shifted, lambda left, right: F.concat(left, right))
+    # the longer side is padded with nulls, and a gram with one is null
+    return F.filter(found, lambda gram: gram.isNotNull() & (gram != ""))
+
+
 def launcher_parse(lines: DataFrame) -> DataFrame:
     """Split `timestamp - LEVEL - message`; other lines keep nulls."""
     matched = F.col("line").rlike(T.LAUNCHER_PATTERN)

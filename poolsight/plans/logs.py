@@ -36,6 +36,19 @@ def sentinel_presence(spark, root):
     return ops.sentinel_presence(B.log_lines(spark, root), SENTINELS)
 
 
+@query(
+    "sentinel_index",
+    """WITH patterns AS (SELECT 'GPU model ' || CAST(c_custkey AS VARCHAR) || '''' AS sentinel FROM customer UNION ALL SELECT '[3' UNION ALL SELECT '}'
+    UNION ALL SELECT 'CUDA error' UNION ALL SELECT 'exit 137' UNION ALL SELECT 'never printed')
+SELECT event_id, sentinel FROM log_lines JOIN patterns ON contains(line, sentinel)""",
+)
+def sentinel_index(spark, root):
+    """A sentinel for each customer, and some common ones, looked for in every line by their rarest grams."""
+    few = spark.createDataFrame([(s,) for s in ("[3", "}", "CUDA error", "exit 137", "never printed")], "sentinel string")
+    named = B.table(spark, root, "customer").select(F.concat(B.text("GPU model ", F.col("c_custkey")), F.lit("'")).alias("sentinel"))
+    return ops.pattern_hits(B.log_lines(spark, root), named.unionByName(few), "event_id", "line", "sentinel")
+
+
 @query(
     "job_run_id_extract",
     f"""SELECT event_id, COALESCE(NULLIF(regexp_extract({ANSI}, 'Job Run ID:\\s*(\\d+)', 1), ''),
