@@ -10,7 +10,7 @@ from pyspark.sql.types import NumericType
 
 from poolsight.functions import order as O
 from poolsight.functions import text as T
-from poolsight.sources import schemas
+from poolsight.sources import schemas, workspace
 
 
 def result_line_kv(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -39,7 +39,7 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, id: str = "id", text: st
     A text that holds a pattern holds its grams of three characters. Grams of patterns are counted over all texts,
     each pattern is looked up by its rarest one alone, and what meets is verified on the whole text. No text is
     searched for a pattern whose rarest gram it lacks, and a pattern with a gram that no text has is never joined. A
-    pattern of one or two characters is its own gram. Only grams of patterns leave the task that reads a text.
+    pattern of one or two characters is its own gram.
 
     `id` is unique in `texts`. Null texts and null or empty patterns match nothing; repeated patterns count once.
     Patterns and texts compare character by character, with no change of case.
@@ -48,7 +48,9 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, id: str = "id", text: st
     short = F.least(F.length("__pattern"), F.lit(GRAM))
     own = F.when(short == 1, _grams(F.col("__pattern"), 1)).when(short == 2, _grams(F.col("__pattern"), 2))
     own = own.otherwise(_grams(F.col("__pattern"), GRAM))
-    of_pattern = asked.select("__pattern", F.explode(F.array_distinct(own)).alias("__gram"))
+    # written, so that the planner knows its size and broadcasts it while it is small: then grams of texts that no
+    # pattern has are dropped where the text is read, and beyond that size they are shuffled
+    of_pattern = workspace.materialise(asked.select("__pattern", F.explode(F.array_distinct(own)).alias("__gram")), "pattern-grams")
     # lengths of grams that patterns have: one to three
     sizes = [row[0] for row in asked.select(short).distinct().collect()]
     whole = texts.select(F.col(id).alias("__id"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
@@ -58,11 +60,11 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, id: str = "id", text: st
     )
     made = F.concat(*[_grams(F.col("__piece"), size) for size in sizes]) if sizes else F.array().cast("array<string>")
     of_text = pieces.select("__id", F.explode(F.array_distinct(made)).alias("__gram"))
-    counts = of_text.join(of_pattern.select("__gram").distinct(), "__gram").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    counts = of_text.join(of_pattern.select("__gram"), "__gram", "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
     # inner: a pattern with a gram that never occurs must not fall back on its others
-    known = of_pattern.join(counts, "__gram", "left").groupBy("__pattern").agg(
-        F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("__gram"))).alias("__gram")
-    )
+    rarest = F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("__gram"))).alias("__gram")
+    known = of_pattern.join(counts, "__gram", "left").groupBy("__pattern").agg(rarest)
+    known = workspace.materialise(known.select("__pattern", "__gram"), "pattern-index")
     candidates = of_text.join(known, "__gram").select("__id", "__pattern").distinct()
     verified = whole.join(candidates, "__id").filter(F.contains("__text", "__pattern"))
     return verified.select(F.col("__id").alias(id), F.col("__pattern").alias(pattern))
