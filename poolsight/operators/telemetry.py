@@ -76,6 +76,40 @@ def stamp_identity(records: DataFrame, identity: DataFrame, on: str = "run_id")
     return stamped.drop("_run", "_requester", "_team")
 
 
+def stamp_as_of(records: DataFrame, changes: DataFrame, on: str = "run_id", at: str = "time") -> DataFrame:
+    """Put on every record that lacks its own value the requester and team in force at its time.
+
+    `changes` has a row (run_id, changed_at, requester, team) whenever a run's identity changes; one counts from
+    its own instant on, until the run's next. Of changes at one instant that with the greatest (requester, team)
+    counts, nulls least; a change to null withdraws the value. A record before its run's first change, and
+    one without a run or a time, keeps what it has; a change without them is none.
+
+    Instants and changes are put in order together, range by range, and the change in force is the latest so far,
+    which earlier ranges hand on: a run with most of the records or changes spreads over ranges, and the work
+    grows with records and changes, not with their product.
+    """
+    instants = records.select(F.col(on).alias("_run"), F.col(at).alias("_at")).dropna().distinct()
+    moment = F.col("changed_at").cast(records.schema[at].dataType)
+    known = (
+        changes.select(F.col(on).alias("_run"), moment.alias("_at"), F.struct(moment.alias("at"), "requester", "team").alias("_version"))
+        .dropna(subset=["_run", "_at"])
+        .join(instants.select("_run").distinct(), "_run", "left_semi")
+    )
+    rows = ordering.ranged(instants.unionByName(known, allowMissingColumns=True), ["_run"], ["_at"])
+    latest = rows.groupBy("_run", "_range").agg(F.max("_version").alias("_latest"))
+    earlier = Window.partitionBy("_run").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = latest.select("_run", "_range", F.max("_latest").over(earlier).alias("_carry"))
+    # a change counts at its own instant
+    here = Window.partitionBy("_run", "_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.select("*", F.max("_version").over(here).alias("_newest")).filter(F.col("_version").isNull())
+    in_force = placed.join(carried, ["_run", "_range"]).select("_run", "_at", F.coalesce("_newest", "_carry").alias("_now"))
+    stamped = records.join(in_force, (F.col(on) == F.col("_run")) & (F.col(at) == F.col("_at")), "left")
+    for name in ("requester", "team"):
+        own = F.col(name) if name in records.columns else F.lit(None).cast("string")
+        stamped = stamped.withColumn(name, F.coalesce(own, F.col(f"_now.{name}")))
+    return stamped.drop("_run", "_at", "_now")
+
+
 # Names of the exported gauges and counter, and the attribute of a GPU's number.
 GPU_KEY = "gpu"
 UTIL, MEM_USED, MEM_TOTAL = "gpu.utilization.percent", "gpu.memory.used.bytes", "gpu.memory.total.bytes"

@@ -9,9 +9,9 @@ from poolsight.operators import telemetry as ops
 from poolsight.plans import bindings as B
 from poolsight.plans.ledger import FOLDED
 from poolsight.plans.registry import query
-from poolsight.plans.telemetry import UTIL, utilization
+from poolsight.plans.telemetry import STAMPED, UTIL, stamped_events, utilization
 from poolsight.sources import workspace
-from poolsight.streaming import alarms, jobs
+from poolsight.streaming import alarms, identity, jobs
 
 
 def events_stream(spark, root):
@@ -71,6 +71,15 @@ def stream_baggage_stamp(spark, root):
     return spark.read.parquet(out).select("event_id", "run_id", "requester", "team")
 
 
+@query("stream_identity_versions", STAMPED)
+def stream_identity_versions(spark, root):
+    """Records and identity changes are both streams; each record has the identity of its own time."""
+    out, checkpoint = paths(spark, "stream-versions")
+    records, told = stamped_events(events_stream(spark, root))
+    identity.stamp_versions(records, told, out, checkpoint, drain=True).awaitTermination()
+    return identity.read_stamped(spark, out).select("event_id", "run_id", "requester", "team")
+
+
 @query("stream_run_state_fold", FOLDED)
 def stream_run_state_fold(spark, root):
     out, checkpoint = paths(spark, "stream-states")

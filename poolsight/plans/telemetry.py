@@ -84,6 +84,28 @@ def telemetry_identity_join(spark, root):
     return ops.identity_join(ops.summary(B.otel_logs(spark, root)), B.timeline(spark, root))
 
 
+STAMPED = """WITH told AS (SELECT user_id AS run_id, ts AS changed_at, CASE WHEN event_id % 250 <> 3 THEN 'user' || CAST(event_id AS VARCHAR) END AS requester, 'team-' || CAST(event_id % 7 AS VARCHAR) AS team
+  FROM events WHERE event_id % 50 = 3)
+SELECT event_id, user_id AS run_id, COALESCE(CASE WHEN event_id % 4 = 0 THEN 'self' END, requester) AS requester, team
+  FROM events ASOF LEFT JOIN told ON user_id = told.run_id AND ts >= changed_at"""
+
+
+def stamped_events(events):
+    """Records of runs, every fourth with a requester of its own, and the identity changes among them."""
+    key, run = F.col("event_id"), F.col("user_id").alias("run_id")
+    records = events.select(key, F.col("ts").alias("time"), run, F.when(key % 4 == 0, "self").alias("requester"))
+    told = events.filter(key % 50 == 3).select(
+        run, F.col("ts").alias("changed_at"), F.when(key % 250 != 3, B.text("user", key)).alias("requester"), B.text("team-", key % 7).alias("team")
+    )
+    return records, told
+
+
+@query("identity_as_of", STAMPED)
+def identity_as_of(spark, root):
+    """Every record with the identity its run had at the record's time."""
+    return ops.stamp_as_of(*stamped_events(B.table(spark, root, "events"))).select("event_id", "run_id", "requester", "team")
+
+
 @query(
     "requester_extract",
     """SELECT event_id, COALESCE(CASE WHEN event_id % 10 = 0 THEN 'override' || CAST(run AS VARCHAR) END,
