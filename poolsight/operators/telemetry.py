@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsight.operators import ordering
+from poolsight.sources.leaves import Leaf, attribute, attribute_of
 
 REQUESTER_KEY = "workload.requester"
 RUN_KEY = "workload.run_id"
 WARN_SEVERITY = 13  # fixed value: WARN in the telemetry severity scale
 
 
-def attribute(variant: str | Column, key: str, as_type: str = "string") -> Column:
-    """A dotted attribute name is one key, hence the quoted path."""
-    return F.try_variant_get(variant, f'$["{key}"]', as_type)
+#: The keys by which telemetry is read; see `sources.leaves`.
+IDENTITY_LEAVES = (Leaf("resource.attributes", REQUESTER_KEY), Leaf("resource.attributes", RUN_KEY))
 
 
 def identity_view(logs: DataFrame, requester_key: str = REQUESTER_KEY, run_key: str = RUN_KEY) -> DataFrame:
@@ -28,8 +28,8 @@ def identity_view(logs: DataFrame, requester_key: str = REQUESTER_KEY, run_key:
     return logs.select(
         "time",
         "service_name",
-        attribute("resource.attributes", requester_key).alias("requester_selfreported"),
-        attribute("resource.attributes", run_key).alias("mlflow_run_id"),
+        attribute_of(logs, "resource.attributes", requester_key).alias("requester_selfreported"),
+        attribute_of(logs, "resource.attributes", run_key).alias("mlflow_run_id"),
         "severity_text",
         F.try_variant_get("body", "$", "string").alias("message"),
     )
@@ -37,7 +37,7 @@ def identity_view(logs: DataFrame, requester_key: str = REQUESTER_KEY, run_key:
 
 def summary(logs: DataFrame, run_key: str = RUN_KEY) -> DataFrame:
     """Rows and time span per run id; aggregated before any join."""
-    return logs.groupBy(attribute("resource.attributes", run_key).alias("mlflow_run_id")).agg(
+    return logs.groupBy(attribute_of(logs, "resource.attributes", run_key).alias("mlflow_run_id")).agg(
         F.count(F.lit(1)).alias("log_rows"),
         F.min("time").alias("first_event"),
         F.max("time").alias("last_event"),
@@ -123,8 +123,8 @@ def gpu_gauges(metrics: DataFrame, *kept: str) -> DataFrame:
     Readings of one export share time, service and GPU; a gauge missing from an export stays null, of a
     repeated reading the largest counts.
     """
-    run = attribute("resource.attributes", RUN_KEY)
-    gpu = attribute("attributes", GPU_KEY, "int")
+    run = attribute_of(metrics, "resource.attributes", RUN_KEY)
+    gpu = attribute_of(metrics, "attributes", GPU_KEY, "int")
     named = {"util_pct": UTIL, "mem_used": MEM_USED, "mem_total": MEM_TOTAL, "power_w": POWER, "temp_c": TEMPERATURE}
     readings = metrics.filter(F.col("name").isin(*named.values()))
     return readings.groupBy(F.col("time").alias("ts"), "service_name", run.alias("mlflow_run_id"), gpu.alias("gpu"), *kept).agg(
@@ -134,7 +134,7 @@ def gpu_gauges(metrics: DataFrame, *kept: str) -> DataFrame:
 
 def training_progress(metrics: DataFrame) -> DataFrame:
     """Latest loss and number of steps per run; the counter never falls, so its largest value is the latest."""
-    run = attribute("resource.attributes", RUN_KEY)
+    run = attribute_of(metrics, "resource.attributes", RUN_KEY)
     at_loss = F.when((F.col("name") == LOSS) & F.col("value").isNotNull(), F.col("time"))
     return (
         metrics.filter(F.col("name").isin(LOSS, STEPS))

@@ -70,6 +70,30 @@ def telemetry_identity_view(spark, root):
     return usage_ops.newest_first(ops.identity_view(B.otel_logs(spark, root)), "time")
 
 
+IDENTITY_VIEW = "SELECT time, service_name, requester AS requester_selfreported, mlflow_run_id, severity_text, body AS message FROM otel_logs"
+
+
+def with_leaves(spark, root):
+    """The log table as it is stored where its identity keys are asked for: a typed column for each."""
+    path = workspace.fresh_path(spark, "otel_leaves")
+    sinks.write_telemetry(B.otel_logs(spark, root), path, ops.IDENTITY_LEAVES)
+    return spark.read.parquet(path)
+
+
+@query("shredded_identity_view", IDENTITY_VIEW)
+def shredded_identity_view(spark, root):
+    """The self-reported view over stored leaves; the attributes themselves are not read."""
+    return ops.identity_view(with_leaves(spark, root))
+
+
+@query("shredded_identity_counts", "SELECT requester, mlflow_run_id, COUNT(*) AS log_rows FROM otel_logs WHERE requester < 'user5' GROUP BY 1, 2")
+def shredded_identity_counts(spark, root):
+    """Rows per run of some requesters; the filter reaches the leaf's row groups."""
+    logs = with_leaves(spark, root)
+    requester, run = (ops.attribute_of(logs, leaf.variant, leaf.key) for leaf in ops.IDENTITY_LEAVES)
+    return logs.filter(requester < "user5").groupBy(requester.alias("requester"), run.alias("mlflow_run_id")).agg(F.count(F.lit(1)).alias("log_rows"))
+
+
 @query("telemetry_summary", SUMMARY)
 def telemetry_summary(spark, root):
     return ops.summary(B.otel_logs(spark, root))
