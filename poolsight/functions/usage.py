@@ -64,6 +64,7 @@ def capacity_bucket(layout: UsageLayout = DEFAULT_LAYOUT) -> Column:
     )
 
 
+# The labels of the coverage report.
 def identity_status(layout: UsageLayout = DEFAULT_LAYOUT) -> Column:
     return F.when(principal(layout).isNull(), "unattributed").otherwise("attributed")
 

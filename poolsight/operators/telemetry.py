@@ -200,13 +200,18 @@ def window_utilization(samples: DataFrame, window: str = "1 hour") -> DataFrame:
 
 
 def beat_sessions(heartbeats: DataFrame, silent_for: str = "10 minutes") -> DataFrame:
-    """Runs of heartbeats less than `silent_for` apart, per run: rows that merge."""
-    return (
-        heartbeats.withColumn("ts", F.col("ts").cast("timestamp"))
-        .groupBy("run_id", F.session_window("ts", silent_for).alias("w"))
+    """Runs of heartbeats less than `silent_for` apart, per run: rows that merge. A beat without a time is none.
+
+    Beats of one tumbling window of that width are always one session, so they are counted before any
+    shuffle; a run with most of the beats then is a row a window, and not its beats, in the task that joins them.
+    """
+    spans = (
+        heartbeats.select("run_id", F.col("ts").cast("timestamp").alias("ts"))
+        .groupBy("run_id", F.window("ts", silent_for).alias("w"))
         .agg(F.min("ts").alias("first_event"), F.max("ts").alias("last_event"), F.count(F.lit(1)).alias("events"))
         .select("run_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_event", "last_event")], "events")
     )
+    return merge_sessions(spans, silent_for)
 
 
 def merge_sessions(sessions: DataFrame, silent_for: str = "10 minutes") -> DataFrame:

@@ -137,3 +137,24 @@ def test_silent_runs_close_after_the_gap(spark):
     jobs.detect_silent_runs(stream, out, checkpoint, drain=True).awaitTermination()
     got = {(r.run_id, r.last_event, r.events, r.silent) for r in jobs.read_silent_runs(spark, out, active).collect()}
     assert got == {(1, at(5), 2, True), (1, at(15), 1, True), (1, at(30), 1, True), (1, at(195), 1, False), (2, at(18), 3, True)}
+
+
+def test_sessions_by_spans_equal_sessions_by_beats(spark):
+    """A hot run with beats on the edges of windows, gaps of exactly the limit, repeats and nulls, against one pass in order."""
+    start, gap = dt.datetime(2026, 1, 1), dt.timedelta(minutes=10)
+    draw = __import__("random").Random(3)
+    beats = [(draw.choice([1, 1, 2, None]), start + dt.timedelta(minutes=draw.randrange(0, 4000) // 5 * 5)) for _ in range(500)] + [(1, None), (5, None)]
+    expected = []
+    for run in (1, 2, None):
+        spell = []
+        for ts in sorted(t for r, t in beats if r == run and t is not None):
+            if spell and ts >= spell[-1] + gap:
+                expected.append((run, spell[0], spell[-1], len(spell)))
+                spell = []
+            spell.append(ts)
+        expected.append((run, spell[0], spell[-1], len(spell)))
+    sessions = telemetry.beat_sessions(spark.createDataFrame(beats, "run_id int, ts timestamp_ntz"))
+    got = [tuple(r) for r in sessions.select("run_id", "first_event", "last_event", "events").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    plan = sessions._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_count") and "session" not in plan.lower()
