@@ -7,29 +7,22 @@ scheme on whichever machine the task runs.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
+from poolsight.sources import workspace
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only on a local session that names none."""
-    root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
-    return tempfile.gettempdir() + "/poolsight"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A path no other run uses, in the application's workspace, so `workspace.clear` removes it with the rest."""
+    return workspace.fresh_path(spark, f"llm/{name}")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -57,3 +50,26 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:") and not path.startswith("file://"):
         path = "file://" + path[len("file:") :]
     return fs.FileSystem.from_uri(path)
+
+
+def move_staged(files: DataFrame, folder: str, staging: str) -> int:
+    """Give each (staged, name) file of `folder/staging` its final name in `folder`, in tasks; returns how many.
+
+    A task that is run again finds its files moved already and goes on; a file in neither place is an error.
+    """
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, base = filesystem(folder)
+        for batch in batches:
+            for staged, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                source, target = f"{base}/{staging}/{staged}", f"{base}/{name}"
+                there = here.get_file_info([source, target])
+                if there[0].type != fs.FileType.NotFound:
+                    here.move(source, target)
+                elif there[1].type == fs.FileType.NotFound:
+                    raise FileNotFoundError(source)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = files.select("staged", "name").repartition(spread, "name").mapInArrow(move, "n long")
+    return moved.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

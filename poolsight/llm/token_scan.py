@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from poolsight.llm.byte_bpe import ByteBpe
 from poolsight.llm.catalog import query, table
-from poolsight.llm.storage import arrow_batches, filesystem, fresh_path, materialise
+from poolsight.llm.storage import arrow_batches, filesystem, fresh_path, materialise, move_staged
 from poolsight.llm.text import small_batches
 from poolsight.llm.warc import STAGING
 
@@ -87,8 +87,7 @@ def write_token_files(
         written = materialise(chosen.mapInArrow(run, "file string, staged string, ordinal long, doc_id long"), "token-rows")
     fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
-    for r in written.select("file", "staged").distinct().collect():
-        fs.move(f"{base}/{STAGING}/{r['staged']}", f"{base}/{r['file']}")
+    move_staged(written.select("staged", F.col("file").alias("name")).distinct(), folder, STAGING)
     fs.create_dir(f"{base}/{STAGING}")
     fs.delete_dir(f"{base}/{STAGING}")
     return written.drop("staged")

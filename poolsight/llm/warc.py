@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from poolsight.llm.catalog import query, table
 from poolsight.llm.sharding import LOWEST, range_of, sampled_splitters
-from poolsight.llm.storage import arrow_batches, filesystem, fresh_path, materialise
+from poolsight.llm.storage import arrow_batches, filesystem, fresh_path, materialise, move_staged
 
 #: Payload bytes to a shard, compressed bytes that end a file, payload bytes from which equal payloads are told once.
 SHARD_BYTES, ROLL_BYTES, LEAST_SHARED = 48 << 20, 8 << 20, 100
@@ -182,17 +182,16 @@ def write_warc(
             yield _file_rows(done)
 
     with arrow_batches(spark, PAGES_AT_ONCE):
-        written = sorted_rows.mapInArrow(write, FILE_DDL).collect()
-    files = sorted((r.asDict() for r in written), key=lambda r: r["name"])
-    return commit(folder, files)
+        written = materialise(sorted_rows.mapInArrow(write, FILE_DDL), "warc-files")
+    return commit(written, folder)
 
 
-def commit(folder: str, files: list[dict]) -> list[dict]:
-    """Rename what the successful attempts wrote, then put the manifest in place."""
+def commit(written: DataFrame, folder: str) -> list[dict]:
+    """Rename in tasks what the successful attempts wrote, then put the manifest in place: a row a file."""
+    move_staged(written, folder, STAGING)
+    files = [row.asDict() for row in written.drop("staged").orderBy("name").collect()]
     fs, base = filesystem(folder)
     fs.create_dir(f"{base}/{STAGING}", recursive=True)
-    for f in files:
-        fs.move(f"{base}/{STAGING}/{f.pop('staged')}", f"{base}/{f['name']}")
     with fs.open_output_stream(f"{base}/{STAGING}/{MANIFEST}") as out:
         out.write(json.dumps({"files": files}, indent=1, sort_keys=True).encode())
     fs.move(f"{base}/{STAGING}/{MANIFEST}", f"{base}/{MANIFEST}")
