@@ -90,24 +90,25 @@ def stamp_as_of(records: DataFrame, changes: DataFrame, on: str = "run_id", at:
     """
     instants = records.select(F.col(on).alias("_run"), F.col(at).alias("_at")).dropna().distinct()
     moment = F.col("changed_at").cast(records.schema[at].dataType)
-    known = (
-        changes.select(F.col(on).alias("_run"), moment.alias("_at"), F.struct(moment.alias("at"), "requester", "team").alias("_version"))
-        .dropna(subset=["_run", "_at"])
-        .join(instants.select("_run").distinct(), "_run", "left_semi")
-    )
-    rows = ordering.ranged(instants.unionByName(known, allowMissingColumns=True), ["_run"], ["_at"])
-    latest = rows.groupBy("_run", "_range").agg(F.max("_version").alias("_latest"))
+    told = changes.select(F.col(on).alias("_r"), moment.alias("_told"), F.col("requester").alias("_requester"), F.col("team").alias("_team"))
+    greatest = Window.partitionBy("_r", "_told").orderBy(F.col("_requester").desc_nulls_last(), F.col("_team").desc_nulls_last())
+    told = told.dropna(subset=["_r", "_told"]).withColumn("_nth", F.row_number().over(greatest)).filter("_nth = 1").drop("_nth")
+    concerned = told.join(instants.select(F.col("_run").alias("_r")).distinct(), "_r", "left_semi")
+    lines = concerned.select(F.col("_r").alias("_run"), F.col("_told").alias("_at"), "_told")
+    rows = ordering.ranged(instants.unionByName(lines, allowMissingColumns=True), ["_run"], ["_at"])
+    latest = rows.groupBy("_run", "_range").agg(F.max("_told").alias("_latest"))
     earlier = Window.partitionBy("_run").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = latest.select("_run", "_range", F.max("_latest").over(earlier).alias("_carry"))
     # a change counts at its own instant
     here = Window.partitionBy("_run", "_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.select("*", F.max("_version").over(here).alias("_newest")).filter(F.col("_version").isNull())
-    in_force = placed.join(carried, ["_run", "_range"]).select("_run", "_at", F.coalesce("_newest", "_carry").alias("_now"))
+    placed = rows.select("*", F.max("_told").over(here).alias("_newest")).filter(F.col("_told").isNull())
+    in_force = placed.join(carried, ["_run", "_range"]).select("_run", "_at", F.coalesce("_newest", "_carry").alias("_since"))
+    in_force = in_force.join(told, (F.col("_run") == F.col("_r")) & (F.col("_since") == F.col("_told")))
     stamped = records.join(in_force, (F.col(on) == F.col("_run")) & (F.col(at) == F.col("_at")), "left")
     for name in ("requester", "team"):
         own = F.col(name) if name in records.columns else F.lit(None).cast("string")
-        stamped = stamped.withColumn(name, F.coalesce(own, F.col(f"_now.{name}")))
-    return stamped.drop("_run", "_at", "_now")
+        stamped = stamped.withColumn(name, F.coalesce(own, F.col(f"_{name}")))
+    return stamped.drop("_run", "_at", "_since", "_r", "_told", "_requester", "_team")
 
 
 # Names of the exported gauges and counter, and the attribute of a GPU's number.
