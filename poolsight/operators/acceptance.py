@@ -280,8 +280,8 @@ def fingerprint_tree(df: DataFrame, columns: Sequence[str], key: str, low: int,
     counts the leaves and the rest adds up. Keys outside the bounds and null keys fall into node -1 of each level.
     Two trees compare only if they were made with the same bounds. It has at most 16^3 leaves: store it.
     """
-    leaf = F.when(F.col(key).between(low, high), F.expr(f"(`{key}` - {low}) div {_leaf_width(low, high)}")).otherwise(-1)
-    leaves = df.groupBy(leaf.cast("long").alias("leaf")).agg(
+    leaf = _leaf(key, low, high)
+    leaves = df.groupBy(leaf.alias("leaf")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(row_hash(columns)).cast("decimal(38,0)").alias("sum")
     )
     above = [F.struct(F.lit(d).alias("level"), F.when(F.col("leaf") < 0, -1).otherwise(F.expr(f"leaf div {FAN ** (DEPTH - d)}")).cast("long").alias("node")) for d in range(DEPTH + 1)]
@@ -293,6 +293,11 @@ def _leaf_width(low: int, high: int) -> int:
     return (high - low) // FAN**DEPTH + 1
 
 
+def _leaf(key: str, low: int, high: int) -> Column:
+    inner = F.expr(f"(`{key}` - {low}) div {_leaf_width(low, high)}")
+    return F.when(F.col(key).between(low, high), inner).otherwise(-1).cast("long")
+
+
 def differing_ranges(before: DataFrame, after: DataFrame, low: int, high: int) -> list[tuple[int | None, int | None]]:
     """Key ranges in which two trees differ, found root first: children are looked at only below differing nodes.
 
@@ -325,15 +330,35 @@ def changed_rows(before: DataFrame, after: DataFrame, columns: Sequence[str], ke
     Repeated rows count; null keys are compared like any other.
     """
     trees = [workspace.materialise(fingerprint_tree(df, columns, key, low, high), "tree") for df in (before, after)]
-    inside = F.lit(False)
-    for start, end in differing_ranges(*trees, low, high):
-        outside = F.col(key).isNull() | (F.col(key) < low) | (F.col(key) > high)
-        inside = inside | (outside if start is None else F.col(key).between(start, end))
+    inside = _within(key, differing_ranges(*trees, low, high), low, high)
     parts = [df.filter(inside).select(F.col(key).alias("key"), row_hash(columns).alias("hash"), F.lit(n).alias("n")) for df, n in ((before, -1), (after, 1))]
     net = parts[0].unionByName(parts[1]).groupBy("key", "hash").agg(F.sum("n").alias("n")).filter("n <> 0")
     return net.groupBy("key").agg(F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("before"), F.sum(F.greatest(F.col("n"), F.lit(0))).alias("after"))
 
 
+#: Spans of keys that a scan is given as its bounds.
+SPANS = 16
+
+
+def _within(key: str, ranges: Sequence[tuple[int | None, int | None]], low: int, high: int) -> Column:
+    """Whether a key lies in one of the ranges, of which there may be as many as leaves.
+
+    A condition of thousands of nested ranges runs out of stack, so the leaves they cover are one flat set. The scan gets
+    the ranges joined over all but their widest gaps.
+    """
+    known, width = sorted(r for r in ranges if r[0] is not None), _leaf_width(low, high)
+    leaves = [leaf for start, end in known for leaf in range((start - low) // width, (end - low) // width + 1)]
+    spans = F.lit(False)
+    if len(known) < len(ranges):
+        leaves.append(-1)
+        spans = F.col(key).isNull() | (F.col(key) < low) | (F.col(key) > high)
+    wide = sorted(range(1, len(known)), key=lambda i: known[i - 1][1] - known[i][0])[: SPANS - 1]
+    cuts = [0, *sorted(wide), len(known)] if known else []
+    for first, after in zip(cuts[:-1], cuts[1:], strict=True):
+        spans = spans | F.col(key).between(known[first][0], known[after - 1][1])
+    return spans & _leaf(key, low, high).isin(leaves)
+
+
 def key_skew(df: DataFrame, key: str, tolerance: float = 0.03) -> DataFrame:
     """Rows per key over the even share, and whether each key is within tolerance."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))

@@ -189,3 +189,12 @@ def test_trees_find_the_ranges_and_only_these_are_read(spark):
     assert {(r["key"], r["before"], r["after"]) for r in diff.collect()} == {(31_000, 1, 1), (70_123, 1, 0), (5, 0, 1), (None, 0, 1), (200_000, 0, 2)}
     scans = [line for line in diff._jdf.queryExecution().executedPlan().toString().splitlines() if "PushedFilters" in line]
     assert scans and not any("PushedFilters: []" in line for line in scans)
+
+
+def test_differences_in_thousands_of_separate_ranges(spark):
+    before = spark.range(40_960).select("id", (F.col("id") % 7).alias("v"))
+    after = before.withColumn("v", F.when(F.col("id") % 20 == 3, 9).otherwise(F.col("v")))
+    extra = spark.createDataFrame([(None, 1), (-7, 1), (50_000, 1)], "id long, v long")
+    got = A.changed_rows(before, after.unionByName(extra), ["id", "v"], "id", 0, 40_959).collect()
+    want = {(k, 1, 1) for k in range(3, 40_960, 20)} | {(None, 0, 1), (-7, 0, 1), (50_000, 0, 1)}
+    assert len(got) == len(want) and {(r["key"], r["before"], r["after"]) for r in got} == want
