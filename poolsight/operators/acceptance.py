@@ -71,7 +71,15 @@ def acceptance_verdict(checks: DataFrame, by: str = "run") -> DataFrame:
 def registry_missing_asset(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Registry rows whose asset is not among the files; a row without asset is skipped."""
     named = registry.filter(F.col("asset").isNotNull())
-    return named.join(files.select(F.col("path").alias("asset")), "asset", "left_anti").select("id", "asset")
+    return named.join(_large(files.select(F.col("path").alias("asset"))), "asset", "left_anti").select("id", "asset")
+
+
+def _large(side: DataFrame) -> DataFrame:
+    """A side as long as the registry or the files, joined by sorting.
+
+    Its size on disk, by which the planner broadcasts, is a small part of what its texts take in the driver's memory.
+    """
+    return side.hint("merge")
 
 
 GLOB_PARTS = re.compile(r"(\*\*/?)|(\*)|(\?)|(\[!?[^\]]+\])|(.)")
@@ -104,8 +112,8 @@ def asset_unclaimed(
     twins = files.select(F.col("path").alias("_twin"))
     claimed = registry.filter(F.col("asset").isNotNull()).select(F.col("asset").alias("path"))
     live_twin = F.regexp_replace("path", r"\.yaml$", ".example.yaml")
-    return top.join(claimed, "path", "left_anti").join(
-        twins, (~F.col("path").endswith(".example.yaml")) & (live_twin == F.col("_twin")), "left_anti"
+    return top.join(_large(claimed), "path", "left_anti").join(
+        _large(twins), (~F.col("path").endswith(".example.yaml")) & (live_twin == F.col("_twin")), "left_anti"
     )
 
 
@@ -116,22 +124,22 @@ def sentinel_link(registry: DataFrame, files: DataFrame) -> DataFrame:
     joins. Each file's text moves once, beside the sentinels asked of it (a part of the registry's),
     however many assets share the file.
     """
-    assets = files.join(registry.select(F.col("asset").alias("path")).distinct(), "path", "left_semi")
+    assets = files.join(_large(registry.select(F.col("asset").alias("path")).distinct()), "path", "left_semi")
     scripts = assets.filter(F.col("path").endswith(".yaml")).select(
         F.col("path").alias("asset"), F.explode(T.links(F.col("text"))).alias("path")
     )
     linked = scripts.unionByName(assets.select(F.col("path").alias("asset"), "path")).distinct()
     declared = registry.select("id", "asset", F.explode("sentinels").alias("sentinel"))
-    pairs = declared.join(linked, "asset")
+    pairs = declared.join(_large(linked), "asset")
     asked = pairs.groupBy("path").agg(F.collect_set("sentinel").alias("asked"))
     found = F.filter("asked", lambda sentinel: F.contains(F.col("text"), sentinel))
     hits = (
-        asked.join(files.select("path", "text"), "path")
+        asked.join(_large(files.select("path", "text")), "path")
         .select("path", F.explode(found).alias("sentinel"))
         .withColumn("_hit", F.lit(True))
     )
     return (
-        pairs.join(hits, ["path", "sentinel"], "left")
+        pairs.join(_large(hits), ["path", "sentinel"], "left")
         .groupBy("id", "asset", "sentinel")
         .agg(F.bool_or(F.col("_hit").isNotNull()).alias("found"))
     )
@@ -144,22 +152,22 @@ def registry_drift_summary(registry: DataFrame, files: DataFrame, exempt_globs:
     Each check is reduced to one count before the counts meet.
     """
     waiting = registry.filter(F.col("sentinels_pending").isNotNull()).select("id").distinct().withColumn("_p", F.lit(1))
-    absent = sentinel_link(registry, files).filter(~F.col("found")).join(waiting, "id", "left")
+    absent = sentinel_link(registry, files).filter(~F.col("found")).join(_large(waiting), "id", "left")
     size = F.count(F.lit(1))
+    # the sentinels are linked once for both of their counts
+    linked = absent.agg(F.count_if(F.col("_p").isNull()).alias("missing"), F.count("_p").alias("pending"))
     counts = {
         "tests": registry.agg(size.alias("n")),
         "sentinel_linked": registry.agg(F.count_if(F.size("sentinels") > 0).alias("n")),
         "missing_assets": registry_missing_asset(registry, files).agg(size.alias("n")),
-        "missing_sentinels": absent.agg(F.count_if(F.col("_p").isNull()).alias("n")),
-        "pending": absent.agg(F.count("_p").alias("n")),
         "unclaimed_assets": asset_unclaimed(files, registry, exempt_globs).agg(size.alias("n")),
         "duplicate_ids": duplicate_ids(registry).agg(size.alias("n")),
     }
-    rows = None
+    rows = linked.selectExpr("stack(2, 'missing_sentinels', missing, 'pending', pending) AS (kind, n)")
     for kind, frame in counts.items():
-        part = frame.select(F.lit(kind).alias("kind"), "n")
-        rows = part if rows is None else rows.unionByName(part)
-    summary = rows.agg(*[F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(kind) for kind in counts])
+        rows = rows.unionByName(frame.select(F.lit(kind).alias("kind"), "n"))
+    kinds = ("tests", "sentinel_linked", "missing_assets", "missing_sentinels", "pending", "unclaimed_assets", "duplicate_ids")
+    summary = rows.agg(*[F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(kind) for kind in kinds])
     duplicated = (F.col("duplicate_ids") > 0).cast("bigint")
     problems = F.col("missing_assets") + F.col("missing_sentinels") + F.col("unclaimed_assets") + duplicated
     return summary.withColumn("problems", problems).withColumn("exit_code", F.when(problems > 0, 1).otherwise(0))

@@ -198,3 +198,19 @@ def test_differences_in_thousands_of_separate_ranges(spark):
     got = A.changed_rows(before, after.unionByName(extra), ["id", "v"], "id", 0, 40_959).collect()
     want = {(k, 1, 1) for k in range(3, 40_960, 20)} | {(None, 0, 1), (-7, 0, 1), (50_000, 0, 1)}
     assert len(got) == len(want) and {(r["key"], r["before"], r["after"]) for r in got} == want
+
+
+def test_registry_checks_send_no_side_to_the_driver(spark):
+    """Tables of few bytes on disk and many rows are joined by sorting, whatever the threshold of broadcasts."""
+    path = A.workspace.fresh_path(spark, "registry")
+    spark.range(1_000).selectExpr("concat('t', id) AS id", "concat('workloads/w', id, '.yaml') AS asset", "array('s') AS sentinels", "CAST(NULL AS STRING) AS sentinels_pending").write.parquet(path)
+    registry = spark.read.parquet(path)
+    files = registry.selectExpr("asset AS path", "'s' AS text")
+    joins = [A.registry_missing_asset(registry, files), A.asset_unclaimed(files, registry, []), A.sentinel_link(registry, files), A.registry_drift_summary(registry, files, [])]
+    for df in joins:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert joins[-1].first().asDict() == {
+        "tests": 1_000, "sentinel_linked": 1_000, "missing_assets": 0, "missing_sentinels": 0, "pending": 0, "unclaimed_assets": 0,
+        "duplicate_ids": 0, "problems": 0, "exit_code": 0,
+    }
