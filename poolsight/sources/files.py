@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from poolsight.sources import schemas
+from poolsight.sources import schemas, workspace
+from poolsight.sources.sinks import filesystem
 
 # Log chunks lie in a folder per node and are numbered in their names.
 NODE_PATTERN = r"^node[_=]([0-9]+)$"
@@ -101,15 +105,61 @@ def _number_in(text: Column, pattern: str) -> Column:
 
 
 def manifest_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every YAML file below `root` as (path relative to root, text)."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.yaml")
-        .text(root, wholetext=True)
-    )
-    base = re.escape(root.rstrip("/").split(":/")[-1].strip("/"))
-    inside = F.regexp_extract(F.col("_metadata.file_path"), f"^.*?{base}/(.*)$", 1)
-    return files.select(inside.alias("path"), F.col("value").alias("text"))
+    """Every YAML file below `root` as (path relative to root, text), found when called; empty files are left out.
+
+    Folders are listed in tasks, one level after the other, and files are read in tasks. Spark's own reader would bring the
+    name of every file to the driver. As there, names that begin with a dot or an underscore are hidden.
+    """
+    folders, found = spark.createDataFrame([("",)], "path string"), []
+    while not found or not folders.isEmpty():
+        entries = workspace.materialise(_spread(folders).mapInArrow(partial(_listed, root), "path string, folder boolean"), "listing")
+        found.append(entries.filter("NOT folder").select("path"))
+        folders = entries.filter("folder").select("path")
+    names = reduce(DataFrame.union, found)
+    return _spread(names).mapInArrow(partial(_contents, root), "path string, text binary").select("path", F.col("text").cast("string"))
+
+
+#: Names, and bytes of files, that a task hands on together.
+NAMES_AT_ONCE, BYTES_AT_ONCE = 10_000, 1 << 23
+
+
+def _spread(paths: DataFrame) -> DataFrame:
+    return paths.repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def _listed(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder: YAML files and folders."""
+    fs, base = filesystem(root)
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            rows = []
+            for info in fs.get_file_info(FileSelector(f"{base}/{folder}".rstrip("/"))):
+                name, inner = info.base_name, info.type == FileType.Directory
+                hidden = name.startswith(".") or (name.startswith("_") and "=" not in name)
+                if not hidden and (inner or name.endswith(".yaml")):
+                    rows.append((f"{folder}/{name}".lstrip("/"), inner))
+            for at in range(0, len(rows), NAMES_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + NAMES_AT_ONCE], strict=True)], names=["path", "folder"])
+
+
+def _contents(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fs, base = filesystem(root)
+
+    def packed(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["path", "text"])
+
+    for batch in batches:
+        rows, held = [], 0
+        for path in batch.column(0).to_pylist():
+            with fs.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                text = stream.read()
+            if text:
+                rows.append((path, text))
+                held += len(text)
+            if held > BYTES_AT_ONCE:
+                yield packed(rows)
+                rows, held = [], 0
+        yield packed(rows)
 
 
 def parse_manifests(files: DataFrame) -> DataFrame:

@@ -164,3 +164,19 @@ def test_workspace_is_cleared_and_needs_a_folder_on_a_cluster(spark, folder, mon
         workspace.shared_root(Session())
     Context.master = "local[2]"
     assert "poolsight" in workspace.shared_root(Session())
+
+
+def test_manifests_are_listed_and_read_in_tasks(spark, tmp_path):
+    """Files of many folders and depths; the driver gets no list of them, so no scan of Spark's names them."""
+    want = {}
+    for i in range(60):
+        path = f"fam{i % 7}/{'deep/er/' if i % 5 == 0 else ''}w-{i}{'.example' if i % 3 == 0 else ''}.yaml"
+        want[path] = f"command: é{i}\n"
+    want["top.yaml"] = "a: 1"
+    for path, text in {**want, "fam1/_hidden.yaml": "x", ".dot/a.yaml": "x", "fam1/other.txt": "x", "fam1/empty.yaml": ""}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    for root in (str(tmp_path), f"file:{tmp_path}/"):
+        found = files.manifest_files(spark, root)
+        assert sorted((r.path, r.text) for r in found.collect()) == sorted(want.items())
+        assert str(tmp_path) not in "".join(found.inputFiles())
