@@ -29,57 +29,76 @@ def sentinel_presence(lines: DataFrame, sentinels: Sequence[str], by: str = "run
     return hits.groupBy(by, "sentinel").agg(F.count(F.lit(1)).alias("lines"))
 
 
-#: Characters of a gram, and of the piece of a text whose grams are made at once.
-GRAM, PIECE = 3, 1 << 16
+#: Characters of a gram, of the pieces a text is cut into, and of the bits a piece is cut into.
+GRAM, PIECE, BIT = 3, 1 << 16, 256
+#: Beyond so many patterns the join with them is shuffled, whatever their size on disk.
+BROADCAST_PATTERNS = 1 << 16
 
 
 def pattern_hits(texts: DataFrame, patterns: DataFrame, id: str = "id", text: str = "text", pattern: str = "pattern") -> DataFrame:
     """Which of many literal patterns occur in which text: distinct (id, pattern), however many patterns there are.
 
-    A text that holds a pattern holds its grams of three characters. Grams of patterns are counted over all texts,
-    each pattern is looked up by its rarest one alone, and what meets is verified on the whole text. No text is
-    searched for a pattern whose rarest gram it lacks, and a pattern with a gram that no text has is never joined. A
-    pattern of one or two characters is its own gram.
+    A text that holds a pattern holds its grams of three characters at their places in it. Each pattern is looked up by
+    one gram. Where that gram stands in a text, one window is cut for each shape (place of the gram, length) that
+    patterns of the gram have, and joined with the patterns as a whole: thousands of patterns of one shape cost one
+    window. Of a pattern's grams that one is taken which, by its number in all texts, makes the fewest windows for each
+    pattern that has it. A pattern of one or two characters is its own gram.
 
-    `id` is unique in `texts`. Null texts and null or empty patterns match nothing; repeated patterns count once.
-    Patterns and texts compare character by character, with no change of case.
+    `id` is unique in `texts`; a null one matches nothing. Null texts and null or empty patterns match nothing; repeated
+    patterns count once. Patterns and texts compare character by character, with no change of case.
     """
     asked = patterns.select(F.col(pattern).alias("__pattern")).filter(F.length("__pattern") > 0).distinct()
-    short = F.least(F.length("__pattern"), F.lit(GRAM))
-    own = F.when(short == 1, _grams(F.col("__pattern"), 1)).when(short == 2, _grams(F.col("__pattern"), 2))
-    own = own.otherwise(_grams(F.col("__pattern"), GRAM))
-    # written, so that the planner knows its size and broadcasts it while it is small: then grams of texts that no
-    # pattern has are dropped where the text is read, and beyond that size they are shuffled
-    of_pattern = workspace.materialise(asked.select("__pattern", F.explode(F.array_distinct(own)).alias("__gram")), "pattern-grams")
-    # lengths of grams that patterns have: one to three
-    sizes = [row[0] for row in asked.select(short).distinct().collect()]
-    whole = texts.select(F.col(id).alias("__id"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
-    starts = F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1)), F.lit(PIECE))
-    pieces = whole.select("__id", "__text", F.explode(starts).alias("__at")).select(
-        "__id", F.col("__text").substr(F.col("__at"), F.lit(PIECE + GRAM - 1)).alias("__piece")
-    )
-    made = F.concat(*[_grams(F.col("__piece"), size) for size in sizes]) if sizes else F.array().cast("array<string>")
-    of_text = pieces.select("__id", F.explode(F.array_distinct(made)).alias("__gram"))
-    counts = of_text.join(of_pattern.select("__gram"), "__gram", "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
-    # inner: a pattern with a gram that never occurs must not fall back on its others
-    rarest = F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("__gram"))).alias("__gram")
-    known = of_pattern.join(counts, "__gram", "left").groupBy("__pattern").agg(rarest)
-    known = workspace.materialise(known.select("__pattern", "__gram"), "pattern-index")
-    candidates = of_text.join(known, "__gram").select("__id", "__pattern").distinct()
-    verified = whole.join(candidates, "__id").filter(F.contains("__text", "__pattern"))
-    return verified.select(F.col("__id").alias(id), F.col("__pattern").alias(pattern))
-
-
-def _grams(text: Column, size: int) -> Column:
-    """All runs of `size` characters. The characters are zipped with themselves shifted, which is linear in the text:
-    an expression inside a lambda would be computed for each element."""
-    chars = F.split(text, "")
-    found = chars
-    for shift in range(1, size):
-        shifted = F.slice(chars, shift + 1, F.greatest(F.size(chars), F.lit(1)))
-        found = F.zip_with(found, shifted, lambda left, right: F.concat(left, right))
-    # the longer side is padded with nulls, and a gram with one is null
-    return F.filter(found, lambda gram: gram.isNotNull() & (gram != ""))
+    size = F.length("__pattern")
+    short = F.least(size, F.lit(GRAM))
+    # lengths of grams that patterns have, one to three, and the longest pattern
+    found = {row[0]: row[1] for row in asked.groupBy(short).agg(F.max(size)).collect()}
+    whole = texts.select(F.col(id).alias("__id"), F.col(text).alias("__text")).filter((F.length("__text") > 0) & F.col("__id").isNotNull())
+    if not found:
+        return whole.select(F.col("__id").alias(id), F.col("__text").alias(pattern)).filter(F.lit(False))
+    reach, sizes = max(found.values()), sorted(found)
+    places = asked.select("__pattern", size.alias("__size"), F.explode(F.sequence(F.lit(0), size - short)).alias("__place"))
+    gram = F.col("__pattern").substr(F.col("__place") + 1, F.least("__size", F.lit(GRAM))).alias("__gram")
+    # what is written has a known size: it is broadcast while it is small, so grams that no pattern has go where texts are read
+    of_pattern = workspace.materialise(places.select("__pattern", "__size", "__place", gram), "pattern-places")
+    of_shape = of_pattern.groupBy("__gram", "__place", "__size").agg(F.count(F.lit(1)).alias("__n"))
+    of_gram = of_shape.groupBy("__gram").agg(F.count(F.lit(1)).alias("__shapes"), F.sum("__n").alias("__patterns"))
+    of_gram = workspace.materialise(of_gram, "pattern-grams")
+    met = _places(whole.select("__text"), sizes, 0).join(of_gram.select("__gram"), "__gram", "left_semi")
+    counts = met.groupBy("__gram").agg(F.count(F.lit(1)).alias("__met"))
+    price = F.col("__met") * F.col("__shapes") / F.col("__patterns")
+    prices = workspace.materialise(of_gram.join(counts, "__gram").select("__gram", price.alias("__price")), "gram-prices")
+    # a pattern with a gram that never occurs has that gram at no price, and no text meets it
+    cheapest = F.min(F.struct(F.coalesce("__price", F.lit(0.0)).alias("price"), "__gram", "__place")).alias("x")
+    index = of_pattern.join(prices, "__gram", "left").groupBy("__pattern", "__size").agg(cheapest)
+    index = workspace.materialise(index.filter("x.price > 0").select("__pattern", "__size", "x.__gram", "x.__place"), "pattern-index")
+    shapes = workspace.materialise(index.select("__gram", "__place", "__size").distinct(), "pattern-shapes")
+    begin, row = F.col("__at") - F.col("__place"), F.monotonically_increasing_id().alias("__row")
+    windows = _places(whole.select("__id", row, "__text"), sizes, reach).join(shapes, "__gram").filter(
+        (begin > 0) & (begin + F.col("__size") - 1 <= F.length("__text"))
+    ).select("__id", "__row", F.col("__text").substr(begin, F.col("__size")).alias("__pattern"))
+    known = index.select("__pattern")
+    if index.count() > BROADCAST_PATTERNS:
+        known = known.hint("merge")
+    return windows.join(known, "__pattern").distinct().select(F.col("__id").alias(id), F.col("__pattern").alias(pattern))
+
+
+def _places(texts: DataFrame, sizes: Sequence[int], reach: int) -> DataFrame:
+    """A row for each place `__at` of a text and the gram there, of each size; `__text` is cut to a bit of the text, with
+    at least `reach` characters on both sides of the place where the text has them."""
+    reach = max(reach, GRAM)
+    kept = [c for c in texts.columns if c != "__text"]
+    bits = texts.select("*", F.lit(1).alias("__first"), F.length("__text").alias("__own"))
+    for step in (max(PIECE, reach), max(BIT, reach)):
+        # a place in a long text costs the characters before it, so pieces are cut first and bits from them
+        cut = bits.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__own") - 1, F.lit(step))))
+        start, own = F.col("__first") + F.col("__k"), F.least(F.col("__own") - F.col("__k"), F.lit(step))
+        lead = F.least(start - 1, F.lit(reach))
+        bits = cut.select(*kept, F.col("__text").substr(start - lead, lead + own + reach).alias("__text"), (lead + 1).alias("__first"), own.alias("__own"))
+    at = bits.withColumn("__at", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__own") - 1)))
+    grams = [F.when(F.col("__at") + (size - 1) <= F.length("__text"), F.col("__text").substr(F.col("__at"), F.lit(size))) for size in sizes]
+    if len(grams) == 1:
+        return at.select(*kept, "__text", "__at", grams[0].alias("__gram")).filter(F.col("__gram").isNotNull())
+    return at.select(*kept, "__text", "__at", F.explode(F.array(*grams)).alias("__gram")).filter(F.col("__gram").isNotNull())
 
 
 def launcher_parse(lines: DataFrame) -> DataFrame:

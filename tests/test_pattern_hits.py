@@ -46,3 +46,20 @@ def test_a_pattern_over_the_end_of_a_piece(spark, monkeypatch):
 def test_a_very_long_text(spark):
     texts = ["ab" * 400_000 + "needle" + "ab" * 400_000, "need le"]
     assert hits(spark, texts, ["needle", "baab", "bne"]) == plain(texts, ["needle", "baab", "bne"])
+
+
+def test_patterns_that_share_every_gram_cost_no_more_rows(spark, monkeypatch):
+    """Numbers of five digits have a thousand grams in all: joined by a gram alone, each line meets hundreds of patterns."""
+    monkeypatch.setattr(ops, "BROADCAST_PATTERNS", 1 << 20)
+    texts = spark.range(2_000).selectExpr("id", "concat('name=GPU model ', 10000 + 17 * id, '; tflops=', id % 700) AS text")
+    patterns = spark.range(10_000, 50_000).selectExpr("concat('GPU model ', id, ';') AS pattern")
+    found = ops.pattern_hits(texts, patterns)
+    assert sorted((r.id, r.pattern) for r in found.collect()) == [(i, f"GPU model {10_000 + 17 * i};") for i in range(2_000)]
+    # windows join whole patterns: no text is searched for a pattern
+    assert "contains(" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_repeated_ids_and_null_ids(spark):
+    have = spark.createDataFrame([(1, "xabcx"), (1, "abc abc"), (2, "ab"), (None, "abc")], "id long, text string")
+    asked = spark.createDataFrame([("abc",), ("ab",)], "pattern string")
+    assert sorted(tuple(r) for r in ops.pattern_hits(have, asked).collect()) == [(1, "ab"), (1, "ab"), (1, "abc"), (1, "abc"), (2, "ab")]
